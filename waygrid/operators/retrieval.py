@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.floors import normalize_floor
 from ..functions.geometry import heading_bucket, heading_diff, is_same_location
-from ..functions.vectors import as_doubles, l2_normalize
+from ..functions.vectors import ZERO_NORM, as_doubles, l2_normalize
 
 BLOCK_ROWS = 2048
 SIM_PLACES = 9
@@ -26,7 +26,13 @@ TOP_K = 10
 FLOOR_VOTE_K = 5
 
 
-def _pack(df: DataFrame, by: Sequence[str], id_col: str, vec: str, slots: str, slot: str, extra: Sequence[str] = ()) -> DataFrame:
+def unit_rows(mat: np.ndarray) -> np.ndarray:
+    n = np.sqrt(np.einsum("ij,ij->i", mat, mat))
+    return mat / np.where(n == 0, ZERO_NORM, n)[:, None]
+
+
+def _pack(df: DataFrame, by: Sequence[str], id_col: str, vec: str, slots: str, slot: str, extra: Sequence[str] = (),
+          unit: bool = False) -> DataFrame:
     """One row per (group, slot): ids, a float64 matrix, and extra columns as arrays."""
     id_type = df.schema[id_col].dataType
     fields = [df.schema[b] for b in by] + [
@@ -35,19 +41,44 @@ def _pack(df: DataFrame, by: Sequence[str], id_col: str, vec: str, slots: str, s
     ] + [T.StructField(f"{e}_list", T.ArrayType(df.schema[e].dataType)) for e in extra]
     schema = T.StructType(fields)
     by = list(by)
+    group = [*by, slot]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows arrive sorted by group; a group may go on into the next batch."""
+        open_key, parts = None, []
+
+        def close(rows: dict) -> None:
+            pdf = pd.concat(parts) if len(parts) > 1 else parts[0]
+            head = pdf.iloc[0]
+            for name in (*by, slots, slot):
+                rows[name].append(head[name])
+            rows["ids"].append(pdf[id_col].tolist())
+            mat = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            rows["mat"].append((unit_rows(mat) if unit else mat).tobytes())
+            for e in extra:
+                rows[f"{e}_list"].append(pdf[e].tolist())
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        row = {b: head[b] for b in by}
-        row[slots], row[slot] = int(head[slots]), int(head[slot])
-        row["ids"] = pdf[id_col].tolist()
-        row["mat"] = np.stack(pdf["vec"].to_numpy()).astype(np.float64).tobytes()
-        for e in extra:
-            row[f"{e}_list"] = pdf[e].tolist()
-        return _frame({c: [v] for c, v in row.items()}, schema.names)
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = {n: [] for n in schema.names}
+            keys = list(zip(*[batch[g].tolist() for g in group]))
+            cuts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if keys[lo] != open_key and parts:
+                    close(rows)
+                    parts = []
+                open_key = keys[lo]
+                parts.append(batch.iloc[lo:hi])
+            if rows["ids"]:
+                yield _frame(rows, schema.names)
+        if parts:
+            rows = {n: [] for n in schema.names}
+            close(rows)
+            yield _frame(rows, schema.names)
 
     small = df.select(*by, slots, slot, id_col, F.col(vec).alias("vec"), *extra)
-    return small.groupBy(*by, slots, slot).applyInPandas(pack, schema)
+    return small.repartition(*group).sortWithinPartitions(*group).mapInPandas(pack, schema)
 
 
 def _frame(cols: dict, names: Sequence[str]) -> pd.DataFrame:
@@ -60,7 +91,7 @@ def _slots(df: DataFrame, by: Sequence[str], name: str, block_rows: int) -> Data
     return df.groupBy(*by).agg(F.ceil(F.count("*") / block_rows).cast("long").alias(name))
 
 
-def _block_pairs(queries, index, by, qid, cid, block_rows, extra_q=(), extra_c=()):
+def _block_pairs(queries, index, by, qid, cid, block_rows, unit=False):
     """Every query block next to every index block of the same group."""
     by = list(by)
     spark = queries.sparkSession
@@ -77,8 +108,8 @@ def _block_pairs(queries, index, by, qid, cid, block_rows, extra_q=(), extra_c=(
     slot = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("long")
     q = q.withColumn("qs", slot(qid, "q_slots"))
     c = c.withColumn("cs", slot(cid, "c_slots"))
-    qb = _pack(q, by, qid, "vec", "c_slots", "qs", extra_q)
-    cb = _pack(c, by, cid, "vec", "q_slots", "cs", extra_c)
+    qb = _pack(q, by, qid, "vec", "c_slots", "qs", unit=unit)
+    cb = _pack(c, by, cid, "vec", "q_slots", "cs", unit=unit)
     qb = qb.withColumn("cs", F.explode(F.sequence(F.lit(0), F.col("c_slots") - 1))).drop("c_slots")
     cb = cb.withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("q_slots") - 1))).drop("q_slots")
     rename = lambda d, p: d.select(*by, "qs", "cs", *[F.col(x).alias(p + x) for x in d.columns if x not in (*by, "qs", "cs")])
@@ -117,15 +148,15 @@ def _rank_ids(ids) -> np.ndarray:
 
 def inner_product_topk(
     queries: DataFrame, index: DataFrame, k: int = TOP_K, by: Sequence[str] = (), exclude_self: bool = False,
-    block_rows: int = BLOCK_ROWS, places: int = SIM_PLACES,
+    block_rows: int = BLOCK_ROWS, places: int = SIM_PLACES, unit: bool = False,
 ) -> DataFrame:
-    """Exact top-k by inner product of ``vec`` (array<double>).
+    """Exact top-k by inner product of ``vec`` (array<double>), scaled to unit length if ``unit``.
 
     ``queries``: [*by, query_id, vec]; ``index``: [*by, candidate_id, vec].
     Returns [*by, query_id, candidate_id, similarity, rank]; ties go to the lower id.
     """
     by = list(by)
-    pairs = _block_pairs(queries, index, by, "query_id", "candidate_id", block_rows)
+    pairs = _block_pairs(queries, index, by, "query_id", "candidate_id", block_rows, unit)
     schema = T.StructType(
         [queries.schema[b] for b in by]
         + [queries.schema["query_id"], index.schema["candidate_id"], T.StructField("similarity", T.DoubleType())]
@@ -133,6 +164,7 @@ def inner_product_topk(
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found = []
             for row in batch.to_dict("records"):
                 qi, ci = list(row["q_ids"]), list(row["c_ids"])
                 sims = np.round(_mat(row["q_mat"], len(qi)) @ _mat(row["c_mat"], len(ci)).T, places)
@@ -142,10 +174,12 @@ def inner_product_topk(
                         if q in at:
                             sims[i, at[q]] = -np.inf
                 r, c = _best(sims, _rank_ids(ci), k)
-                out = {b: [row[b]] * len(r) for b in by}
-                out["query_id"] = [qi[i] for i in r]
-                out["candidate_id"] = [ci[j] for j in c]
-                out["similarity"] = sims[r, c]
+                found.append(([row[b] for b in by], [qi[i] for i in r], [ci[j] for j in c], sims[r, c]))
+            if found:
+                out = {b: [f[0][n] for f in found for _ in f[1]] for n, b in enumerate(by)}
+                out["query_id"] = [x for f in found for x in f[1]]
+                out["candidate_id"] = [x for f in found for x in f[2]]
+                out["similarity"] = np.concatenate([f[3] for f in found])
                 yield _frame(out, schema.names)
 
     return keep_topk(pairs.mapInPandas(score, schema), k, by)
@@ -165,10 +199,10 @@ def topk_similar(
     vec: str = "embedding", block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Cosine top-k of each query in the index (optionally within equal ``by`` values)."""
-    unit = l2_normalize(vec)
+    v = as_doubles(vec)
     return inner_product_topk(
-        _as_queries(queries, id_col, unit, by, "query_id"), _as_queries(index, id_col, unit, by, "candidate_id"),
-        k, by, False, block_rows)
+        _as_queries(queries, id_col, v, by, "query_id"), _as_queries(index, id_col, v, by, "candidate_id"),
+        k, by, False, block_rows, unit=True)
 
 
 def leave_one_out_topk(
@@ -176,10 +210,10 @@ def leave_one_out_topk(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Each image asked against all others."""
-    unit = l2_normalize(vec)
+    v = as_doubles(vec)
     return inner_product_topk(
-        _as_queries(index, id_col, unit, by, "query_id"), _as_queries(index, id_col, unit, by, "candidate_id"),
-        k, by, True, block_rows)
+        _as_queries(index, id_col, v, by, "query_id"), _as_queries(index, id_col, v, by, "candidate_id"),
+        k, by, True, block_rows, unit=True)
 
 
 def sign_bands(vec: Column, bands: int, bits: int) -> Column:
@@ -197,10 +231,10 @@ def topk_similar_blocked(
 
     Compare with :func:`topk_similar` through :func:`recall_against`.
     """
-    unit = l2_normalize(vec)
-    side = lambda d, name: _as_queries(d, id_col, unit, (), name).withColumn(
+    side = lambda d, name: _as_queries(d, id_col, as_doubles(vec), (), name).withColumn(
         "bucket", F.explode(sign_bands(F.col("vec"), bands, bits)))
-    hits = inner_product_topk(side(queries, "query_id"), side(index, "candidate_id"), k, ["bucket"], exclude_self, block_rows)
+    hits = inner_product_topk(side(queries, "query_id"), side(index, "candidate_id"), k, ["bucket"], exclude_self, block_rows,
+                              unit=True)
     once = hits.groupBy("query_id", "candidate_id").agg(F.max("similarity").alias("similarity"))
     return keep_topk(once, k)
 
@@ -225,7 +259,7 @@ def ranking_scan(
     (queries in block x relevant images), which ``cell_budget`` bounds.
     """
     src = images.select(F.col(id_col).alias("image"), F.col(place).cast("string").alias("place"),
-                        l2_normalize(vec).alias("vec"))
+                        as_doubles(vec).alias("vec"))
     per_place = src.groupBy("place").agg(F.count("*").alias("n"))
     total, largest = per_place.agg(F.sum("n"), F.max("n")).first()
     if not total:
@@ -237,8 +271,8 @@ def ranking_scan(
     scored = src.join(per_place.where("n > 1").select("place"), "place", "left_semi")
 
     slot = lambda n: F.pmod(F.xxhash64("image"), F.lit(n)).cast("long")
-    q = _pack(scored.withColumns({"n": F.lit(q_slots).cast("long"), "slot": slot(q_slots)}), (), "image", "vec", "n", "slot", ("place",))
-    c = _pack(src.withColumns({"n": F.lit(c_slots).cast("long"), "slot": slot(c_slots)}), (), "image", "vec", "n", "slot", ("place",))
+    q = _pack(scored.withColumns({"n": F.lit(q_slots).cast("long"), "slot": slot(q_slots)}), (), "image", "vec", "n", "slot", ("place",), True)
+    c = _pack(src.withColumns({"n": F.lit(c_slots).cast("long"), "slot": slot(c_slots)}), (), "image", "vec", "n", "slot", ("place",), True)
     q = q.select(F.col("slot").alias("qs"), F.lit(0).alias("phase"), F.lit(0).cast("long").alias("cs"), "ids", "mat", "place_list")
     c = c.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_slots - 1).cast("long"))).alias("qs"),
                  F.col("slot").alias("cs"), "ids", "mat", "place_list")
@@ -337,14 +371,14 @@ def score_separation(images: DataFrame, id_col: str = "image_id", place: str = "
     Sums over pairs follow from vector sums and second moments per place, so no pair
     is formed: sum of dots = S.S', sum of squared dots = <M, M'> with M = sum of v v^T.
     """
-    src = images.select(F.col(place).cast("string").alias("place"), l2_normalize(vec).alias("vec"))
+    src = images.select(F.col(place).cast("string").alias("place"), as_doubles(vec).alias("vec"))
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
             for p, g in batch.groupby("place", dropna=False):
-                v = np.stack(g["vec"].to_numpy())
+                v = unit_rows(np.stack(g["vec"].to_numpy()).astype(np.float64))
                 own = np.einsum("ij,ij->i", v, v)
                 parts = np.concatenate([v.sum(0), (v.T @ v).ravel()])
                 d = v.shape[1]
@@ -380,10 +414,9 @@ def score_separation(images: DataFrame, id_col: str = "image_id", place: str = "
 # ------------------------------------------------------------------ z-scored and fused rankings
 def row_statistics(images: DataFrame, vec: str, id_col: str = "image_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Mean and spread of each query's cosines to all other images."""
-    unit = l2_normalize(vec)
-    q = _as_queries(images, id_col, unit, (), "query_id")
-    c = _as_queries(images, id_col, unit, (), "candidate_id")
-    pairs = _block_pairs(q, c, (), "query_id", "candidate_id", block_rows)
+    q = _as_queries(images, id_col, as_doubles(vec), (), "query_id")
+    c = _as_queries(images, id_col, as_doubles(vec), (), "candidate_id")
+    pairs = _block_pairs(q, c, (), "query_id", "candidate_id", block_rows, True)
     schema = T.StructType([q.schema["query_id"], T.StructField("n", T.LongType()),
                            T.StructField("s1", T.DoubleType()), T.StructField("m2", T.DoubleType())])
 
