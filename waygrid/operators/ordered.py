@@ -104,6 +104,28 @@ def neighbours(
     return out.drop("_row", "_prev", "_slice")
 
 
+def numbered(
+    df: DataFrame, keys: Sequence[str], order: Sequence, name: str, rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """``row_number`` per key (or overall without keys) that splits large groups.
+
+    Past one slice of rows the table is range-partitioned by key and order and written
+    out, so every row has a fixed partition; numbers start after the rows of the key in
+    earlier partitions.
+    """
+    n = df.count()
+    if n <= rows_per_slice:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    parts = math.ceil(n / rows_per_slice)
+    placed = cut(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)).withColumn("_part", F.spark_partition_id())
+    held = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(*keys, "_part").orderBy(*order)
+    out = placed.withColumn(name, F.row_number().over(inner)).join(held, [*keys, "_part"])
+    return out.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
 # ------------------------------------------------------------------ sequential folds
 Step = Callable[[dict, dict], "dict | list[dict] | None"]
 
