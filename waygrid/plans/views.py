@@ -52,13 +52,17 @@ SIMPLE = {
         "l_suppkey AS plan_id", "CAST((l_partkey * 37) % 1000 AS DOUBLE) AS px", "CAST((l_orderkey * 53) % 800 AS DOUBLE) AS py",
         "((l_partkey * 37) % 1000) * 2e-2 + ((l_orderkey * 53) % 800) * 1e-3 + l_suppkey + ((l_orderkey * 7 + l_linenumber) % 11 - 5) * 2e-3 AS x",
         "((l_partkey * 37) % 1000) * 5e-4 - ((l_orderkey * 53) % 800) * 19e-3 + 40e0 + ((l_partkey * 3 + l_linenumber) % 13 - 6) * 2e-3 AS y"]),
-    "v_requests": ("orders", [
-        "o_orderkey AS request_id", "o_custkey AS custkey", "o_orderkey AS orderkey"]),
 }
 
 FLOORS3 = "CASE lvl WHEN 0 THEN 'B1' WHEN 1 THEN 'G' ELSE '1' END"
 
+# one route request per order: nodes and storeys in the building of its first supplier
+REQUESTS = ("l_orderkey AS request_id", "min(l_suppkey) AS site_id", "CAST(min(l_partkey) % 9 AS INT) AS start_node",
+            "CAST(max(l_partkey) % 9 AS INT) AS dest_node", "CAST(min(l_partkey) % 3 AS INT) AS start_lvl",
+            "CAST(max(l_partkey) % 3 AS INT) AS dest_lvl")
+
 ORACLE_VIEWS = {
+    "v_requests": f"SELECT {', '.join(REQUESTS)} FROM lineitem GROUP BY l_orderkey",
     # three floors of a 3 x 3 grid per supplier, pitch 10, 11 or 12 m
     "v_sites": "SELECT s_suppkey AS site_id, 10e0 + s_suppkey % 3 AS pitch FROM supplier",
     "v_levels": "SELECT * FROM (VALUES (0), (1), (2)) t(lvl)",
@@ -153,6 +157,11 @@ class Tables:
             "x1 + h * (x2 - x1) / 2e0 AS x1", "y1 + h * (y2 - y1) / 2e0 AS y1",
             "x1 + (h + 1) * (x2 - x1) / 2e0 AS x2", "y1 + (h + 1) * (y2 - y1) / 2e0 AS y2", "width")
 
+    @property
+    def v_requests(self) -> DataFrame:
+        return self.lineitem.groupBy("l_orderkey").agg(*[F.expr(e) for e in REQUESTS[1:]]).withColumnRenamed(
+            "l_orderkey", "request_id")
+
     @property
     def v_landings(self) -> DataFrame:
         lift = F.when(F.col("node") == 0, "lift_a").when(F.col("node") == 8, "lift_b")
