@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import axis_diff, band_place, nearest_on_segment, segment_key
+from ..session import cut
 from .ordered import fold_ordered
 from .spatial import nearest_piece, piece_distance, prepare_pieces
 
@@ -25,7 +26,8 @@ def _cost(px: Column, py: Column, heading: Column | None):
         if heading is not None:
             across = axis_diff(heading, s["x1"], s["y1"], s["x2"], s["y2"]) > HEADING_PENALTY_FROM_DEG
             c = c + F.when(across, HEADING_PENALTY_M).otherwise(0.0)
-        return c
+        # rounded so that equal costs tie in the same way everywhere
+        return F.round(c, 9)
     return cost
 
 
@@ -38,7 +40,7 @@ def match_corridor(
     Adds placed_x, placed_y, seg_key, centre_x, centre_y. Points on floors without
     corridors keep their position and get a NULL key.
     """
-    prepared = prepare_pieces(pieces, keys, order)
+    prepared = cut(prepare_pieces(pieces, keys, order))
     widest = prepared.agg(F.max(F.greatest("left", "right"))).first()[0] or 0.0
     px, py = F.col(x), F.col(y)
     cost = _cost(px, py, F.col(heading) if heading else None)

@@ -9,11 +9,13 @@ exact. Points are never shuffled when the cell table fits a broadcast (Spark che
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import side_widths
+from ..session import cut
 
 
 def prepare_pieces(pieces: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -41,7 +43,7 @@ def _cells(pieces: DataFrame, keys: Sequence[str], size: float, tag: str) -> Dat
     spread = pieces.withColumn("gx", F.explode(F.sequence(lo("x"), hi("x"))))
     spread = spread.withColumn("gy", F.explode(F.sequence(lo("y"), hi("y"))))
     return spread.groupBy(*keys, "gx", "gy").agg(
-        F.collect_list(F.struct(*PIECE_FIELDS)).alias(f"cell_{tag}")
+        F.collect_list(F.struct(*PIECE_FIELDS)).alias(tag)
     )
 
 
@@ -58,49 +60,44 @@ def piece_distance(px: Column, py: Column, s: Column) -> tuple[Column, Column, C
     return dist, F.when(outside <= 1e-9, 0.0).otherwise(outside), along
 
 
+def _reach(points: DataFrame, pieces: DataFrame, px: str, py: str) -> float:
+    """No point is further than this from any piece (one narrow aggregate per side)."""
+    ends = pieces.agg(*[f(g("%s1" % c, "%s2" % c)) for c in "xy" for f, g in ((F.min, F.least), (F.max, F.greatest))]).first()
+    spots = points.agg(F.min(px), F.max(px), F.min(py), F.max(py)).first()
+    if ends[0] is None or spots[0] is None:
+        return 0.0
+    span = [max(ends[i + 1], spots[i + 1]) - min(ends[i], spots[i]) for i in (0, 2)]
+    return math.hypot(*span)
+
+
 def nearest_piece(
     points: DataFrame, pieces: DataFrame, keys: Sequence[str], cost: Callable[[Column], Column],
-    unseen_cost: Callable[[float], Column], px: str = "x", py: str = "y",
-    cell_m: float = 8.0, extent_m: float = 4096.0, out: str = "piece",
+    unseen_cost: Callable[[float], Column], px: str = "x", py: str = "y", cell_m: float = 8.0, out: str = "piece",
 ) -> DataFrame:
     """Add struct ``out``(cost, ord, seg): the cheapest piece on the same floor.
 
     ``cost(seg)`` may use point columns. ``unseen_cost(r)`` is the least cost a piece
     further than ``r`` metres could have. Ties go to the lower ``ord``. Points on a
-    floor without pieces get NULL. ``extent_m`` bounds the floor size; past it the
-    remaining points meet all pieces of their floor.
+    floor without pieces get NULL.
     """
+    keys = list(keys)
+    pieces = cut(pieces)  # floor plans are small next to the points and are read per grid
+    reach = _reach(points, pieces, px, py)
     sizes = [cell_m]
-    while sizes[-1] < extent_m:
+    while sizes[-1] < reach:
         sizes.append(sizes[-1] * 4)
-    keys = list(keys)
-    best = None
     frame = points
-    for i, size in enumerate([*sizes, None]):
-        if i == 0:
-            todo = F.lit(True)
-        else:
-            settled = F.coalesce(F.col(out)["cost"] <= unseen_cost(sizes[i - 1]), F.lit(False))
-            todo = ~settled
-        tag = f"l{i}"
-        if size is None:
-            cells = pieces.groupBy(*keys).agg(F.collect_list(F.struct(*PIECE_FIELDS)).alias(f"cell_{tag}"))
-            cond = [F.col(f"p.{k}") == F.col(f"c.{k}") for k in keys]
-        else:
-            cells = _cells(pieces, keys, size, tag)
-            cond = [F.col(f"p.{k}") == F.col(f"c.{k}") for k in keys] + [
-                F.floor(F.col(f"p.{px}") / size) == F.col("c.gx"),
-                F.floor(F.col(f"p.{py}") / size) == F.col("c.gy"),
-            ]
-        cond.append(todo)
-        on = cond[0]
-        for c in cond[1:]:
-            on = on & c
-        frame = frame.alias("p").join(cells.alias("c"), on, "left").select("p.*", f"c.cell_{tag}")
+    for i, size in enumerate(sizes):
+        tag = f"cell_{i}"
+        cells = _cells(pieces, keys, size, tag)
+        on = [F.col(f"p.{k}") == F.col(f"c.{k}") for k in keys] + [
+            F.floor(F.col(f"p.{px}") / size) == F.col("c.gx"), F.floor(F.col(f"p.{py}") / size) == F.col("c.gy")]
+        if i:
+            on.append(~F.coalesce(F.col(f"p.{out}")["cost"] <= unseen_cost(sizes[i - 1]), F.lit(False)))
+        rows = frame.alias("p").join(cells.alias("c"), on, "left")
         scored = F.array_min(F.transform(
-            F.col(f"cell_{tag}"),
-            lambda s: F.struct(cost(s).alias("cost"), s["ord"].alias("ord"), s.alias("seg"))))
+            F.col(tag), lambda s: F.struct(cost(s).alias("cost"), s["ord"].alias("ord"), s.alias("seg"))))
         # least() skips NULLs: a settled point keeps its piece
-        frame = frame.withColumn(out, scored if best is None else F.least(F.col(out), scored)).drop(f"cell_{tag}")
-        best = True
+        kept = [F.col(f"p.{c}") for c in points.columns]
+        frame = rows.select(*kept, (F.least(F.col(f"p.{out}"), scored) if i else scored).alias(out))
     return frame

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import corridors as C
 from ..operators import network as N
 from ..operators import routing as R
+from ..session import cut
 from .catalog import query, rounded
 from .views import Tables
 
@@ -25,7 +26,7 @@ c3 AS (SELECT *, sqrt(ov*ov+lat*lat) AS dist, CASE WHEN sqrt(ov*ov+sd*sd) <= 1e-
 
 @query("match_corridor", f"""WITH {COST}, c4 AS (SELECT *, outs + 5e-2 * dist + CASE WHEN ax > 50 THEN 6e-1 ELSE 0e0 END AS cost FROM c3),
 b AS (SELECT *, row_number() OVER (PARTITION BY fix_id, site_id, floor, x, y ORDER BY round(cost, 9), ord) AS k FROM c4)
-SELECT fix_id, site_id, round(cost, 6) AS match_cost, round(CASE WHEN outs = 0 THEN x ELSE x1 + (alo-ov)*(x2-x1)/len - (y2-y1)/len*(lat-sd) END, 6) AS placed_x,
+SELECT fix_id, site_id, round(round(cost, 9), 6) AS match_cost, round(CASE WHEN outs = 0 THEN x ELSE x1 + (alo-ov)*(x2-x1)/len - (y2-y1)/len*(lat-sd) END, 6) AS placed_x,
   round(CASE WHEN outs = 0 THEN y ELSE y1 + (alo-ov)*(y2-y1)/len + (x2-x1)/len*(lat-sd) END, 6) AS placed_y FROM b WHERE k = 1""")
 def _(t):
     m = C.match_corridor(t.v_fixes, walk_pieces(t), FK)
@@ -41,10 +42,9 @@ def _(t):
 
 @query("sticky_corridor")
 def _(t):
-    pts = t.v_points.withColumns({"t": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "site_id": F.col("device_id") % 10 + 1})
-    own = walk_pieces(t)
-    return rounded(C.sticky_corridor(pts, own, ["floor"], time="t")) if False else rounded(
-        C.sticky_corridor(pts.drop("site_id"), own.where("site_id = 1").drop("site_id"), ["floor"], time="t"))
+    # devices walk the building of the supplier with their number (the rest have no plan)
+    pts = t.v_points.withColumns({"t": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "site_id": F.col("device_id")})
+    return rounded(C.sticky_corridor(pts, walk_pieces(t), ["site_id", "floor"], time="t"))
 
 
 @query("split_at_junctions", "SELECT site_id, floor, seg_no, piece_no, x1, y1, x2, y2, width FROM v_pieces")
@@ -94,12 +94,17 @@ def _(t):
     return N.vertical_edges(doors(t, p)).select("site_id", "connector_id", "a_floor", "b_floor", "weight")
 
 
+def network(corridors):
+    """Split pieces with their nodes, kept in the shared folder: all later steps read them."""
+    pieces = cut(N.split_at_junctions(corridors))
+    return cut(R.resolved_pieces(pieces, N.snap_nodes(N.piece_ends(pieces))))
+
+
 def building(t: Tables):
     """(resolved pieces, edges per graph) of every site."""
-    pieces = N.split_at_junctions(t.v_corridors)
-    resolved = R.resolved_pieces(pieces, N.snap_nodes(N.piece_ends(pieces)))
-    d = doors(t, resolved)
-    return resolved, R.network_edges(resolved, d, N.vertical_edges(d))
+    resolved = network(t.v_corridors)
+    d = cut(doors(t, resolved))
+    return resolved, cut(R.network_edges(resolved, d, N.vertical_edges(d)))
 
 
 # closed form on the grid: Manhattan on a floor, else the better of the two lifts
@@ -129,8 +134,7 @@ def requests(t: Tables):
 
 @query("attach_point", """SELECT request_id, x AS at_x, y AS at_y FROM v_requests r JOIN v_nodes n ON n.site_id = r.site_id AND n.lvl = start_lvl AND n.node = start_node""")
 def _(t):
-    pieces = N.split_at_junctions(t.v_corridors)
-    resolved = R.resolved_pieces(pieces, N.snap_nodes(N.piece_ends(pieces)))
+    resolved = network(t.v_corridors)
     p = requests(t).select("request_id", "site_id", F.col("start_floor").alias("floor"), F.col("start_x").alias("x"), F.col("start_y").alias("y"))
     return rounded(R.attach_point(p, resolved).select("request_id", "at_x", "at_y"))
 
@@ -163,8 +167,7 @@ def _(t):
   CASE WHEN start_lvl = 2 THEN 0 ELSE 12 END AS start_pieces, CASE WHEN dest_lvl = 2 THEN 0 ELSE 12 END AS dest_pieces, 2 AS connectors FROM v_requests r WHERE start_lvl = 2 OR dest_lvl = 2""")
 def _(t):
     # the top floor has no walkways here, so no route can start or end there
-    pieces = N.split_at_junctions(t.v_corridors.where("lvl < 2"))
-    resolved = R.resolved_pieces(pieces, N.snap_nodes(N.piece_ends(pieces)))
-    d = doors(t, resolved)
-    routes, _ = R.route_requests(requests(t), resolved, R.network_edges(resolved, d.where("lvl < 2"), N.vertical_edges(d.where("lvl < 2"))))
-    return R.unreachable_report(routes, pieces, t.v_landings)
+    resolved = network(t.v_corridors.where("lvl < 2"))
+    d = cut(doors(t, resolved).where("door_x is not null and lvl < 2"))
+    routes, _ = R.route_requests(requests(t), resolved, cut(R.network_edges(resolved, d, N.vertical_edges(d))))
+    return R.unreachable_report(routes, resolved, t.v_landings)
