@@ -138,3 +138,26 @@ def sticky_corridor(
     return kept.select(
         "device_id", "event_id", "floor", F.coalesce("_p.bx", "x").alias("placed_x"), F.coalesce("_p.by", "y").alias("placed_y"),
         F.when(has, segment_key("k_x1", "k_y1", "k_x2", "k_y2")).alias("seg_key"))
+
+
+# Which corridors a straight walk may be compared with.
+WALK_SEG_MIN_M, WALK_SEG_NEAR_M, WALK_MAX_ERR_DEG = 2.0, 4.0, 60.0
+
+
+def walk_axis_error(stretches: DataFrame, pieces: DataFrame, keys: Sequence[str] = ("floor",), order: str = "seg_ord") -> DataFrame:
+    """Signed angle between straight walks and the nearest corridor of similar direction.
+
+    ``stretches``: mid_x, mid_y, walk_deg. Rows without such a corridor get NULL.
+    """
+    def cost(s: Column) -> Column:
+        dist, _, _ = piece_distance(F.col("mid_x"), F.col("mid_y"), s)
+        fits = (s["len"] >= WALK_SEG_MIN_M) & (axis_diff("walk_deg", s["x1"], s["y1"], s["x2"], s["y2"]) <= WALK_MAX_ERR_DEG) & (dist <= WALK_SEG_NEAR_M)
+        return F.when(fits, F.round(dist, 9)).otherwise(F.lit(float("inf")))
+    # nothing beyond the near limit can fit, so an infinite best is settled there too
+    unseen = lambda r: F.lit(float("inf")) if r >= WALK_SEG_NEAR_M else F.lit(r)
+    rows = nearest_piece(stretches, prepare_pieces(pieces, keys, order), keys, cost, unseen, "mid_x", "mid_y")
+    s = F.col("piece.seg")
+    axis = F.degrees(F.atan2(s["x2"] - s["x1"], s["y2"] - s["y1"]))
+    err = F.pmod(F.col("walk_deg") - axis + 90.0, F.lit(180.0)) - 90.0
+    ok = F.col("piece.cost") < float("inf")
+    return rows.withColumns({"axis_error_deg": F.when(ok, err), "corridor": F.when(ok, F.col("piece.ord"))}).drop("piece")

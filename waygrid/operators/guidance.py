@@ -245,11 +245,12 @@ def turn_instructions(points) -> Column:
 
 def arrival_flag(points, x, y, remaining) -> Column:
     """True beside the bay: level with it along the aisle, not merely near it."""
-    p, x, y, rem = _c(points), num(x), num(y), num(remaining)
+    # 9 dp so that a value on a limit falls on the same side everywhere
+    p, x, y, rem = _c(points), num(x), num(y), F.round(num(remaining), 9)
     p0, a, b = at(p, -3), at(p, -2), at(p, -1)
-    slot = F.hypot(x - b["x"], y - b["y"])
+    slot = F.round(F.hypot(x - b["x"], y - b["y"]), 9)
     spur, into = gap(a, b), gap(p0, a)
-    u = ((x - a["x"]) * (a["x"] - p0["x"]) + (y - a["y"]) * (a["y"] - p0["y"])) / into
+    u = F.round(F.try_divide((x - a["x"]) * (a["x"] - p0["x"]) + (y - a["y"]) * (a["y"] - p0["y"]), into), 9)
     shaped = F.coalesce((F.size(p) >= 3) & (spur > 0.5) & (spur <= ARRIVE_SPUR_MAX_M) & (into > 0.5), F.lit(False))
     level = (slot <= spur + 3.5) & (rem <= spur + 8) & (u >= -ARRIVE_ABREAST_M)
     plain = (rem <= ARRIVE_M) | ((slot <= ARRIVE_SLOT_M) & (rem <= ARRIVE_SPUR_MAX_M))

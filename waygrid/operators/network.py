@@ -29,7 +29,7 @@ def _interior_t(p: str, px: Column, py: Column, tol: float) -> Column:
     x1, y1, x2, y2 = (F.col(f"{p}.{c}") for c in ("x1", "y1", "x2", "y2"))
     dx, dy = x2 - x1, y2 - y1
     len2 = dx * dx + dy * dy
-    t = ((px - x1) * dx + (py - y1) * dy) / len2
+    t = F.try_divide((px - x1) * dx + (py - y1) * dy, len2)
     ln = F.sqrt(len2)
     ok = (len2 >= 1e-12) & (t * ln > tol) & ((1 - t) * ln > tol) & (F.hypot(px - (x1 + t * dx), py - (y1 + t * dy)) <= tol)
     return F.when(ok, F.round(t, 6))
@@ -56,8 +56,8 @@ def split_at_junctions(
         F.least(a[f"{c}1"], a[f"{c}2"]), F.least(b[f"{c}1"], b[f"{c}2"])) - tol) / cell_m)
     pair = pair.where(first("x", "gx") & first("y", "gy"))
     den = (a["x1"] - a["x2"]) * (b["y1"] - b["y2"]) - (a["y1"] - a["y2"]) * (b["x1"] - b["x2"])
-    ta = ((a["x1"] - b["x1"]) * (b["y1"] - b["y2"]) - (a["y1"] - b["y1"]) * (b["x1"] - b["x2"])) / den
-    tb = -((a["x1"] - a["x2"]) * (a["y1"] - b["y1"]) - (a["y1"] - a["y2"]) * (a["x1"] - b["x1"])) / den
+    ta = F.try_divide((a["x1"] - b["x1"]) * (b["y1"] - b["y2"]) - (a["y1"] - b["y1"]) * (b["x1"] - b["x2"]), den)
+    tb = -F.try_divide((a["x1"] - a["x2"]) * (a["y1"] - b["y1"]) - (a["y1"] - a["y2"]) * (a["x1"] - b["x1"]), den)
     crosses = (F.abs(den) >= 1e-12) & (ta > 0) & (ta < 1) & (tb > 0) & (tb < 1)
     cx, cy = a["x1"] + ta * (a["x2"] - a["x1"]), a["y1"] + ta * (a["y2"] - a["y1"])
     cuts = F.array(_interior_t("a", b["x1"], b["y1"], tol), _interior_t("a", b["x2"], b["y2"], tol),

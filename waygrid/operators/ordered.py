@@ -131,9 +131,13 @@ Step = Callable[[dict, dict], "dict | list[dict] | None"]
 
 
 def _plain(v):
-    """Arrow and numpy scalars as JSON-friendly Python values, NaN as None."""
+    """Arrow and numpy values as JSON-friendly Python ones, NaN as None."""
     if v is None or v is pd.NaT:
         return None
+    if isinstance(v, (list, tuple)) or getattr(v, "ndim", 0):
+        return [_plain(e) for e in v]
+    if isinstance(v, dict):
+        return {k: _plain(e) for k, e in v.items()}
     if hasattr(v, "item"):
         v = v.item()
     if isinstance(v, float) and v != v:

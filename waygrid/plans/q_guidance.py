@@ -111,10 +111,10 @@ def _(t):
 
 
 @query("arrival_flag", f"""WITH {PROJ}, e AS (SELECT id, max(i) AS m FROM w GROUP BY id),
-q AS (SELECT pr.id, ux, uy, greatest(total - along, 0e0) AS rem, p.x AS px, p.y AS py, a.x AS ax2, a.y AS ay2, z.x AS zx, z.y AS zy FROM pr JOIN e USING (id)
+q AS (SELECT pr.id, ux, uy, round(greatest(total - along, 0e0), 9) AS rem, p.x AS px, p.y AS py, a.x AS ax2, a.y AS ay2, z.x AS zx, z.y AS zy FROM pr JOIN e USING (id)
   JOIN w z ON z.id = pr.id AND z.i = m LEFT JOIN w a ON a.id = pr.id AND a.i = m - 1 LEFT JOIN w p ON p.id = pr.id AND p.i = m - 2),
-r AS (SELECT *, sqrt((ux-zx)*(ux-zx)+(uy-zy)*(uy-zy)) AS slot, sqrt((zx-ax2)*(zx-ax2)+(zy-ay2)*(zy-ay2)) AS spur, sqrt((ax2-px)*(ax2-px)+(ay2-py)*(ay2-py)) AS inl FROM q),
-u AS (SELECT *, coalesce(px IS NOT NULL AND spur > 5e-1 AND spur <= 8 AND inl > 5e-1, false) AS shaped, CASE WHEN inl > 0 THEN ((ux-ax2)*(ax2-px)+(uy-ay2)*(ay2-py))/inl END AS u, rem <= 2 OR (slot <= 3 AND rem <= 8) AS plain FROM r)
+r AS (SELECT *, round(sqrt((ux-zx)*(ux-zx)+(uy-zy)*(uy-zy)), 9) AS slot, sqrt((zx-ax2)*(zx-ax2)+(zy-ay2)*(zy-ay2)) AS spur, sqrt((ax2-px)*(ax2-px)+(ay2-py)*(ay2-py)) AS inl FROM q),
+u AS (SELECT *, coalesce(px IS NOT NULL AND spur > 5e-1 AND spur <= 8 AND inl > 5e-1, false) AS shaped, CASE WHEN inl > 0 THEN round(((ux-ax2)*(ax2-px)+(uy-ay2)*(ay2-py))/inl, 9) END AS u, rem <= 2 OR (slot <= 3 AND rem <= 8) AS plain FROM r)
 SELECT id, CASE WHEN shaped AND slot <= spur + 35e-1 AND rem <= spur + 8 AND u >= -1 THEN true WHEN shaped AND NOT (u >= -1) THEN slot <= 3 AND u >= -3 ELSE plain END AS arrived FROM u""")
 def _(t):
     g = long_paths(t).withColumn("rem", G.route_progress("p", "ux", "uy")["remaining"])
