@@ -12,6 +12,7 @@ from ..functions.geometry import segment_similarity
 from ..functions.capture import (
     MARKER_CAM_HEIGHT_M, MARKER_MAX_DIST_M, MARKER_MAX_PITCH_DEG, MARKER_MAX_VIEW_DEG, MARKER_MIN_SIDE_PX, MARKER_MIRROR_DEG,
     marker_confidence, marker_max_reproj, marker_needed_ratio)
+from ..session import cut
 from .ordered import fold_ordered, numbered
 
 # Map limits.
@@ -23,7 +24,7 @@ SCALE_RANGE = (0.05, 15.0)
 KEEP_DIST_M, KEEP_HEIGHT_M = 8.0, 4.0
 DEPTH_RANGE_M, MAX_HEIGHT_M, BODY_HEIGHT_M = (0.3, 20.0), 4.5, 4.0
 ODOMETRY_MIN_M, FLOW_MIN_PX, FLOW_MIN_S, WALK_MPS, BASELINE_RANGE_M = 0.12, 8.0, 0.25, 1.05, (0.25, 1.40)
-NEAR_XY_M, CLOUD_DEPTH_M, MATCH_PX, EYE_HEIGHT_M, VIDEO_FOCAL = 12.0, (0.4, 18.0), 6.0, 1.5, 0.85
+NEAR_XY_M, CLOUD_DEPTH_M, MATCH_PX, EYE_HEIGHT_M, VIDEO_FOCAL = 12.0, (0.4, 18.0), 6.0, 1.55, 0.85
 LAYER_RANGE = (200, 20000)
 
 
@@ -229,11 +230,12 @@ def drop_far_landmarks(aligned: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def finalize_map(mem: DataFrame, disk: DataFrame, tags: DataFrame, frames: DataFrame, aligned: DataFrame) -> DataFrame:
     """Orphan tags, alignment of open sessions, export rule, merge with the stored map, floors."""
-    tags = reattach_orphan_tags(tags, frames, aligned)
+    tags = cut(reattach_orphan_tags(tags, frames, aligned))
     done = aligned.select("session_id").unionByName(frames.sparkSession.createDataFrame([(COMMITTED_SESSION,)], "session_id long")).distinct()
     open_tags = tags.join(done, "session_id", "left_anti")
-    anchors = tag_anchors(open_tags, frames)
-    pieces = session_pieces(anchors)
+    # anchors are a few rows per session and feed three steps
+    anchors = cut(tag_anchors(open_tags, frames))
+    pieces = cut(session_pieces(anchors))
     moved = drop_far_landmarks(align_sessions(mem.join(done, "session_id", "left_anti"), pieces), anchors)
     now = aligned.select("session_id").unionByName(pieces.select("session_id")).distinct()
     all_mem = moved.drop("aligned").unionByName(mem.join(done, "session_id", "left_semi"))
@@ -296,7 +298,7 @@ def nearest_landmark_keypoint(cloud: DataFrame, photos: DataFrame, keypoints: Da
     seen = seen.withColumns({"right": right, "depth": depth, "down": EYE_HEIGHT_M - F.col("z")})
     seen = seen.where((F.col("depth") > CLOUD_DEPTH_M[0]) & (F.col("depth") < CLOUD_DEPTH_M[1]))
     f = F.greatest("width", "height") * VIDEO_FOCAL
-    seen = seen.withColumns({"pu": f * F.col("right") / F.col("depth") + F.col("width") / 2, "pv": f * F.col("down") / F.col("depth") + F.col("height") / 2})
+    seen = seen.withColumns({"pu": F.try_divide(f * F.col("right"), F.col("depth")) + F.col("width") / 2, "pv": F.try_divide(f * F.col("down"), F.col("depth")) + F.col("height") / 2})
     seen = seen.where((F.col("pu") >= 0) & (F.col("pu") < F.col("width")) & (F.col("pv") >= 0) & (F.col("pv") < F.col("height")))
     kp = keypoints.withColumns({"gu": cell("u", MATCH_PX), "gv": cell("v", MATCH_PX)}).withColumn("du", around).withColumn("dv", around)
     kp = kp.withColumns({"gu": F.col("gu") + F.col("du"), "gv": F.col("gv") + F.col("dv")}).drop("du", "dv")
