@@ -13,7 +13,7 @@ from ..functions.capture import (
     MARKER_CAM_HEIGHT_M, MARKER_MAX_DIST_M, MARKER_MAX_PITCH_DEG, MARKER_MAX_VIEW_DEG, MARKER_MIN_SIDE_PX, MARKER_MIRROR_DEG,
     marker_confidence, marker_max_reproj, marker_needed_ratio)
 from ..session import cut
-from .ordered import fold_ordered, numbered
+from .ordered import fold_ordered, numbered, running
 
 # Map limits.
 MIN_LANDMARKS = 80
@@ -109,36 +109,24 @@ def cloud_layers(landmarks: DataFrame, max_per_floor: int, **slicing) -> DataFra
 
 
 # ------------------------------------------------------------------ nearest in time
-def nearest_in_time(tags: DataFrame, frames: DataFrame, keys: Sequence[str] = ("session_id",), bucket_s: float = 3600.0) -> DataFrame:
+def nearest_in_time(tags: DataFrame, frames: DataFrame, keys: Sequence[str] = ("session_id",), bounds: Sequence[float] = ()) -> DataFrame:
     """As-of nearest: each tag with the keyframe closest in time; the lower frame id wins ties.
 
     ``tags``: keys, tag_id, tag_t. ``frames``: keys, frame_id, frame_t and payload columns.
-    The nearest frame is either in the tag's time bucket or the last one before or first one
-    after it, and those come from per-bucket extremes. So only one bucket of a session is
-    ever met by a tag, not the whole session.
+    Tags and frames are read in time order once forwards and once backwards, remembering the
+    last frame, so no tag meets more than two frames. ``bounds`` cut hot keys into slices.
     """
     keys = list(keys)
-    bucket = lambda c: F.floor(F.col(c) / bucket_s)
     payload = [c for c in frames.columns if c not in keys]
-    fr = frames.withColumns({"_b": bucket("frame_t"), "_f": F.struct(*payload)})
-    # lists stay inside one bucket: first and last frame of each, then the neighbours by window
-    lo, hi = F.min_by("_f", F.struct("frame_t", "frame_id")), F.max_by("_f", F.struct(F.col("frame_t"), -F.col("frame_id")))
-    ends = fr.groupBy(*keys, "_b").agg(lo.alias("lo"), hi.alias("hi"))
-    tg = tags.withColumn("_b", bucket("tag_t"))
-    marks = ends.select(*keys, "_b", "lo", "hi").unionByName(tg.select(*keys, "_b").distinct(), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_b")
-    marks = marks.groupBy(*keys, "_b").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
-    before = F.last("hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    around = marks.select(*keys, "_b", before.alias("_before"), after.alias("_after"))
-    gap = lambda f: F.when(f.isNotNull(), F.struct(F.abs(f["frame_t"] - F.col("tag_t")).alias("dt"), f["frame_id"].alias("frame_id"), f.alias("f")))
-    tg = tg.join(around, [*keys, "_b"], "left")
-    outer = F.least(gap(F.col("_before")), gap(F.col("_after")))
-    inner = tg.select(*keys, "_b", "tag_id", "tag_t").join(fr.select(*keys, "_b", "_f"), [*keys, "_b"]).groupBy(*keys, "tag_id").agg(
-        F.min(gap(F.col("_f"))).alias("_in"))
-    out = tg.withColumn("_out", outer).join(inner, [*keys, "tag_id"], "left").withColumn("_best", F.least("_in", "_out"))
-    keep = [c for c in tags.columns]
-    return out.select(*keep, F.col("_best.dt").alias("dt"), *[F.col(f"_best.f.{c}").alias(c) for c in payload])
+    one = tags.select(*keys, F.struct(*tags.columns).alias("_tag"), F.col("tag_t").alias("_t"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_id"))
+    two = frames.select(*keys, F.struct(*payload).alias("_f"), F.col("frame_t").alias("_t"), F.lit(0).alias("_kind"), (-F.col("frame_id")).cast("long").alias("_id"))
+    both = one.unionByName(two, allowMissingColumns=True).withColumn("_back", -F.col("_t"))
+    is_frame = F.col("_kind") == 0
+    both = running(both, keys, ["_t", "_kind", "_id"], "_t", None, {"_before": (F.col("_f"), is_frame)}, bounds)
+    both = running(both, keys, ["_back", "_kind", "_id"], "_back", None, {"_after": (F.col("_f"), is_frame)}, sorted(-b for b in bounds))
+    gap = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.abs(F.col(f)["frame_t"] - F.col("_t")).alias("dt"), F.col(f)["frame_id"].alias("id"), F.col(f).alias("f")))
+    out = both.where("_kind = 1").withColumn("_best", F.least(gap("_before"), gap("_after")))
+    return out.select(*[F.col(f"_tag.{c}").alias(c) for c in tags.columns], F.col("_best.dt").alias("dt"), *[F.col(f"_best.f.{c}").alias(c) for c in payload])
 
 
 def reattach_orphan_tags(tags: DataFrame, frames: DataFrame, aligned: DataFrame, max_gap_s: float = ORPHAN_GAP_S) -> DataFrame:

@@ -8,9 +8,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 # File and version names.
-POINTER = "map_h2gis.current"
-LEGACY = "map_h2gis"
-NAME_PATTERN = r"^map_h2gis(_\d+)?$"
+POINTER = "map.current"
+LEGACY = "map"
+NAME_PATTERN = r"^map(_\d+)?$"
 
 
 def _fs(spark: SparkSession, base: str):
