@@ -7,10 +7,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.geometry import axis_diff, band_place, nearest_on_segment, segment_key
+from ..functions.geometry import band_place, segment_key
+from ..functions.vectors import bind
 from ..session import cut
 from .ordered import fold_ordered
-from .spatial import nearest_piece, piece_distance, prepare_pieces
+from .spatial import across, nearest_piece, nine_places, piece_distance, prepare_pieces, project_on
 
 # Cost of leaving the current corridor, of facing across one, and weights.
 SWITCH_PENALTY_M = 1.2
@@ -21,13 +22,10 @@ CENTRE_WEIGHT = 0.05
 
 def _cost(px: Column, py: Column, heading: Column | None):
     def cost(s: Column) -> Column:
-        dist, outside, _ = piece_distance(px, py, s)
-        c = outside + CENTRE_WEIGHT * dist
+        c = bind(piece_distance(px, py, s), lambda d: d["outside"] + CENTRE_WEIGHT * d["dist"])
         if heading is not None:
-            across = axis_diff(heading, s["x1"], s["y1"], s["x2"], s["y2"]) > HEADING_PENALTY_FROM_DEG
-            c = c + F.when(across, HEADING_PENALTY_M).otherwise(0.0)
-        # rounded so that equal costs tie in the same way everywhere
-        return F.round(c, 9)
+            c = c + F.when(across(heading, s["axis"]) > HEADING_PENALTY_FROM_DEG, HEADING_PENALTY_M).otherwise(0.0)
+        return nine_places(c)
     return cost
 
 
@@ -47,14 +45,20 @@ def match_corridor(
     # a piece further than r is at least r - widest outside its band
     unseen = lambda r: F.lit(max(r - widest, 0.0) + CENTRE_WEIGHT * r)
     rows = nearest_piece(points, prepared, keys, cost, unseen, x, y, cell_m)
-    s = F.col("piece")["seg"]
-    place = band_place(px, py, s["x1"], s["y1"], s["x2"], s["y2"], s["left"], s["right"])
-    rows = rows.withColumn("_p", F.when(F.col("piece").isNotNull(), place))
+    # a zero-length piece is a disc: its "band" is the radius round the point
+    rows = project_on(rows, "piece", x, y)
+    g = lambda f: F.col(f"piece.seg.{f}")
+    rows = rows.withColumn("_held", F.least(F.greatest("_lat", -g("right")), g("left")))
+    rows = rows.withColumn("_dist", F.hypot("_over", "_lat"))
+    disc, wide = g("len") == 0, F.greatest(g("left"), g("right"))
+    inside = F.when(disc, F.col("_dist") <= wide).otherwise(F.hypot(F.col("_over"), F.col("_lat") - F.col("_held")) <= 1e-9)
+    rows = rows.withColumns({"_in": F.coalesce(inside, F.lit(True)), "_k": F.try_divide(wide, F.col("_dist"))})
+    edge = lambda p, n, d: F.when(F.col("_in"), p).when(disc, F.col(n) + (p - F.col(n)) * F.col("_k")).otherwise(F.col(n) + d * F.col("_held"))
     return rows.withColumns({
-        "placed_x": F.coalesce(F.col("_p.bx"), px), "placed_y": F.coalesce(F.col("_p.by"), py),
-        "seg_key": F.when(F.col("piece").isNotNull(), segment_key(s["x1"], s["y1"], s["x2"], s["y2"])),
-        "centre_x": F.col("_p.cx"), "centre_y": F.col("_p.cy"), "match_cost": F.col("piece.cost"),
-    }).drop("_p")
+        "placed_x": edge(px, "_nx", -g("uy")), "placed_y": edge(py, "_ny", g("ux")),
+        "seg_key": F.when(F.col("piece").isNotNull(), segment_key(g("x1"), g("y1"), g("x2"), g("y2"))),
+        "centre_x": F.col("_nx"), "centre_y": F.col("_ny"), "match_cost": F.col("piece.cost"),
+    }).drop("_along", "_lat", "_t", "_over", "_nx", "_ny", "_held", "_dist", "_in", "_k")
 
 
 def snap_to_walkable(
@@ -64,15 +68,12 @@ def snap_to_walkable(
     """Nearest point on any segment of the floor: snap_x, snap_y, snap_dist, snap_ord, piece."""
     prepared = prepare_pieces(segments, keys, order)
     px, py = F.col(x), F.col(y)
-    # rounded so that equal distances tie in the same way everywhere
-    cost = lambda s: F.round(piece_distance(px, py, s)[0], 9)
+    cost = lambda s: nine_places(piece_distance(px, py, s)["dist"])
     rows = nearest_piece(points, prepared, keys, cost, lambda r: F.lit(r), x, y, cell_m)
-    s = F.col("piece")["seg"]
-    n = nearest_on_segment(px, py, s["x1"], s["y1"], s["x2"], s["y2"])
-    rows = rows.withColumn("_n", F.when(F.col("piece").isNotNull(), n))
+    rows = project_on(rows, "piece", x, y)
     return rows.withColumns({
-        "snap_x": F.coalesce(F.col("_n.nx"), px), "snap_y": F.coalesce(F.col("_n.ny"), py),
-        "snap_dist": F.col("_n.dist"), "snap_ord": F.col("piece.ord")}).drop("_n")
+        "snap_x": F.coalesce("_nx", px), "snap_y": F.coalesce("_ny", py), "snap_dist": F.hypot("_over", "_lat"),
+        "snap_ord": F.col("piece.ord")}).drop("_along", "_lat", "_t", "_over", "_nx", "_ny")
 
 
 # ------------------------------------------------------------------ sticky matching per device
@@ -150,9 +151,9 @@ def walk_axis_error(stretches: DataFrame, pieces: DataFrame, keys: Sequence[str]
     ``stretches``: mid_x, mid_y, walk_deg. Rows without such a corridor get NULL.
     """
     def cost(s: Column) -> Column:
-        dist, _, _ = piece_distance(F.col("mid_x"), F.col("mid_y"), s)
-        fits = (s["len"] >= WALK_SEG_MIN_M) & (axis_diff("walk_deg", s["x1"], s["y1"], s["x2"], s["y2"]) <= WALK_MAX_ERR_DEG) & (dist <= WALK_SEG_NEAR_M)
-        return F.when(fits, F.round(dist, 9)).otherwise(F.lit(float("inf")))
+        fits = (s["len"] >= WALK_SEG_MIN_M) & (across(F.col("walk_deg"), s["axis"]) <= WALK_MAX_ERR_DEG)
+        return bind(piece_distance(F.col("mid_x"), F.col("mid_y"), s)["dist"], lambda d: F.when(
+            fits & (d <= WALK_SEG_NEAR_M), nine_places(d)).otherwise(F.lit(float("inf"))))
     # nothing beyond the near limit can fit, so an infinite best is settled there too
     unseen = lambda r: F.lit(float("inf")) if r >= WALK_SEG_NEAR_M else F.lit(r)
     rows = nearest_piece(stretches, prepare_pieces(pieces, keys, order), keys, cost, unseen, "mid_x", "mid_y")

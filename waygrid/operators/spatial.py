@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import side_widths
+from ..functions.vectors import bind
 from ..session import cut
 
 
@@ -31,10 +32,11 @@ def prepare_pieces(pieces: DataFrame, keys: Sequence[str], order: str) -> DataFr
     return p.withColumns({
         "ux": F.when(flat, 1.0).otherwise((F.col("x2") - F.col("x1")) / F.col("len")),
         "uy": F.when(flat, 0.0).otherwise((F.col("y2") - F.col("y1")) / F.col("len")),
+        "axis": F.degrees(F.atan2(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))),
     })
 
 
-PIECE_FIELDS = ("ord", "x1", "y1", "x2", "y2", "left", "right", "len", "ux", "uy")
+PIECE_FIELDS = ("ord", "x1", "y1", "x2", "y2", "left", "right", "len", "ux", "uy", "axis")
 
 
 def _cells(pieces: DataFrame, keys: Sequence[str], size: float, tag: str) -> DataFrame:
@@ -47,17 +49,48 @@ def _cells(pieces: DataFrame, keys: Sequence[str], size: float, tag: str) -> Dat
     )
 
 
-def piece_distance(px: Column, py: Column, s: Column) -> tuple[Column, Column, Column]:
-    """(distance to the line, metres outside the band, distance along) of a prepared piece."""
-    vx, vy = px - s["x1"], py - s["y1"]
-    along = vx * s["ux"] + vy * s["uy"]
-    lateral = vy * s["ux"] - vx * s["uy"]
-    over = along - F.least(F.greatest(along, F.lit(0.0)), s["len"])
-    dist = F.sqrt(over * over + lateral * lateral)
-    side = lateral - F.least(F.greatest(lateral, -s["right"]), s["left"])
-    outside = F.when(s["len"] == 0, F.greatest(dist - F.greatest(s["left"], s["right"]), F.lit(0.0))).otherwise(
-        F.sqrt(over * over + side * side))
-    return dist, F.when(outside <= 1e-9, 0.0).otherwise(outside), along
+def piece_distance(px: Column, py: Column, s: Column) -> Column:
+    """STRUCT(dist, outside): metres to the line and outside the band of a prepared piece.
+
+    Values are bound step by step: inside an array function nothing else would keep them
+    from being computed again at every use.
+    """
+    local = F.struct(
+        ((px - s["x1"]) * s["ux"] + (py - s["y1"]) * s["uy"]).alias("along"),
+        ((py - s["y1"]) * s["ux"] - (px - s["x1"]) * s["uy"]).alias("lat"))
+    beyond = lambda a: F.struct(
+        (a["along"] - F.least(F.greatest(a["along"], F.lit(0.0)), s["len"])).alias("over"), a["lat"].alias("lat"),
+        (a["lat"] - F.least(F.greatest(a["lat"], -s["right"]), s["left"])).alias("side"))
+    measure = lambda d: F.struct(
+        F.sqrt(d["over"] * d["over"] + d["lat"] * d["lat"]).alias("dist"), F.sqrt(d["over"] * d["over"] + d["side"] * d["side"]).alias("off"))
+    final = lambda m: F.struct(m["dist"].alias("dist"), F.when(
+        s["len"] == 0, F.greatest(m["dist"] - F.greatest(s["left"], s["right"]), F.lit(0.0))).when(
+        m["off"] <= 1e-9, 0.0).otherwise(m["off"]).alias("outside"))
+    return bind(bind(bind(local, beyond), measure), final)
+
+
+def nine_places(c: Column) -> Column:
+    """Rounded so that equal costs tie in the same way everywhere (plain double arithmetic)."""
+    return F.rint(c * 1e9) / 1e9
+
+
+def across(heading: Column, axis: Column) -> Column:
+    """Angle between a heading and a piece's axis, 0..90."""
+    d = F.abs(F.pmod(heading - axis + 180.0, F.lit(360.0)) - 180.0)
+    return F.least(d, 180.0 - d)
+
+
+def project_on(rows: DataFrame, piece: str, px: str, py: str) -> DataFrame:
+    """Foot of the point on its piece: _nx, _ny, _lat (left positive), _over (past the ends).
+
+    Each step is its own projection, so a value used twice is computed once.
+    """
+    g = lambda f: F.col(f"{piece}.seg.{f}")
+    rows = rows.withColumns({
+        "_along": (F.col(px) - g("x1")) * g("ux") + (F.col(py) - g("y1")) * g("uy"),
+        "_lat": (F.col(py) - g("y1")) * g("ux") - (F.col(px) - g("x1")) * g("uy")})
+    rows = rows.withColumn("_t", F.least(F.greatest("_along", F.lit(0.0)), g("len")))
+    return rows.withColumns({"_over": F.col("_along") - F.col("_t"), "_nx": g("x1") + F.col("_t") * g("ux"), "_ny": g("y1") + F.col("_t") * g("uy")})
 
 
 def _reach(points: DataFrame, pieces: DataFrame, px: str, py: str) -> float:
@@ -95,9 +128,13 @@ def nearest_piece(
         if i:
             on.append(~F.coalesce(F.col(f"p.{out}")["cost"] <= unseen_cost(sizes[i - 1]), F.lit(False)))
         rows = frame.alias("p").join(cells.alias("c"), on, "left")
-        scored = F.array_min(F.transform(
-            F.col(tag), lambda s: F.struct(cost(s).alias("cost"), s["ord"].alias("ord"), s.alias("seg"))))
-        # least() skips NULLs: a settled point keeps its piece
+        best = F.array_min(F.transform(
+            F.col(tag), lambda s, n: F.struct(cost(s).alias("cost"), s["ord"].alias("ord"), n.alias("n"))))
         kept = [F.col(f"p.{c}") for c in points.columns]
-        frame = rows.select(*kept, (F.least(F.col(f"p.{out}"), scored) if i else scored).alias(out))
+        prior = [F.col(f"p.{out}").alias("_prior")] if i else []
+        rows = rows.select(*kept, *prior, F.col(tag), best.alias("_best"))
+        found = F.when(F.col("_best").isNotNull(), F.struct(
+            F.col("_best.cost").alias("cost"), F.col("_best.ord").alias("ord"), F.get(tag, F.col("_best.n")).alias("seg")))
+        # least() skips NULLs: a settled point keeps its piece
+        frame = rows.select(*points.columns, (F.least(F.col("_prior"), found) if i else found).alias(out))
     return frame

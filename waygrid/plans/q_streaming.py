@@ -18,9 +18,9 @@ DELAY = "10 minutes"
 
 
 def event_stream(t):
-    path = f"{t.dir}/events.parquet"
-    schema = t.spark.read.parquet(path).schema
-    return t.spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    # a file stream watches a folder; the glob keeps the other tables out
+    schema = t.events.schema
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(t, df, name: str):
