@@ -93,14 +93,27 @@ def project_on(rows: DataFrame, piece: str, px: str, py: str) -> DataFrame:
     return rows.withColumns({"_over": F.col("_along") - F.col("_t"), "_nx": g("x1") + F.col("_t") * g("ux"), "_ny": g("y1") + F.col("_t") * g("uy")})
 
 
-def _reach(points: DataFrame, pieces: DataFrame, px: str, py: str) -> float:
-    """No point is further than this from any piece (one narrow aggregate per side)."""
+SPREAD_ROWS = 50_000
+
+
+def _spread(points: DataFrame, rows: int) -> DataFrame:
+    """A few files that cannot be split would leave most cores idle: deal their rows out.
+
+    Tables of many files, the usual case on a cluster, are left where they are.
+    """
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    few = 0 < len(points.inputFiles()) < cores
+    return points.repartition(cores) if few and rows > SPREAD_ROWS else points
+
+
+def _reach(points: DataFrame, pieces: DataFrame, px: str, py: str) -> tuple[float, int]:
+    """(no point is further than this from any piece, number of points); one narrow aggregate per side."""
     ends = pieces.agg(*[f(g("%s1" % c, "%s2" % c)) for c in "xy" for f, g in ((F.min, F.least), (F.max, F.greatest))]).first()
-    spots = points.agg(F.min(px), F.max(px), F.min(py), F.max(py)).first()
+    spots = points.agg(F.min(px), F.max(px), F.min(py), F.max(py), F.count("*")).first()
     if ends[0] is None or spots[0] is None:
-        return 0.0
+        return 0.0, spots[4]
     span = [max(ends[i + 1], spots[i + 1]) - min(ends[i], spots[i]) for i in (0, 2)]
-    return math.hypot(*span)
+    return math.hypot(*span), spots[4]
 
 
 def nearest_piece(
@@ -115,11 +128,11 @@ def nearest_piece(
     """
     keys = list(keys)
     pieces = cut(pieces)  # floor plans are small next to the points and are read per grid
-    reach = _reach(points, pieces, px, py)
+    reach, n_points = _reach(points, pieces, px, py)
     sizes = [cell_m]
     while sizes[-1] < reach:
         sizes.append(sizes[-1] * 4)
-    frame = points
+    frame = _spread(points, n_points)
     for i, size in enumerate(sizes):
         tag = f"cell_{i}"
         cells = _cells(pieces, keys, size, tag)
