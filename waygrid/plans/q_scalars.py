@@ -123,7 +123,7 @@ def _(t):
     return rounded(p.select("id", G.bearing("ax", "ay", "bx", "by_").alias("deg")))
 
 
-@query("turn_angle", f"""WITH {P4}, a AS (SELECT id, degrees(atan2((bx-ax)*(cy-by_) - (by_-ay)*(cx-bx) + 0e0, (bx-ax)*(cx-bx) + (by_-ay)*(cy-by_))) AS ang FROM p4)
+@query("turn_angle", f"""WITH {P4}, a AS (SELECT id, degrees(atan2((bx-ax)*(cy-by_) - (by_-ay)*(cx-bx) + 0e0, (bx-ax)*(cx-bx) + (by_-ay)*(cy-by_) + 0e0)) AS ang FROM p4)
 SELECT id, round(ang, 6) + 0e0 AS angle, CASE WHEN abs(ang) < 30 THEN NULL WHEN abs(ang) >= 150 THEN 'Turn around' WHEN ang > 0 THEN 'Turn left' ELSE 'Turn right' END AS label
 FROM a""")
 def _(t):
