@@ -13,7 +13,7 @@ from ..functions.capture import (
     MARKER_CAM_HEIGHT_M, MARKER_MAX_DIST_M, MARKER_MAX_PITCH_DEG, MARKER_MAX_VIEW_DEG, MARKER_MIN_SIDE_PX, MARKER_MIRROR_DEG,
     marker_confidence, marker_max_reproj, marker_needed_ratio)
 from ..session import cut
-from .ordered import fold_ordered, numbered, running
+from .ordered import auto_bounds, fold_ordered, neighbours, numbered, running
 
 # Map limits.
 MIN_LANDMARKS = 80
@@ -109,7 +109,7 @@ def cloud_layers(landmarks: DataFrame, max_per_floor: int, **slicing) -> DataFra
 
 
 # ------------------------------------------------------------------ nearest in time
-def nearest_in_time(tags: DataFrame, frames: DataFrame, keys: Sequence[str] = ("session_id",), bounds: Sequence[float] = ()) -> DataFrame:
+def nearest_in_time(tags: DataFrame, frames: DataFrame, keys: Sequence[str] = ("session_id",), bounds: Sequence[float] | None = None) -> DataFrame:
     """As-of nearest: each tag with the keyframe closest in time; the lower frame id wins ties.
 
     ``tags``: keys, tag_id, tag_t. ``frames``: keys, frame_id, frame_t and payload columns.
@@ -117,6 +117,7 @@ def nearest_in_time(tags: DataFrame, frames: DataFrame, keys: Sequence[str] = ("
     last frame, so no tag meets more than two frames. ``bounds`` cut hot keys into slices.
     """
     keys = list(keys)
+    bounds = auto_bounds(frames, "frame_t", bounds)
     payload = [c for c in frames.columns if c not in keys]
     one = tags.select(*keys, F.struct(*tags.columns).alias("_tag"), F.col("tag_t").alias("_t"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_id"))
     two = frames.select(*keys, F.struct(*payload).alias("_f"), F.col("frame_t").alias("_t"), F.lit(0).alias("_kind"), (-F.col("frame_id")).cast("long").alias("_id"))
@@ -249,14 +250,14 @@ def landmark_filter(points: DataFrame, body_frame: bool = False) -> DataFrame:
     return points.where(ok)
 
 
-def keyframe_motion(frames: DataFrame) -> DataFrame:
+def keyframe_motion(frames: DataFrame, bounds: Sequence[float] | None = None) -> DataFrame:
     """Metric step between consecutive keyframes of a session and where it came from.
 
     ``frames``: session_id, frame_id, t, x, y, z, median_flow.
     """
-    w = Window.partitionBy("session_id").orderBy("t", "frame_id")
-    d = lambda c: F.col(c) - F.lag(c).over(w)
-    f = frames.withColumns({"odo": F.sqrt(d("x") ** 2 + d("y") ** 2 + d("z") ** 2), "dt": F.abs(d("t"))}).where("odo is not null")
+    f = neighbours(frames, ["session_id"], ["t", "frame_id"], "t", ["x", "y", "z", "t"], bounds)
+    d = lambda c: F.col(c) - F.col(f"prev_{c}")
+    f = f.withColumns({"odo": F.sqrt(d("x") ** 2 + d("y") ** 2 + d("z") ** 2), "dt": F.abs(d("t"))}).where("odo is not null")
     visual = (F.col("median_flow") >= FLOW_MIN_PX) & (F.col("dt") >= FLOW_MIN_S)
     lo, hi = BASELINE_RANGE_M
     base = F.when(F.col("odo") >= ODOMETRY_MIN_M, F.col("odo")).when(visual, F.least(F.greatest(WALK_MPS * F.col("dt"), F.lit(lo)), F.lit(hi)))

@@ -31,6 +31,11 @@ def slice_bounds(df: DataFrame, ts: str, rows_per_slice: int = ROWS_PER_SLICE) -
     return sorted(set(found or []))
 
 
+def auto_bounds(df: DataFrame, ts: str, bounds: Sequence[float] | None) -> Sequence[float]:
+    """Given bounds, or those the size of the table calls for."""
+    return slice_bounds(df, ts) if bounds is None else bounds
+
+
 def with_slice(df: DataFrame, ts: str, bounds: Sequence[float], name: str = "_slice") -> DataFrame:
     if not bounds:
         return df.withColumn(name, F.lit(0))
@@ -42,13 +47,13 @@ def with_slice(df: DataFrame, ts: str, bounds: Sequence[float], name: str = "_sl
 def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str,
     sums: dict[str, Column] | None = None, lasts: dict[str, tuple[Column, Column]] | None = None,
-    bounds: Sequence[float] = (),
+    bounds: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add running sums and "last value where" columns per key, current row included.
 
     ``sums``: name -> number expression. ``lasts``: name -> (value, condition).
     """
-    sums, lasts = sums or {}, lasts or {}
+    sums, lasts, bounds = sums or {}, lasts or {}, auto_bounds(df, ts, bounds)
     src = with_slice(df, ts, bounds)
     for name, e in sums.items():
         src = src.withColumn(f"_in_{name}", e)
@@ -87,9 +92,10 @@ def running(
 
 def neighbours(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, columns: Sequence[str],
-    bounds: Sequence[float] = (), prefix: str = "prev_",
+    bounds: Sequence[float] | None = None, prefix: str = "prev_",
 ) -> DataFrame:
     """``lag(1)`` of several columns per key, across slice borders too."""
+    bounds = auto_bounds(df, ts, bounds)
     src = with_slice(df, ts, bounds).withColumn("_row", F.struct(*[F.col(c) for c in columns]))
     w = Window.partitionBy(*keys, "_slice").orderBy(*order)
     out = src.withColumn("_prev", F.lag("_row").over(w))
@@ -147,15 +153,18 @@ def _plain(v):
 
 def fold_ordered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, schema: str,
-    ts: str | None = None, bounds: Sequence[float] = (), start: Callable[[], dict] = dict,
+    ts: str | None = None, bounds: Sequence[float] | None = None, start: Callable[[], dict] = dict,
 ) -> DataFrame:
     """Run a small state machine over the rows of each key, in order.
 
     ``step(state, row)`` changes ``state`` (JSON-friendly dict) and returns output rows.
     Rows stream through a task in Arrow batches: only the state of one key is held.
-    With ``bounds`` the slices run one after another and hand the states on, so no
-    task reads more than one slice of a hot key.
+    Large tables are cut into slices of ``ts`` (by default the first order column) that run
+    one after another and hand the states on, so no task reads more than one slice of a
+    hot key.
     """
+    ts = ts or list(order)[0]
+    bounds = auto_bounds(df, ts, bounds)
     out_type = T._parse_datatype_string(schema)
     names = [f.name for f in out_type.fields]
     keys, order = list(keys), list(order)

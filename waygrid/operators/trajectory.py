@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.floors import normalize_floor
-from ..functions.geometry import clamp, signed_heading_delta
-from .ordered import neighbours, numbered, running
+from ..functions.geometry import signed_heading_delta
+from .ordered import auto_bounds, neighbours, running
 
 # Confidence decay per pose and per step, seed confidence, live time.
 POSE_DECAY, POSE_FLOOR = 0.98, 0.1
@@ -30,14 +30,14 @@ def confidence_decay(at_fix: Column, k: Column, rate: float = POSE_DECAY, floor:
     return F.when(k == 0, at_fix).otherwise(aged)
 
 
-def fuse_positions(rows: DataFrame, t: str = "t", order: Sequence[str] = ("t", "kind", "event_id"), bounds: Sequence[float] = ()) -> DataFrame:
+def fuse_positions(rows: DataFrame, t: str = "t", order: Sequence[str] = ("t", "kind", "event_id"), bounds: Sequence[float] | None = None) -> DataFrame:
     """Fixes reset the position, odometry moves it and wears the confidence down.
 
     ``rows``: device_id, event_id, t, kind ('a_pose' sorts before 'b_fix' at one time),
     matched, x, y, heading, floor, confidence. A pose holds local coordinates; the offset
     to the building is frozen at the last fix. Before any fix poses are reported as they are.
     """
-    order = list(order)
+    order, bounds = list(order), auto_bounds(rows, t, bounds)
     pose = F.col("kind") == "a_pose"
     fix = (F.col("kind") == "b_fix") & F.col("matched")
     local = F.struct(F.col("x").alias("x"), F.col("y").alias("y"), F.pmod("heading", F.lit(360.0)).alias("h"))
@@ -66,12 +66,12 @@ def fuse_positions(rows: DataFrame, t: str = "t", order: Sequence[str] = ("t", "
     return out.select("device_id", "event_id", t, "kind", "fused_floor", "fused_x", "fused_y", "fused_heading", "fused_confidence")
 
 
-def steps_since_fix(rows: DataFrame, t: str = "t", bounds: Sequence[float] = ()) -> DataFrame:
+def steps_since_fix(rows: DataFrame, t: str = "t", bounds: Sequence[float] | None = None) -> DataFrame:
     """Steps since the last fix, and at a fix the distance from the carried position.
 
     ``rows``: device_id, event_id, t, is_fix, is_step, x, y.
     """
-    order = [t, "event_id"]
+    order, bounds = [t, "event_id"], auto_bounds(rows, t, bounds)
     n = F.when(F.col("is_step"), 1).otherwise(0)
     r = running(rows, DEVICE, order, t, {"n_steps": n}, None, bounds)
     r = running(r, DEVICE, order, t, None, {"at_fix": (F.col("n_steps"), F.col("is_fix"))}, bounds)
@@ -80,27 +80,27 @@ def steps_since_fix(rows: DataFrame, t: str = "t", bounds: Sequence[float] = ())
     return r.select("device_id", "event_id", (F.col("n_steps") - F.coalesce("at_fix", F.lit(0))).alias("steps_since_fix"), drift.alias("drift_m"))
 
 
-def consecutive_floor_hits(rows: DataFrame, t: str = "t", need: int = 2, bounds: Sequence[float] = ()) -> DataFrame:
+def consecutive_floor_hits(rows: DataFrame, t: str = "t", need: int = 2, bounds: Sequence[float] | None = None) -> DataFrame:
     """Count of colour readings in a row that name the landing floor; ``seed`` at the ``need``-th.
 
     ``rows``: device_id, event_id, t, seen_floor, landing_floor. A reading of another floor,
     or none, starts again.
     """
     hit = F.coalesce(normalize_floor("seen_floor") == normalize_floor("landing_floor"), F.lit(False)) & F.col("seen_floor").isNotNull()
-    order = [t, "event_id"]
+    order, bounds = [t, "event_id"], auto_bounds(rows, t, bounds)
     r = running(rows.withColumn("_hit", hit), DEVICE, order, t, {"n_hit": F.when(F.col("_hit"), 1).otherwise(0)}, None, bounds)
     r = running(r, DEVICE, order, t, None, {"base": (F.col("n_hit"), ~F.col("_hit"))}, bounds)
     hits = F.col("n_hit") - F.coalesce("base", F.lit(0))
     return r.select("device_id", "event_id", hits.alias("hits"), (F.col("_hit") & (hits == need)).alias("seed"))
 
 
-def infer_walking_offset(rows: DataFrame, t: str = "t", bounds: Sequence[float] = ()) -> DataFrame:
+def infer_walking_offset(rows: DataFrame, t: str = "t", bounds: Sequence[float] | None = None) -> DataFrame:
     """Angle between sensed heading and walked direction, from consecutive fixes.
 
     ``rows``: device_id, event_id, t, is_fix, is_step, x, y, floor, confidence, heading,
     step_m. Gives one row per fix after a fix; the offset is NULL when it cannot be trusted.
     """
-    order = [t, "event_id"]
+    order, bounds = [t, "event_id"], auto_bounds(rows, t, bounds)
     step = lambda e: F.when(F.col("is_step"), e).otherwise(F.lit(0.0))
     sums = {"n": step(F.lit(1.0)), "path": step(F.col("step_m")), "ss": step(F.sin(F.radians("heading"))), "cs": step(F.cos(F.radians("heading")))}
     r = running(rows, DEVICE, order, t, sums, None, bounds).where("is_fix")
@@ -116,7 +116,7 @@ def infer_walking_offset(rows: DataFrame, t: str = "t", bounds: Sequence[float]
     return r.select("device_id", "event_id", t, F.col("steps").cast("long").alias("steps"), "path_m", "fix_m", offset.alias("offset_deg"))
 
 
-def route_change_log(routes: DataFrame, t: str = "t", bounds: Sequence[float] = ()) -> DataFrame:
+def route_change_log(routes: DataFrame, t: str = "t", bounds: Sequence[float] | None = None) -> DataFrame:
     """Only routes that differ from the device's previous one, at half-metre resolution.
 
     ``routes``: device_id, event_id, t, slot_id, waypoints ARRAY<STRUCT(x, y)>.
@@ -154,9 +154,9 @@ def live_devices(events: DataFrame, as_of: float, ttl_s: float = LIVE_TTL_S) ->
                                 (F.lit(as_of) - F.col("last.t")).alias("age_s"))
 
 
-def device_sessions(events: DataFrame, gap_s: float = LIVE_TTL_S, t: str = "t", bounds: Sequence[float] = ()) -> DataFrame:
+def device_sessions(events: DataFrame, gap_s: float = LIVE_TTL_S, t: str = "t", bounds: Sequence[float] | None = None) -> DataFrame:
     """Runs of events per device without a pause longer than the gap."""
-    order = [t, "event_id"]
+    order, bounds = [t, "event_id"], auto_bounds(events, t, bounds)
     r = neighbours(events, DEVICE, order, t, [t], bounds)
     start = F.when(F.col(f"prev_{t}").isNull() | (F.col(t) - F.col(f"prev_{t}") >= gap_s), 1).otherwise(0)
     r = running(r, DEVICE, order, t, {"session_no": start}, None, bounds)
