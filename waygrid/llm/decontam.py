@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,8 @@ SHARE = 0.6          # of an item's own score that a passage must reach
 OVERLAP = 0.8        # of the words of the question, and of the answer, that the passage must hold
 SHINGLE_OVERLAP = 0.4
 ANSWER_WORDS = 8
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 8
+CHUNK_WORDS = 50_000
 MAX_INDEX_CHARS = 16_000_000  # item text that one index holds
 HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("word_at", pa.int64()), ("score", pa.float64()),
                  ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
@@ -28,6 +30,13 @@ def terms(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [lo, hi), one after another, and the range that each comes from."""
+    n = hi - lo
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n), owner
+
+
 @dataclass
 class Item:
     item_id: int
@@ -63,55 +72,70 @@ class Index:
             weight += [w / goal for w in own.values()]
         term, item, weight = np.array(term, np.int64), np.array(item, np.int64), np.array(weight, float)
         self.n_blocks = -(-n // BLOCK_ITEMS)
-        # per term: postings (item, weight), block maxima (block, weight), and the largest weight of all
+        # postings in order of term, then item; each run of a term inside a block of items has its largest weight
         order = np.lexsort((item, term))
-        self.item, self.weight = item[order], weight[order]
-        self.post = np.searchsorted(term[order], np.arange(v + 1))
-        key, at = np.unique(term * max(self.n_blocks, 1) + item // BLOCK_ITEMS, return_inverse=True)
-        most = np.zeros(len(key))
-        np.maximum.at(most, at, weight)
-        self.block, self.block_max = key % max(self.n_blocks, 1), most
-        self.blocks_at = np.searchsorted(key // max(self.n_blocks, 1), np.arange(v + 1))
-        self.top = np.zeros(v + 1)  # the last entry stands for words of no item
-        np.maximum.at(self.top, term, weight)
-
-    def _gather(self, at: np.ndarray, ts: np.ndarray, ids: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(n)
-        for t in ts.tolist():
-            out[ids[at[t]:at[t + 1]]] += values[at[t]:at[t + 1]]
-        return out
-
-    def hits(self, text: str | None):
-        """(item, word position, score, question overlap, answer overlap), the best passage of each item."""
-        ws = terms(text)
-        if not ws or not self.items:
-            return
+        term, self.item, self.weight = term[order], item[order], weight[order]
+        run = np.flatnonzero(np.concatenate(([True], (np.diff(term) != 0) | (np.diff(self.item // BLOCK_ITEMS) != 0)))) if len(term) else np.zeros(0, int)
+        self.run_at = np.concatenate((run, [len(term)]))
+        self.run_block = self.item[run] // BLOCK_ITEMS
+        self.run_max = np.maximum.reduceat(self.weight, run) if len(run) else np.zeros(0)
+        self.runs_of = np.searchsorted(term[run], np.arange(v + 1))
+        self.top = np.zeros(v + 1)  # largest weight of a term; the last entry stands for words of no item
+        np.maximum.at(self.top, term, self.weight)
+
+    def search(self, texts: list):
+        """(row, item, word position, score, question overlap, answer overlap): the best passage of each row and item."""
+        if not self.items:
+            return []
         none, size = len(self.terms), max(32, self.longest)
-        at = np.fromiter((self.terms.get(w, none) for w in ws), np.int64, len(ws))
-        # passages of 2 * size words, starting every ``size`` words: any item's span lies in one
-        starts = np.arange(0, max(1, len(ws) - size), size)
+        lookup, found, lo = self.terms.get, [], 0
+        while lo < len(texts):
+            hi, part, n = lo, [], 0
+            while hi < len(texts) and n < CHUNK_WORDS:
+                ws = terms(texts[hi])
+                part.append(np.fromiter(map(lookup, ws, repeat(none)), np.int64, len(ws)))
+                n += len(ws)
+                hi += 1
+            # passages of 2 * size words, starting every ``size`` words: any item's span lies in one
+            doc_at = np.cumsum([0] + [len(x) for x in part])
+            starts = [np.arange(a, max(a + 1, z - size), size) if z > a else np.zeros(0, int) for a, z in zip(doc_at, doc_at[1:])]
+            row = np.repeat(np.arange(len(part)), [len(x) for x in starts])
+            if len(row):
+                starts = np.concatenate(starts)
+                found += [(lo + int(row[q]), k, int(starts[q] - doc_at[row[q]]), *rest) for q, k, *rest in self._passages(
+                    np.concatenate(part), starts, np.minimum(starts + 2 * size, doc_at[row + 1]))]
+            lo = hi
+        best: dict[tuple, tuple] = {}
+        for r, k, at, score, q, a in found:
+            key = r, self.items[k].item_id
+            if key not in best or score > best[key][1]:
+                best[key] = at, score, q, a
+        return [(*key, *rest) for key, rest in sorted(best.items())]
+
+    def _passages(self, at: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Hits (passage, item number, score, overlaps) of the passages [start, end) of a long list of term numbers."""
+        none = len(self.terms)
         total = np.concatenate(([0.0], np.cumsum(self.top[at])))
-        bound = total[np.minimum(starts + 2 * size, len(ws))] - total[starts]
-        best: dict[int, tuple] = {}
-        for s in starts[bound >= 1].tolist():
-            passage = at[s:s + 2 * size]
-            passage = passage[passage < none]
-            ts = np.unique(passage)
-            if self.top[ts].sum() < 1:
-                continue
-            blocks = self._gather(self.blocks_at, ts, self.block, self.block_max, self.n_blocks)
-            live = np.flatnonzero(blocks >= 1)
-            if not len(live):
-                continue
-            score = self._gather(self.post, ts, self.item, self.weight, len(self.items))
-            live_items = (live[:, None] * BLOCK_ITEMS + np.arange(BLOCK_ITEMS)).ravel()
-            live_items = live_items[live_items < len(self.items)]
-            for k in live_items[score[live_items] >= 1 - 1e-9].tolist():
-                q, a = self._verify(self.items[k], at[s:s + 2 * size].tolist())
-                if q >= OVERLAP and a >= OVERLAP and (k not in best or score[k] > best[k][1]):
-                    best[k] = (s, float(score[k]), q, a)
-        for k, found in sorted(best.items()):
-            yield (self.items[k].item_id, *found)
+        keep = np.flatnonzero(total[ends] - total[starts] >= 1)  # a bound of what any item can reach
+        if not len(keep):
+            return
+        places, owner = _ranges(starts[keep], ends[keep])
+        known = at[places] < none
+        pair = np.unique(owner[known] * none + at[places[known]])  # distinct terms of each passage
+        passage, term = pair // none, pair % none
+        # bounds of blocks, then exact scores of the items of blocks that can reach 1
+        runs, of = _ranges(self.runs_of[term], self.runs_of[term + 1])
+        bound = np.bincount(passage[of] * self.n_blocks + self.run_block[runs], self.run_max[runs], len(keep) * self.n_blocks)
+        live = bound[passage[of] * self.n_blocks + self.run_block[runs]] >= 1 - 1e-9
+        runs, of = runs[live], of[live]
+        posts, entry = _ranges(self.run_at[runs], self.run_at[runs + 1])
+        key, back = np.unique(passage[of[entry]] * len(self.items) + self.item[posts], return_inverse=True)
+        score = np.bincount(back, self.weight[posts], len(key))
+        for x, sc in zip(key[score >= 1 - 1e-9].tolist(), score[score >= 1 - 1e-9].tolist()):
+            p, k = keep[x // len(self.items)], x % len(self.items)
+            q, a = self._verify(self.items[k], at[starts[p]:ends[p]].tolist())
+            if q >= OVERLAP and a >= OVERLAP:
+                yield p, k, sc, q, a
 
     def _verify(self, item: Item, passage: list[int]) -> tuple[float, float]:
         """Share of the question's and of the answer's words in the passage; zero without enough common shingles."""
@@ -126,7 +150,8 @@ class Index:
 def _search(index: Index):
     def run(batches):
         for b in batches:
-            rows = [(d, *h) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")) for h in index.hits(t.as_py())]
+            ids = b.column("doc_id").to_pylist()
+            rows = [(ids[r], *hit) for r, *hit in index.search(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(HIT)], schema=HIT)
     return run
 
