@@ -303,7 +303,9 @@ def test_byte_bpe(spark, block):
     got = bpe.decode(bpe.encode(frame(spark, rows), block_chars=block)).collect()
     want = sorted((str(d), np.array(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for d, t in rows)
     assert sorted((str(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in got) == want
-    assert bpe.decode(bpe.encode(frame(spark, []))).count() == 0
+    both = bpe.round_trip(frame(spark, rows), block_chars=block).collect()
+    assert sorted((str(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in both) == want
+    assert bpe.round_trip(frame(spark, [])).count() == 0
 
 
 def test_pipeline(spark, tmp_path):

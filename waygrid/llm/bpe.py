@@ -11,46 +11,58 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialise
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK_CHARS = 24_000_000  # texts whose words are listed together
+BLOCK_CHARS = 32_000_000  # texts whose words are listed together
+EMIT_BYTES = 4_000_000    # ids that a task gathers before it hands them on
 KEEP_WORDS = 1_000_000  # encoded words a task remembers at once
-ROW = pa.schema([("block", pa.int64()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
-ROW_DDL = "block bigint, seq bigint, doc_id bigint, part int, payload binary"
+ROW_TOKENS = 200_000      # positions of texts that share a row
+ROW = pa.schema([("block", pa.int64()), ("seq", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("part", pa.int32()), ("payload", pa.binary())])
+ROW_DDL = "block bigint, seq bigint, doc_ids array<bigint>, part int, payload binary"
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
-def _squeeze(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def _pack(*parts: np.ndarray | bytes) -> bytes:
+    """Buffers, each compressed alone; an array of integers below 2**32 as four buffers, lowest bytes first,
+    because its upper bytes hardly vary."""
+    out = []
+    for x in parts:
+        for raw in [x] if isinstance(x, bytes) else [p.tobytes() for p in x.astype("<u4").view(np.uint8).reshape(-1, 4).T]:
+            zipped = pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
+            out += [len(raw).to_bytes(8, "little"), len(zipped).to_bytes(8, "little"), zipped]
+    return b"".join(out)
 
 
-def _expand(packed: bytes) -> bytes:
-    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+def _unpack(packed: bytes, arrays: int) -> list:
+    """The first ``arrays`` arrays of ``_pack``, and what else it holds as bytes."""
+    raws, at = [], 0
+    while at < len(packed):
+        raw, zipped = int.from_bytes(packed[at:at + 8], "little"), int.from_bytes(packed[at + 8:at + 16], "little")
+        raws.append(pa.decompress(packed[at + 16:at + 16 + zipped], decompressed_size=raw, codec="zstd", asbytes=True))
+        at += 16 + zipped
+    planes = [np.stack([np.frombuffer(r, np.uint8) for r in raws[4 * k:4 * k + 4]], axis=1) for k in range(arrays)]
+    return [np.ascontiguousarray(x).view("<u4").ravel() for x in planes] + raws[4 * arrays:]
 
 
-def pack_words(ws: list[bytes]) -> bytes:
-    """Lengths (uint32), then the bytes of all words."""
-    sizes = np.fromiter(map(len, ws), np.uint32, len(ws))
-    return _squeeze(len(ws).to_bytes(8, "little") + sizes.tobytes() + b"".join(ws))
+def pack_words(numbers: np.ndarray, ws: list[bytes]) -> bytes:
+    """Ascending numbers of words, and the words."""
+    return _pack(np.diff(numbers, prepend=0), np.fromiter(map(len, ws), np.uint32, len(ws)), b"".join(ws))
 
 
-def unpack_words(packed: bytes) -> list[bytes]:
-    raw = _expand(packed)
-    n = int.from_bytes(raw[:8], "little")
-    ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 8), dtype=np.int64) + 8 + 4 * n
-    starts = np.concatenate(([8 + 4 * n], ends[:-1])) if n else ends
-    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+def unpack_words(packed: bytes) -> tuple[np.ndarray, list[bytes]]:
+    steps, sizes, raw = _unpack(packed, 2)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.cumsum(steps), [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
 
 
-def pack_ids(ids: np.ndarray) -> bytes:
-    """Positions below 2**32, low and high halves apart because the high half hardly varies."""
-    ids = ids.astype(np.uint32)
-    return _squeeze((ids & 0xFFFF).astype(np.uint16).view(np.uint8).reshape(-1, 2).T.tobytes() + (ids >> 16).astype(np.uint16).tobytes())
+def pack_texts(lengths: np.ndarray, at: np.ndarray) -> bytes:
+    """Lengths and word numbers of texts: a byte each for the most frequent words, the others apart."""
+    return _pack(lengths, at[at >= 255] - 255, np.minimum(at, 255).astype(np.uint8).tobytes())
 
 
-def unpack_ids(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(_expand(packed), np.uint8)
-    n = len(raw) // 4
-    low, mid = raw[:n].astype(np.uint32), raw[n:2 * n].astype(np.uint32)
-    return low | mid << 8 | raw[2 * n:].view(np.uint16).astype(np.uint32) << 16
+def unpack_texts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    lengths, rest, first = _unpack(packed, 2)
+    at = np.frombuffer(first, np.uint8).astype(np.uint32)
+    at[at == 255] += rest
+    return lengths, at
 
 
 def word_part(word: bytes, parts: int) -> int:
@@ -65,35 +77,42 @@ def _explode(pattern: str, parts: int, block_chars: int):
         from pyspark import TaskContext
         find = regex.compile(pattern).findall
         task = TaskContext.get().partitionId()
-        block = seq = chars = 0
+        block = chars = 0
         places: dict[str, int] = {}
         docs: list[tuple] = []
 
         def close():
             nonlocal places, docs, chars, block
-            # numbers are dealt out again, part by part, so that a part's words are a plain list
-            ws = list(places)
-            raw = [w.encode("utf-8", "surrogatepass") for w in ws]
-            of = np.fromiter((word_part(w, parts) for w in raw), np.int64, len(raw))
-            order = np.argsort(of, kind="stable")
+            # numbers are dealt out again by falling frequency, so that positions are small and compress well
+            raw = [w.encode("utf-8", "surrogatepass") for w in places]
+            seen = np.bincount(np.concatenate([at for _, at in docs]), minlength=len(raw))
+            order = np.argsort(-seen, kind="stable")
             number = np.empty(len(raw), np.uint32)
             number[order] = np.arange(len(raw), dtype=np.uint32)
-            name = task << 32 | block
-            out = [(name, s, d, -1, pack_ids(number[at])) for s, d, at in docs]
-            ends = np.searchsorted(of[order], np.arange(parts + 1))
-            out += [(name, int(a), None, p, pack_words([raw[i] for i in order[a:b]])) for p, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+            name, out, lo = task << 32 | block, [], 0
+            while lo < len(docs):
+                hi, n = lo, 0
+                while hi < len(docs) and n < ROW_TOKENS:
+                    n += len(docs[hi][1])
+                    hi += 1
+                some = docs[lo:hi]
+                out.append((name, lo, [d for d, _ in some], -1, pack_texts(np.array([len(at) for _, at in some]), number[np.concatenate([at for _, at in some])])))
+                lo = hi
+            of = np.fromiter((word_part(raw[i], parts) for i in order), np.int64, len(raw))
+            for p in np.unique(of).tolist():
+                mine = np.flatnonzero(of == p)
+                out.append((name, p, None, p, pack_words(mine, [raw[i] for i in order[mine]])))
             places, docs, chars = {}, [], 0
             block += 1
-            for k in range(0, len(out), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k:k + 256]), ROW)], schema=ROW)
+            for k in range(0, len(out), 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k:k + 16]), ROW)], schema=ROW)
 
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 ws = find(text.as_py() or "")
                 for w in set(ws).difference(places):
                     places[w] = len(places)
-                docs.append((seq, doc, np.fromiter(map(places.__getitem__, ws), np.uint32, len(ws))))
-                seq += 1
+                docs.append((doc, np.fromiter(map(places.__getitem__, ws), np.uint32, len(ws))))
                 chars += sum(map(len, ws))
                 if chars >= block_chars:
                     yield from close()
@@ -121,45 +140,78 @@ def _encode_words(ranks_name: str, pattern: str):
             for block, seq, p, packed in zip(b.column("block").to_pylist(), b.column("seq").to_pylist(), b.column("part").to_pylist(), b.column("payload")):
                 if p != part or len(known) > KEEP_WORDS:
                     part, known = p, {}
+                numbers, ws = unpack_words(packed.as_py())
                 ids = []
-                for w in unpack_words(packed.as_py()):
+                for w in ws:
                     got = known.get(w)
                     if got is None:
                         got = known[w] = encode(w)
                     ids.append(got)
                 sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
                 flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-                done.append((block, seq, _squeeze(len(ids).to_bytes(8, "little") + sizes.tobytes() + flat.tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()),
-                                              pa.array([d[2] for d in done], pa.binary())], names=["block", "seq", "payload"])
+                done.append((block, seq, None, p, _pack(np.diff(numbers, prepend=0), sizes, flat)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), ROW)], schema=ROW)
     return run
 
 
-def _reassemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """Ids of the texts of one block: the words' ids in order of word number, gathered by position."""
-    words = words.sort_by("seq")
-    sizes, flat = [], []
-    for packed in words.column("payload"):
-        raw = _expand(packed.as_py())
-        n = int.from_bytes(raw[:8], "little")
-        sizes.append(np.frombuffer(raw, np.uint32, n, 8))
-        flat.append(np.frombuffer(raw, np.uint32, -1, 8 + 4 * n))
-    sizes = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
-    flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-    starts = np.cumsum(sizes) - sizes
-    ids = []
-    for packed in docs.column("payload"):
-        at = unpack_ids(packed.as_py())
-        n = sizes[at]
-        total = int(n.sum())
-        ends = np.cumsum(n)
-        ids.append(flat[np.arange(total) + np.repeat(starts[at] - (ends - n), n)].astype("<u4").tobytes())
-    return pa.table([docs.column("doc_id"), pa.array(ids, pa.binary())], schema=IDS)
-
-
-def encode(docs: DataFrame, ranks: str = RANKS, pattern: str | None = None, parts: int | None = None,
-           block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, ids) of every row of (doc_id, text); ``ids``: little-endian unsigned 32-bit integers.
+class _Block:
+    """The ids of a block's words, by word number."""
+
+    def __init__(self):
+        self.parts, self.flat = [], None
+
+    def add(self, packed: bytes):
+        steps, sizes, flat = _unpack(packed, 3)
+        self.parts.append((np.cumsum(steps), sizes, flat))
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        if self.flat is None:
+            number, sizes, flat = (np.concatenate(x) for x in zip(*self.parts))
+            self.sizes, self.starts = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+            self.sizes[number], self.starts[number] = sizes, np.cumsum(sizes) - sizes
+            self.flat, self.parts = flat, []
+        n = self.sizes[at]
+        return self.flat[np.arange(n.sum()) + np.repeat(self.starts[at] - (np.cumsum(n) - n), n)]
+
+
+def _reassemble(batches):
+    """Rows sorted by block, its words before its texts, to the ids of the texts: gathered by position."""
+    name, block, done, held = None, None, [], 0
+    for b in batches:
+        for here, docs, part, packed in zip(b.column("block").to_pylist(), b.column("doc_ids").to_pylist(), b.column("part").to_pylist(), b.column("payload")):
+            if here != name:
+                name, block = here, _Block()
+            if part >= 0:
+                block.add(packed.as_py())
+                continue
+            lengths, at = unpack_texts(packed.as_py())
+            for doc, mine in zip(docs, np.split(at, np.cumsum(lengths)[:-1])):
+                done.append((doc, block.ids(mine).astype("<u4").tobytes() if len(mine) else b""))
+                held += len(done[-1][1])
+                if held > EMIT_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), IDS)], schema=IDS)
+                    done, held = [], 0
+    if done:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), IDS)], schema=IDS)
+
+
+def _rows(docs: DataFrame, ranks: str = RANKS, pattern: str | None = None, parts: int | None = None,
+          block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Texts as word positions and words with their ids, sorted by block: what ``_reassemble`` reads."""
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if pattern is None:
+        import public_tokenizers
+        pattern = public_tokenizers.PATTERN
+    rows = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_explode(pattern, parts, block_chars), ROW_DDL), "pretokens")
+    by_word = rows.where("part >= 0").repartition("part").sortWithinPartitions("part", "block")
+    word_ids = by_word.mapInArrow(_encode_words(ranks, pattern), ROW_DDL)
+    return rows.where("part < 0").union(word_ids).repartition("block").sortWithinPartitions("block", F.col("part") < 0, "seq")
+
+
+def encode(docs: DataFrame, ranks: str = RANKS, **params) -> DataFrame:
+    """(doc_id, ids) of every row of (doc_id, text); params: pattern, parts, block_chars.
+
+    ``ids``: little-endian unsigned 32-bit integers.
 
     Texts are split by ``pattern``; every block of texts lists its distinct words once and keeps the
     texts as word positions. The words of all blocks are shuffled by word, encoded once, and sent back to
@@ -168,15 +220,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, pattern: str | None = None, part
     Null texts and texts without a match have no ids; repeated rows each get theirs; special strings are
     ordinary text.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if pattern is None:
-        import public_tokenizers
-        pattern = public_tokenizers.PATTERN
-    rows = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_explode(pattern, parts, block_chars), ROW_DDL), "pretokens")
-    by_word = rows.where("part >= 0").select("block", "seq", "part", "payload").repartition("part").sortWithinPartitions("part", "block")
-    word_ids = by_word.mapInArrow(_encode_words(ranks, pattern), "block bigint, seq bigint, payload binary")
-    positions = rows.where("part < 0").select("block", "doc_id", "payload")
-    return positions.groupBy("block").cogroup(word_ids.groupBy("block")).applyInArrow(_reassemble, "doc_id bigint, ids binary")
+    return _rows(docs, ranks, **params).mapInArrow(_reassemble, "doc_id bigint, ids binary")
 
 
 def _decode(ranks_name: str):
@@ -194,3 +238,9 @@ def _decode(ranks_name: str):
 def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     """Add ``decoded``, the bytes of the ids. The token table is bounded by the vocabulary, so every task joins it in memory."""
     return encoded.select("doc_id", "ids").mapInArrow(_decode(ranks), "doc_id bigint, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks: str = RANKS, **params) -> DataFrame:
+    """``decode(encode(docs))`` with both last steps in one worker."""
+    back = _decode(ranks)
+    return _rows(docs, ranks, **params).mapInArrow(lambda batches: back(_reassemble(batches)), "doc_id bigint, ids binary, decoded binary")
