@@ -91,9 +91,10 @@ def colour_reference(signatures: DataFrame, key: str = "floor") -> DataFrame:
 
 
 def classify_colour(signatures: DataFrame, refs: DataFrame, key: str = "image_id", site: str = "site_id") -> DataFrame:
-    """Best floor of each signature among its site's references, with the reason when there is none."""
+    """Best floor of each signature among its site's references, with the reason when there is none:
+    ``no_refs`` at a site without references."""
     r = refs.select(site, "floor", F.col("hist").alias("r_hist"), F.col("sat_hist").alias("r_sat"), F.col("colour_frac").alias("r_frac"))
-    pairs = signatures.join(r, site).withColumn("score", F.coalesce(colour_similarity("hist", "r_hist", "sat_hist", "r_sat"), F.lit(0.0)))
+    pairs = signatures.join(r, site, "left").withColumn("score", F.coalesce(colour_similarity("hist", "r_hist", "sat_hist", "r_sat"), F.lit(0.0)))
     entry = F.struct(F.round("score", 9).alias("score"), "floor", "r_frac", (F.coalesce(F.size("r_sat"), F.lit(0)) > 0).alias("has_sat"))
     g = pairs.groupBy(key, site, "colour_frac").agg(F.max(entry).alias("best"), F.max_by(entry, F.struct("score", "floor")).alias("same"),
                                                     F.max(F.when(F.col("floor") == CABIN_KEY, True)).alias("cabin_known"))
@@ -104,7 +105,7 @@ def classify_colour(signatures: DataFrame, refs: DataFrame, key: str = "image_id
     b, frac = F.col("best"), F.col("colour_frac")
     margin = b["score"] - F.coalesce("second", F.lit(0.0))
     grey = frac < MIN_COLOUR_FRAC
-    reason = (F.when(grey, "grey").when((b["floor"] == CABIN_KEY) & (b["score"] >= MATCH_MIN), "lift_interior").when(b["floor"] == CABIN_KEY, "no_match")
+    reason = (F.when(b["floor"].isNull(), "no_refs").when(grey, "grey").when((b["floor"] == CABIN_KEY) & (b["score"] >= MATCH_MIN), "lift_interior").when(b["floor"] == CABIN_KEY, "no_match")
               .when((b["score"] < MATCH_MIN) | (margin < MATCH_MARGIN), "ambiguous")
               .when((b["r_frac"] > 0) & (frac < COVER_RATIO * b["r_frac"]), "too_little_colour"))
     strong = (b["score"] >= STRONG_SCORE) & (margin >= STRONG_MARGIN) & ((b["r_frac"] == 0) | (frac >= STRONG_COVER * b["r_frac"])) & b["has_sat"] & F.coalesce("cabin_known", F.lit(False))

@@ -47,7 +47,7 @@ def _(t):
 FR = ["o_custkey AS session_id", "o_orderkey AS frame_id", "CAST((o_orderkey * 7919) % 100000 AS DOUBLE) AS frame_t", "CAST((o_orderkey * 13) % 400 AS DOUBLE) / 10 AS map_x", "CAST((o_orderkey * 29) % 400 AS DOUBLE) / 10 AS map_z"]
 TG = ["l_partkey % 1700 AS session_id", "l_orderkey * 10 + l_linenumber AS tag_id", "CAST((l_orderkey * 104729 + l_linenumber * 31) % 100000 AS DOUBLE) AS tag_t",
       "CAST((l_partkey * 17) % 500 AS DOUBLE) / 10 AS facility_x", "CAST((l_suppkey * 23 + l_linenumber) % 500 AS DOUBLE) / 10 AS facility_y", "CASE WHEN l_linenumber % 2 = 0 THEN 'G' ELSE 'B1' END AS floor"]
-TAGS_SQL = f"fr AS (SELECT {', '.join(FR)} FROM orders), tg AS (SELECT DISTINCT ON (tag_id) * FROM (SELECT {', '.join(TG)} FROM lineitem WHERE l_linenumber <= 2) z ORDER BY tag_id, tag_t, session_id, facility_x, facility_y)"
+TAGS_SQL = f"fr AS (SELECT {', '.join(FR)} FROM orders), tg AS (SELECT DISTINCT ON (tag_id) * FROM (SELECT {', '.join(TG)} FROM lineitem) z ORDER BY tag_id, tag_t, session_id, facility_x, facility_y)"
 
 
 def frames(t):
@@ -55,7 +55,7 @@ def frames(t):
 
 
 def tags(t):
-    z = t.lineitem.where("l_linenumber <= 2").selectExpr(*TG)
+    z = t.lineitem.selectExpr(*TG)
     rest = F.min(F.struct("tag_t", "session_id", "facility_x", "facility_y", "floor")).alias("r")
     return z.groupBy("tag_id").agg(rest).select("tag_id", "r.*")
 

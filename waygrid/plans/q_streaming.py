@@ -18,9 +18,12 @@ DELAY = "10 minutes"
 
 
 def event_stream(t):
-    # a file stream watches a folder; the glob keeps the other tables out
-    schema = t.events.schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    # a file stream watches a folder: the table's own, or, where the table is one file, that around it
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.dir}/events.parquet")
+    folder = path.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = t.spark.readStream.schema(t.events.schema)
+    rows = reader.parquet(f"{t.dir}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(t.dir)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(t, df, name: str):

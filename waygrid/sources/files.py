@@ -48,20 +48,22 @@ def overwrite_reference_images(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(path)
 
 
-def tidy(df: DataFrame) -> DataFrame:
-    """Column names without byte-order mark or spaces; text values trimmed."""
-    named = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
-    return named.select(*[F.trim(c).alias(c) if t == "string" else F.col(c) for c, t in named.dtypes])
-
-
 def read_csv(spark: SparkSession, path: str, columns: dict[str, str], comment: str | None = None) -> DataFrame:
-    """Headed CSV with tidy names; ``columns`` maps the wanted names to types, in any file order."""
-    reader = spark.read.option("header", True).option("encoding", "UTF-8")
+    """Headed CSV with tidy names; ``columns`` maps the wanted names to types. Every file goes by its own header,
+    so files may differ in their columns and in the order of them."""
+    reader = spark.read.option("encoding", "UTF-8")
     if comment:
         reader = reader.option("comment", comment)
-    df = tidy(reader.csv(path))
-    pick = lambda c, t: F.nullif(F.col(c), F.lit("")).cast(t) if c in df.columns else F.lit(None).cast(t)
-    return df.select(*[pick(c, t).alias(c) for c, t in columns.items()])
+    width = spark.read.text(path).select(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    cells = [f"c{i}" for i in range(width)]
+    rows = reader.schema(", ".join(f"{c} string" for c in cells)).csv(path).select(
+        F.col("_metadata.file_path").alias("file"), F.array(*cells).alias("cells"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"))
+    heads = rows.groupBy("file").agg(F.min_by("cells", "at").alias("head"))
+    names = F.transform("head", lambda c: F.trim(F.regexp_replace(c, "^\ufeff", "")))
+    body = rows.join(heads, "file").where("NOT (cells <=> head)").select("cells", names.alias("names"))
+    pick = lambda c: F.nullif(F.trim(F.get("cells", F.nullif(F.array_position("names", c), F.lit(0)) - 1)), F.lit(""))
+    return body.select(*[pick(c).cast(t).alias(c) for c, t in columns.items()])
 
 
 LOCATION = {"location_id": "string", "floor": "string", "zone": "string", "x": "double", "y": "double"}

@@ -7,15 +7,27 @@ them, are then taken in time order, and what comes later than that is dropped an
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.diagnostics import failure_stage
 from ..operators.ordered import _plain
 
+PACKAGE = __name__.split(".")[0]
+
+
+def ready_for_state(spark: SparkSession) -> None:
+    """What custom state needs in any session: a state store with column families, and code that travels with the query."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for module in {m for n, m in sys.modules.items() if n == PACKAGE or n.startswith(PACKAGE + ".")}:
+        cloudpickle.register_pickle_by_value(module)
+
 
 class OrderedMachine(StatefulProcessor):
     """Buffers rows to the watermark, then folds them in order."""
@@ -77,6 +89,7 @@ def stream_machine(
 ) -> DataFrame:
     """Run a state machine over a stream keyed by device, in event-time order."""
     out = T._parse_datatype_string(schema)
+    ready_for_state(rows.sparkSession)
     marked = rows.withWatermark(ts, delay)
     return marked.groupBy(key).transformWithStateInPandas(
         statefulProcessor=OrderedMachine(step, out.names, order, ts, ttl_ms), outputStructType=out, outputMode="Append", timeMode="EventTime")
@@ -125,6 +138,7 @@ class LiveMarker(StatefulProcessor):
 
 def live_device_changes(events: DataFrame, ttl_s: float = 300.0, ts: str = "ts", delay: str = "10 seconds") -> DataFrame:
     """``events``: device_id, ts, event. Heartbeats extend, ``end`` clears, silence expires."""
+    ready_for_state(events.sparkSession)
     return events.withWatermark(ts, delay).groupBy("device_id").transformWithStateInPandas(
         statefulProcessor=LiveMarker(ttl_s, ts), outputStructType="device_id long, at_ms long, change string",
         outputMode="Append", timeMode="EventTime")
