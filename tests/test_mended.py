@@ -1,5 +1,11 @@
+import pytest
+from pyspark.sql import functions as F
+
 from waygrid.operators import colour
+from waygrid.operators import network as N
+from waygrid.operators import routing
 from waygrid.operators.ordered import fold_ordered
+from waygrid.session import cut
 from waygrid.sources import files
 from waygrid.streaming import machines
 
@@ -25,3 +31,53 @@ def test_votes_grow_old(spark):
     df = spark.createDataFrame(rows, "device_id bigint, event_id bigint, t double, heading double, yaw double")
     got = fold_ordered(df, ["device_id"], ["t", "event_id"], machines.heading_vote, machines.VOTE_SCHEMA).collect()
     assert [r.device_id for r in got] == [1] and got[0].event_id == 2
+
+
+def test_lift_rides_repeat(spark):
+    leg = [("G", 1.0), ("B1", 9.0), ("G", 9.0), ("G", 1.0), ("B1", 9.0)]
+    rows = [(1, k, k * 1000.0, door, floor, "G", "B1", 0.1) for k, (floor, door) in enumerate(leg)]
+    # landed by waiting: the floor still reads G, so the door must be left before the next ride
+    slow = [(0.0, 1.0, 0.0), (60_000.0, 1.0, 99.0), (61_000.0, 1.0, 0.0), (62_000.0, 30.0, 0.0), (63_000.0, 1.0, 0.0)]
+    rows += [(2, k, t, door, "G", "G", "B1", motion) for k, (t, door, motion) in enumerate(slow)]
+    df = spark.createDataFrame(rows, "device_id bigint, event_id bigint, t double, door_m double, floor string, from_floor string, to_floor string, motion double")
+    got = fold_ordered(df, ["device_id"], ["t", "event_id"], machines.lift_state, machines.LIFT_SCHEMA).collect()
+    events = lambda d: [(r.event_id, r.event) for r in sorted(got, key=lambda r: r.event_id) if r.device_id == d]
+    assert events(1) == [(0, "enter"), (1, "land"), (3, "enter"), (4, "land")]
+    assert events(2) == [(0, "enter"), (1, "auto_land"), (4, "enter")]
+
+
+def _network(spark, segments, landings):
+    pieces = cut(N.split_at_junctions(spark.createDataFrame(segments, "site_id long, floor string, seg_no int, x1 double, y1 double, x2 double, y2 double")))
+    resolved = cut(routing.resolved_pieces(pieces, N.snap_nodes(N.piece_ends(pieces))))
+    lands = spark.createDataFrame(landings, "site_id long, connector_id string, floor string, rank int, x double, y double, penalty_cost double")
+    doors = cut(N.landing_splice(lands, resolved))
+    return resolved, doors, cut(routing.network_edges(resolved, doors, N.vertical_edges(doors)))
+
+
+def _total(spark, resolved, edges, start, dest):
+    req = spark.createDataFrame([(1, 1, *start, *dest)], "request_id long, site_id long, start_floor string, start_x double, start_y double, dest_floor string, dest_x double, dest_y double")
+    return routing.route_requests(req, resolved, edges)[0].first()["total_distance"]
+
+
+def test_doors_hang_on_the_nodes_of_their_piece(spark):
+    """The door's piece has both drawn ends moved onto earlier nodes: 8 + 5 + 12 + 5 + 8."""
+    ends = [(0, 0.0, 10.0), (1, 20.2, 30.0), (2, 10.2, 20.0)]
+    segs = [(1, f, n, a, 0.0, b, 0.0) for f in ("G", "B1") for n, a, b in ends]
+    resolved, doors, edges = _network(spark, segs, [(1, "lift", f, k, 15.0, 1.0, 12.0) for k, f in enumerate(("B1", "G"))])
+    assert {(r.p_x1, r.p_x2, r.door_x) for r in doors.collect()} == {(10.0, 20.2, 15.0)}
+    assert _total(spark, resolved, edges, ("G", 2.0, 0.0), ("B1", 2.0, 0.0)) == pytest.approx(38.0)
+
+
+def test_doors_and_points_take_the_first_node_in_reach(spark):
+    """A door 0.2 m past a corner is the corner; two doors 0.1 m apart are one; a floor without walkways has none."""
+    segs = [(1, f, 0, 0.0, 0.0, 10.0, 0.0) for f in ("G", "B1")] + [(1, f, 1, 10.0, 0.0, 10.0, 10.0) for f in ("G", "B1")]
+    lands = [(1, "a", f, k, 9.8, -0.4, 12.0) for k, f in enumerate(("B1", "G"))]
+    lands += [(1, c, f, k, x, 0.0, 12.0) for c, x in (("b", 5.0), ("c", 5.1)) for k, f in enumerate(("B1", "G"))]
+    lands += [(1, "a", "B2", 2, 1.0, 1.0, 12.0)]
+    resolved, doors, edges = _network(spark, segs, lands)
+    at = {(r.connector_id, r.floor): (r.door_x, r.door_y) for r in doors.collect()}
+    assert at["a", "G"] == (10.0, 0.0) and at["b", "G"] == at["c", "G"] == (5.0, 0.0) and at["a", "B2"] == (1.0, 1.0)
+    assert edges.where("src like '%null%' or dst like '%null%' or weight is null").isEmpty()
+    points = spark.createDataFrame([(1, "G", 9.75, 0.0)], "site_id long, floor string, x double, y double")
+    got = routing.attach_point(points, resolved, F.lit(True)).first()
+    assert (got.at_x, got.at_y) == (10.0, 0.0) and min(e.d for e in got.ends) == 0

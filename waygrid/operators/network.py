@@ -158,12 +158,44 @@ def node_id(floor, x, y) -> Column:
     return F.concat_ws("/", F.col(floor) if isinstance(floor, str) else floor, c(x), c(y))
 
 
-def landing_splice(landings: DataFrame, pieces: DataFrame, order: str = "piece_ord") -> DataFrame:
-    """Connector doors at the nearest walkway point of their floor, with that piece's ends."""
-    snapped = snap_to_walkable(landings, pieces, FLOOR_KEYS, order)
-    seg = lambda f: F.col(f"piece.seg.{f}")
-    return snapped.withColumns({"p_x1": seg("x1"), "p_y1": seg("y1"), "p_x2": seg("x2"), "p_y2": seg("y2"),
-                                "door_x": F.bround("snap_x", 3), "door_y": F.bround("snap_y", 3)}).drop("piece")
+def registered_nodes(resolved: DataFrame, order: str = "piece_ord") -> DataFrame:
+    """Every node of the walkways (keys, node_x, node_y) with ``n_ord``, the first piece end that used it."""
+    ends = F.array(F.struct(F.lit(0).alias("end"), F.col("ax").alias("node_x"), F.col("ay").alias("node_y")),
+                   F.struct(F.lit(1).alias("end"), F.col("bx").alias("node_x"), F.col("by").alias("node_y")))
+    e = resolved.select(*FLOOR_KEYS, F.col(order).alias("_o"), F.inline(ends))
+    return e.groupBy(*FLOOR_KEYS, "node_x", "node_y").agg(F.min(F.struct("_o", "end")).alias("n_ord"))
+
+
+def first_node(places: DataFrame, nodes: DataFrame, x: str, y: str, tol: float = SNAP_TOLERANCE_M) -> DataFrame:
+    """Add node_x, node_y: the earliest of ``nodes`` within tolerance of each place, NULL if there is none."""
+    keys = list(FLOOR_KEYS)
+    cell = lambda c: F.floor(F.col(c) / tol)
+    around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
+    wide = nodes.withColumn("_dx", around).withColumn("_dy", around).withColumns(
+        {"_gx": cell("node_x") + F.col("_dx"), "_gy": cell("node_y") + F.col("_dy")}).drop("_dx", "_dy")
+    near = F.hypot(F.col("node_x") - F.col(x), F.col("node_y") - F.col(y)) <= tol + 1e-12
+    spots = places.select(*keys, x, y).distinct().withColumns({"_gx": cell(x), "_gy": cell(y)})
+    found = spots.join(wide, [*keys, "_gx", "_gy"]).where(near).groupBy(*keys, x, y).agg(
+        F.min_by(F.struct("node_x", "node_y"), "n_ord").alias("_n"))
+    return places.join(found, [*keys, x, y], "left").withColumns({"node_x": F.col("_n.node_x"), "node_y": F.col("_n.node_y")}).drop("_n")
+
+
+def landing_splice(landings: DataFrame, resolved: DataFrame, order: str = "piece_ord") -> DataFrame:
+    """Connector doors at the nearest walkway point of their floor, with the nodes of that piece's ends.
+
+    ``resolved``: pieces with their end nodes (``routing.resolved_pieces``). A door within snap
+    tolerance of a node is that node; other doors of a floor are registered in order of connector.
+    """
+    snapped = snap_to_walkable(landings, resolved, FLOOR_KEYS, order).drop("piece")
+    ends = resolved.select(*FLOOR_KEYS, F.col(order).alias("snap_ord"), F.col("ax").alias("p_x1"), F.col("ay").alias("p_y1"),
+                           F.col("bx").alias("p_x2"), F.col("by").alias("p_y2"))
+    rows = cut(first_node(snapped.join(ends, [*FLOOR_KEYS, "snap_ord"], "left"), registered_nodes(resolved, order), "snap_x", "snap_y"))
+    fresh = rows.where("node_x is null").select(*FLOOR_KEYS, F.col("snap_x").alias("x"), F.col("snap_y").alias("y"), F.struct(
+        "connector_id", "snap_x", "snap_y").alias("ordinal"))
+    fresh = snap_nodes(fresh.groupBy(*FLOOR_KEYS, "x", "y").agg(F.min("ordinal").alias("ordinal")))
+    fresh = fresh.select(*FLOOR_KEYS, F.col("x").alias("snap_x"), F.col("y").alias("snap_y"), F.col("node_x").alias("_fx"), F.col("node_y").alias("_fy"))
+    rows = rows.join(fresh, [*FLOOR_KEYS, "snap_x", "snap_y"], "left")
+    return rows.withColumns({"door_x": F.coalesce("node_x", "_fx"), "door_y": F.coalesce("node_y", "_fy")}).drop("node_x", "node_y", "_fx", "_fy")
 
 
 def vertical_edges(landings: DataFrame) -> DataFrame:
@@ -186,10 +218,12 @@ def layered_edges(walk: DataFrame, doors: DataFrame, vertical: DataFrame) -> Dat
     pair = lambda d, a, b, w, c: d.select("site_id", a.alias("src"), b.alias("dst"), w.alias("weight"), c.alias("connector_id"))
     none = F.lit(None).cast("string")
     parts = [pair(walk, node_id("floor", "ax", "ay"), node_id("floor", "bx", "by"), F.col("weight"), none)]
+    # a floor without walkways has doors that lead nowhere
+    spliced = doors.where("p_x1 is not null")
     for end in ("1", "2"):
-        ex, ey = F.bround(f"p_x{end}", 3), F.bround(f"p_y{end}", 3)
-        parts.append(pair(doors, node_id("floor", "door_x", "door_y"), node_id("floor", ex, ey),
-                          F.hypot(F.col("door_x") - ex, F.col("door_y") - ey), none))
+        ex, ey = f"p_x{end}", f"p_y{end}"
+        parts.append(pair(spliced, node_id("floor", "door_x", "door_y"), node_id("floor", ex, ey),
+                          F.hypot(F.col("door_x") - F.col(ex), F.col("door_y") - F.col(ey)), none))
     parts.append(pair(vertical, node_id("a_floor", "a_door_x", "a_door_y"), node_id("b_floor", "b_door_x", "b_door_y"),
                       F.col("weight"), F.col("connector_id")))
     one = parts[0]

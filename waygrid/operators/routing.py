@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
 from .corridors import snap_to_walkable
-from .network import FLOOR_KEYS, SNAP_TOLERANCE_M, layered_edges, node_id, shortest_distances, undirected
+from .network import FLOOR_KEYS, first_node, layered_edges, node_id, registered_nodes, shortest_distances, undirected
 
 # Waypoints closer than this are one.
 SAME_POINT_M = 0.05
@@ -30,22 +30,25 @@ def attach_point(points: DataFrame, resolved: DataFrame, layered: Column | None
     """Nearest walkway piece of each point (site_id, floor, x, y) and the two ways onto the network.
 
     Adds piece_ord, at_x, at_y (point on the walkway), ends ARRAY<STRUCT(x, y, d)>. Where
-    ``layered`` holds, a walkway point next to a piece end becomes that end.
+    ``layered`` holds, a walkway point within snap tolerance of a node, of whatever piece,
+    becomes the first such node, and the node itself is a way on.
     """
     near = snap_to_walkable(points, resolved, FLOOR_KEYS, "piece_ord").where("piece is not null")
     nodes = resolved.select(*FLOOR_KEYS, F.col("piece_ord").alias("snap_ord"), "ax", "ay", "bx", "by")
     rows = near.drop("piece").join(nodes, [*FLOOR_KEYS, "snap_ord"])
     px, py = F.bround("snap_x", 3) + F.lit(0.0), F.bround("snap_y", 3) + F.lit(0.0)
+    on_node = F.lit(False)
     if layered is not None:
-        on_a = layered & (F.hypot(F.col("ax") - F.col("snap_x"), F.col("ay") - F.col("snap_y")) <= SNAP_TOLERANCE_M)
-        on_b = layered & (F.hypot(F.col("bx") - F.col("snap_x"), F.col("by") - F.col("snap_y")) <= SNAP_TOLERANCE_M)
-        px = F.when(on_a, F.col("ax")).when(on_b, F.col("bx")).otherwise(px)
-        py = F.when(on_a, F.col("ay")).when(on_b, F.col("by")).otherwise(py)
-    rows = rows.withColumns({"at_x": px, "at_y": py})
+        rows = first_node(rows, registered_nodes(resolved), "snap_x", "snap_y")
+        on_node = layered & F.col("node_x").isNotNull()
+        px, py = F.when(on_node, F.col("node_x")).otherwise(px), F.when(on_node, F.col("node_y")).otherwise(py)
+    rows = rows.withColumns({"at_x": px, "at_y": py, "_on": on_node})
     way = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.hypot(
         F.col("at_x") - F.col(x), F.col("at_y") - F.col(y)).alias("d"))
-    return rows.withColumn("ends", F.array(way("ax", "ay"), way("bx", "by"))).withColumnRenamed("snap_ord", "piece_ord").drop(
-        "ax", "ay", "bx", "by", "snap_x", "snap_y", "snap_dist")
+    ways = F.when(F.col("_on"), F.array_distinct(F.array(way("ax", "ay"), way("bx", "by"), way("at_x", "at_y")))).otherwise(
+        F.array(way("ax", "ay"), way("bx", "by")))
+    return rows.withColumn("ends", ways).withColumnRenamed("snap_ord", "piece_ord").drop(
+        "ax", "ay", "bx", "by", "snap_x", "snap_y", "snap_dist", "node_x", "node_y", "_on")
 
 
 def network_edges(resolved: DataFrame, doors: DataFrame, vertical: DataFrame) -> DataFrame:

@@ -81,17 +81,15 @@ def doors(t: Tables, pieces):
 
 @query("landing_splice", "SELECT site_id, connector_id, floor, x AS door_x, y AS door_y FROM v_landings")
 def _(t):
-    p = t.v_pieces.withColumn("piece_ord", F.col("seg_no") * 10 + F.col("piece_no"))
     # doors stand a little beside the walkway corner
     l = t.v_landings.withColumns({"x": F.col("x") - 0.5 * F.when(F.col("node") == 0, 1).otherwise(-1)})
-    return rounded(N.landing_splice(l, p).select("site_id", "connector_id", "floor", "door_x", "door_y"))
+    return rounded(N.landing_splice(l, network(t.v_corridors)).select("site_id", "connector_id", "floor", "door_x", "door_y"))
 
 
 @query("vertical_edges", """SELECT a.site_id, a.connector_id, a.floor AS a_floor, b.floor AS b_floor, 12e0 + (b.lvl - a.lvl - 1) AS weight
 FROM v_landings a JOIN v_landings b ON a.site_id = b.site_id AND a.connector_id = b.connector_id AND a.lvl < b.lvl""")
 def _(t):
-    p = t.v_pieces.withColumn("piece_ord", F.col("seg_no") * 10 + F.col("piece_no"))
-    return N.vertical_edges(doors(t, p)).select("site_id", "connector_id", "a_floor", "b_floor", "weight")
+    return N.vertical_edges(doors(t, network(t.v_corridors))).select("site_id", "connector_id", "a_floor", "b_floor", "weight")
 
 
 def network(corridors):
