@@ -62,8 +62,12 @@ def _repeated(ws: Column) -> Column:
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(
             let(F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), covered))
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(ws) - 4), lambda i: F.array_join(F.slice(ws, i, F.lit(5)), " "))
-    return F.when(F.size(ws) < 6, F.lit(0)).otherwise(let(windows, of))
+    at = F.sequence(F.lit(1), F.size(ws) - 4)
+    windows = F.transform(at, lambda i: F.array_join(F.slice(ws, i, F.lit(5)), " "))
+    # distinct hashes prove distinct windows; only texts with a repeated hash compare the windows themselves
+    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(-1, 4)]))
+    return F.when(F.size(ws) < 6, F.lit(0)).otherwise(let(hashes, lambda h: F.when(
+        F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(windows, of))))
 
 
 def measures(text: Column) -> Column:
@@ -73,7 +77,6 @@ def measures(text: Column) -> Column:
     def with_words(ws: Column, tt: Column) -> Column:
         chars = F.length(F.translate(tt, " \t\n\x0b\x0c\r", ""))
         lines = F.filter(F.split(tt, "\n", -1), lambda s: F.length(F.translate(s, " \t\n\x0b\x0c\r", "")) > 0)
-        stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
         n = lambda c: c.cast("long")
         return let(lines, lambda ls: F.struct(
             n(F.size(ws)).alias("n_words"), n(chars).alias("word_chars"),
@@ -82,7 +85,7 @@ def measures(text: Column) -> Column:
             n(F.size(F.filter(ls, lambda s: F.ltrim(s).rlike(r"^[-*•+]\s")))).alias("n_bullet_lines"),
             n(F.size(F.filter(ls, lambda s: F.rtrim(s).endswith("...") | F.rtrim(s).endswith("…")))).alias("n_ellipsis_lines"),
             n(_repeated(ws)).alias("n_repeat_words"),
-            n(F.size(F.filter(ws, lambda w: F.array_contains(stop, F.lower(F.btrim(w, F.lit(EDGES))))))).alias("n_stop_words")))
+            n(F.size(F.filter(ws, lambda w: F.lower(F.btrim(w, F.lit(EDGES))).isin(*dict.fromkeys(STOP_WORDS))))).alias("n_stop_words")))
 
     return let(t, lambda tt: let(words(tt), lambda ws: with_words(ws, tt)))
 
