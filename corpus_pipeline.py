@@ -10,6 +10,8 @@ from waygrid.llm import bpe, decontam, neardup, quality, secrets
 from waygrid.llm.common import table
 from waygrid.session import shared_dir
 
+NEAR_PERCENT = 80  # word shingles that near copies share; op4 alone is held to 85
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
@@ -18,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group; rows without an id stay."""
-    gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    gone = neardup.near_duplicates(docs, NEAR_PERCENT).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -334,3 +334,28 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs_in, str(tmp_path)).schema.simpleString() == docs_in.schema.simpleString()
         assert stage(spark, docs_in.limit(0), str(tmp_path)).count() == 0
+
+
+def test_banding_follows_the_threshold():
+    assert neardup.banding(85) == (5, 81) and neardup.banding(80) == (4, 73)
+    for percent in (80, 85, 90, 99, 100):
+        rows, agree = neardup.banding(percent)
+        assert neardup.HASHES % rows == 0 and (1 - (percent / 100) ** rows) ** (neardup.HASHES // rows) <= 1e-6 and agree <= percent * neardup.HASHES / 100
+    with pytest.raises(ValueError):
+        neardup.banding(1)
+
+
+def test_pipeline_drops_near_copies_from_080(spark):
+    import corpus_pipeline
+    rng = random.Random(8)
+    rows, near = [], {}
+    for k in range(40):  # words put in the middle add as many shingles, and break four
+        ws = [f"w{rng.randrange(10 ** 9)}" for _ in range(100)]
+        more = rng.randint(8, 24)
+        other = ws[:50] + [f"x{rng.randrange(10 ** 9)}" for _ in range(more)] + ws[50:]
+        rows += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(other))]
+        a, b = brute.shingles(rows[-2][1]), brute.shingles(rows[-1][1])
+        near[2 * k + 1] = len(a & b) / len(a | b)
+    assert sum(0.80 <= j < 0.85 for j in near.values()) > 5 and min(near.values()) < 0.80 and max(near.values()) >= 0.85
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert got == {d for d, _ in rows if near.get(d, 0) < 0.80}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,8 @@ from .common import components, materialise
 
 WORDS = 5
 PERCENT = 85
-HASHES, ROWS = 120, 5       # 24 bands of 5: a pair at 0.85 shares no band once in a million
-SLACK = 0.17                # a true pair's estimate falls this far below once in ten million
+HASHES = 120
+MISS = 1e-6                 # chance that a pair at the threshold shares no band, and that its estimate is refused
 BLOCK = 2048                # documents of a group that one task compares with each other,
 BLOCK_CHARS = 16_000_000    # and their characters
 CHUNK = 200_000             # shingles whose permutations are held at once
@@ -31,6 +32,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(slots of a band, slots that a pair must agree in): the widest bands and the highest bar that lose a pair
+    at ``percent`` at most once in 1 / ``MISS``.
+    """
+    p = percent / 100
+    wide = [r for r in range(1, HASHES + 1) if HASHES % r == 0 and (1 - p ** r) ** (HASHES // r) <= MISS]
+    if not wide:
+        raise ValueError(f"{HASHES} slots cannot find pairs at {percent} percent")
+    lost, agree = 0.0, 0
+    while agree < HASHES and (lost := lost + math.comb(HASHES, agree) * p ** agree * (1 - p) ** (HASHES - agree)) <= MISS:
+        agree += 1
+    return max(wide), agree
+
+
 class Shingler:
     """Distinct hashes of the five-word shingles of a text; a shorter text is one shingle."""
 
@@ -181,8 +196,8 @@ def _edges(pairs):
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], schema=PAIR)
 
 
-def _alike(low: float):
-    """In buckets: a spanning forest of the pairs whose signatures agree in a share ``low`` of the slots or more."""
+def _alike(agree: int):
+    """In buckets: a spanning forest of the pairs whose signatures agree in ``agree`` slots or more."""
     def run(batches):
         pairs: list[tuple] = []
         for t in _groups(batches, ["band", "i", "j"]):
@@ -193,7 +208,7 @@ def _alike(low: float):
             for x in range(len(ids)):
                 ys = np.arange(x + 1, len(ids)) if one_block else np.flatnonzero(side != side[x])
                 ys = forest.apart(x, ys[ys > x])
-                for y in ys[(sig[ys] == sig[x]).sum(axis=1) >= low * sig.shape[1]].tolist():
+                for y in ys[(sig[ys] == sig[x]).sum(axis=1) >= agree].tolist():
                     if forest.join(x, y):
                         pairs.append((ids[x], ids[y]))
             if len(pairs) >= 10_000:
@@ -243,7 +258,7 @@ def _by_group(rows: DataFrame, key: str, run) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of (doc_id, text).
 
-    Documents with equal sets meet in a grouped minimum and go on as one. Signatures of 24 bands name
+    Documents with equal sets meet in a grouped minimum and go on as one. Signatures, in bands as ``percent`` asks, name
     buckets; in a bucket, blocks of bounded size are compared and only a spanning forest of the pairs that
     may pass leaves the task. Its components are candidate clusters, small because chance collisions fail
     the estimate; every linked pair lies in one. Their full sets are compared, again in blocks, and the
@@ -257,11 +272,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = sigs.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
     reps = materialise(reps, "sets")
-    width = 2 * ROWS
-    band = F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 1 + k * width, width)) for k in range(HASHES // ROWS)]))
+    rows, agree = banding(percent)
+    width = 2 * rows
+    band = F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 1 + k * width, width)) for k in range(HASHES // rows)]))
     banded = reps.select("node", band.alias("band"))
     members = in_blocks(banded, "band", "node", block_counts(banded, "band")).join(reps.select("node", "sig"), "node")
-    alike = _by_group(members, "band", _alike(percent / 100 - SLACK))
+    alike = _by_group(members, "band", _alike(agree))
     clusters = materialise(components(alike).withColumnRenamed("component", "cluster"), "clusters")
     texts = materialise(clusters.join(docs.withColumnRenamed("doc_id", "node"), "node").groupBy("cluster", "node", F.xxhash64("text"))
                         .agg(F.first("text").alias("text")).select("cluster", "node", "text"), "texts")
