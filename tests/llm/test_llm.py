@@ -359,3 +359,18 @@ def test_pipeline_drops_near_copies_from_080(spark):
     assert sum(0.80 <= j < 0.85 for j in near.values()) > 5 and min(near.values()) < 0.80 and max(near.values()) >= 0.85
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     assert got == {d for d, _ in rows if near.get(d, 0) < 0.80}
+
+
+def test_secrets_of_every_character_class_and_beside_placeholders(spark):
+    key, blob = "3ax6xnjp29jd6fds4gc373sgvjxteol0", "9fK2mQ7xL4vB8nZ3wR6tY1pC5"
+    found = [f"key-{key}", "seed K5QXE3DJNZTSA4DBONZXO33SMQ7VHJ2W", "mixed QzWxEcRvTbYnUmIkOlPaSdFgHjKl", f"/sample/{blob}", f"--------{blob}",
+             f"{blob}AAAAAAAAAAAA{blob}", f"{blob}/example", f"changeme_{'-' * 5000}{key}", f"{'example-' * 3000}{key}"]
+    silent = ["AKIAIOSFODNN7-EXAMPLE", "your_token_9fK2mQ7xL4vB8", "-" * 60_000, "example-" * 8_000, "550e8400-e29b-41d4-a716-446655440000",
+              "einlichheitenpfpfverschlichkeit", "Einungtzheitgeungverlich", "AbstractSingletonProxyFactoryBean"]
+    rows = list(enumerate(found + silent))
+    for r in secrets.scan(frame(spark, rows)).collect():
+        spans = [tuple(s) for s in r.spans]
+        assert [s[3] for s in spans] == (["entropy"] if r.doc_id < len(found) else []), r.text[:80]
+        assert spans == brute.secret_spans(r.text)
+        for part in (key, blob):  # the whole key lies in the span
+            assert all(spans[0][0] <= m.start() and m.end() <= spans[0][2] for m in re.finditer(part, r.text))

@@ -30,12 +30,16 @@ class CharClass:
 CLASSES = (
     CharClass("hex", r"^(?=[^0-9]*[0-9])(?=[^A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]+$", 20, 3.0),
     CharClass("base64", r"^(?=[^0-9]*[0-9])(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])[A-Za-z0-9+/=_-]+$", 20, 3.6),
+    CharClass("lower", r"^(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])[a-z0-9+/=_-]+$", 20, 3.6),
+    CharClass("upper", r"^(?=[^0-9]*[0-9])(?=[^A-Z]*[A-Z])[A-Z0-9+/=_-]+$", 20, 3.5),  # base32 has few digits
+    CharClass("letters", r"^(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])[A-Za-z+/=_-]+$", 20, 3.9),  # joined words stay below
 )
-# Placeholders and identifiers that are no secrets, whatever their entropy.
+_PLACEHOLDER = r"(?i:example|sample|dummy|placeholder|changeme|redacted|your[_-]?(?:key|token|secret))"
+# Placeholders and identifiers that are no secrets, whatever their entropy. Placeholders and runs of 8 equal characters
+# clear a candidate only if they leave no 20 characters, the window of all classes, between them: the rest is judged.
 ALLOW = (
-    r"(?i)example|sample|dummy|placeholder|changeme|redacted|your[_-]?(key|token|secret)",
+    rf"^(?!(?:.*?(?:{_PLACEHOLDER}|(.)\1{{7}}(?!\1)))?(?:(?!{_PLACEHOLDER}|(.)\2{{7}}).){{20}})",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(.)\1{7}",
 )
 
 
