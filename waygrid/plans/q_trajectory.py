@@ -270,8 +270,7 @@ def _(t):
 
 @query("heading_consensus")
 def _(t):
-    # a device's events are minutes apart, votes live for seconds: a second of the table counts as a millisecond
-    e = t.events.select("event_id", F.col("user_id").alias("device_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"),
+    e = t.events.select("event_id", F.col("user_id").alias("device_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e3).alias("t"),
                         ((F.col("event_id") % 15).cast("double") + 90).alias("heading"), F.lit(0.3).alias("yaw"))
     return rounded(fold_ordered(e, ["device_id"], ["t", "event_id"], M.heading_vote, M.VOTE_SCHEMA))
 
