@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waygrid.llm import bpe, decontam, neardup, quality, secrets
-from waygrid.llm.common import table
+from waygrid.llm.common import materialise, table
 from waygrid.session import shared_dir
 
 NEAR_PERCENT = 80  # word shingles that near copies share; op4 alone is held to 85
@@ -18,16 +18,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.apply_rules(docs, out="_quality").where("_quality.kept").drop("_quality")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a written number ``_key`` each: ids may be null or repeat, and exact repeats differ in nothing else."""
+    return materialise(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    """(doc_id, text) as operators read it, where the id is the row's own number."""
+    return keyed.select(F.col("_key").alias("doc_id"), "text")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group; rows without an id stay."""
-    gone = neardup.near_duplicates(docs, NEAR_PERCENT).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of every group of near copies: the one with the smallest id, rows without an id last; rows that are
+    alike in that go by a digest of their columns. Every row counts for itself, also where ids are null or repeat.
+    Rows without words are like no other and stay.
+    """
+    keyed = _keyed(docs)
+    groups = neardup.near_duplicates(_by_key(keyed), NEAR_PERCENT).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group"))
+    digest = F.sha2(F.to_json(F.struct(*docs.columns)), 256)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), digest.alias("digest"), F.col("_key").alias("key"))
+    first = keyed.select("_key", rank.alias("_rank")).join(groups, "_key").groupBy("_group").agg(F.min("_rank")["key"].alias("_key"))
+    return keyed.join(first, "_key", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item; rows without an id stay, unless they have nothing to compare by."""
-    leaks = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Rows without a benchmark item; each is judged by its own text, whatever its id."""
+    keyed = _keyed(docs)
+    leaks = decontam.contaminated(_by_key(keyed), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(leaks, "_key", "left_anti").select(*docs.columns)
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -374,3 +374,22 @@ def test_secrets_of_every_character_class_and_beside_placeholders(spark):
         assert spans == brute.secret_spans(r.text)
         for part in (key, blob):  # the whole key lies in the span
             assert all(spans[0][0] <= m.start() and m.end() <= spans[0][2] for m in re.finditer(part, r.text))
+
+
+def test_pipeline_decides_by_row_not_by_id(spark, tmp_path):
+    import corpus_pipeline
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    leak = text(9)
+    rows = [(None, text(1)), (1, text(1)), (None, text(2)), (None, text(2) + " end"), (4, text(3)), (4, text(3)), (4, text(4)), (5, text(4) + " end"),
+            (3, text(4)), (None, None), (None, None), (6, text(5)), (6, leak), (None, text(6) + " " + leak), (None, text(6)), (7, text(7))]
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = lambda stage, rs: [tuple(r) for r in stage(spark, spark.createDataFrame(rs, DOCS), str(tmp_path)).collect()]
+    order = lambda rs: sorted(rs, key=str)
+    clean = run(corpus_pipeline.decontamination, rows)
+    assert order(clean) == order(r for r in rows if leak not in (r[1] or ""))
+    once = run(corpus_pipeline.near_duplicates, clean)
+    second = [r for r in once if r[0] is None and (r[1] or "").startswith(text(2))]  # either: neither has an id
+    assert len(second) == 1 and second[0] in rows
+    assert order(r for r in once if r not in second) == order(
+        [(1, text(1)), (4, text(3)), (3, text(4)), (None, None), (None, None), (6, text(5)), (None, text(6)), (7, text(7))])
+    assert order(run(corpus_pipeline.near_duplicates, clean[::-1])) == order(once)
