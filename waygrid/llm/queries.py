@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontam, langid, neardup, quality, secrets, tokencount, urls, warc
+from . import bpe, chat, decontam, langid, merkle, neardup, periodic, pivots, quality, secrets, tokencount, urls, warc
 from .common import table
 
 
@@ -68,16 +68,43 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.with_planted_run(F.col("doc_id"), F.col("text")).alias("text"))
+    r, best = F.col("runs"), F.col("best")
+    line = lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n"))
+    return periodic.find_runs(docs).withColumn("best", periodic.longest(r)).select(
+        "doc_id", F.size(r).cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(r, line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = merkle.leaf(**{f: F.when(tampered, F.col(f) + 1).otherwise(F.col(f)) if f == "n_chars" else F.col(f) for f in merkle.FIELDS})
+    return merkle.audit(merkle.build(docs, check=changed)).withColumn("doc_id", F.col("key").cast("long")).drop("key")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_warc_revisits, op3_language_crf, op4_superminhash, op5_decontamination, op6_chat_grammar,
-    op7_token_counts, op8_quality_rules, op9_url_cascade, op10_byte_bpe, pipeline)}
+    op7_token_counts, op8_quality_rules, op9_url_cascade, op10_byte_bpe, op11_periodic_runs, op12_pivot_permutation, op13_merkle_manifest, pipeline)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+# crc32 of the decimal id: one step a byte, eight steps a bit
+_CRC = r"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda ch: [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END))"""
+_PART = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
+
 SQL = {
     "op2_warc_revisits": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
@@ -135,4 +162,52 @@ x AS (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND starts_with(pat
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
   WHEN regexp_matches(host, '""" + urls.LISTED_LABELS + r"""') THEN 'block' ELSE 'allow' END AS verdict
 FROM x""",
+    "op11_periodic_runs": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, """ + _WORDS + r""" AS ws, """ + _CRC + r""" AS h FROM documents),
+e AS (SELECT *, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a, h // 10 AS g FROM d),
+f AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - a) // (3 + g % 8) END AS p FROM e),
+x AS (SELECT rid, i, ws[CASE WHEN p IS NULL OR i < a THEN i ELSE a + (i - a) % p END + 1] AS w, n FROM (SELECT *, unnest(range(n)) AS i FROM f)),
+m AS (SELECT b.rid, b.i - c.i AS q, c.i FROM x c JOIN x b ON b.rid = c.rid AND b.w = c.w AND b.i > c.i AND 4 * (b.i - c.i) <= b.n),
+s AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS grp FROM m),
+r AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY rid, q, grp HAVING count(*) + q >= greatest(6, 4 * q)),
+u AS (SELECT rid, start, length, min(q) AS period FROM r GROUP BY ALL),
+best AS (SELECT rid, start, length, period, row_number() OVER (PARTITION BY rid ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM u),
+t AS (SELECT rid, count(*) AS c, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS line FROM u GROUP BY rid),
+dropped AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM u),
+kept AS (SELECT x.rid, string_agg(w, ' ' ORDER BY x.i) AS words FROM x ANTI JOIN dropped o ON o.rid = x.rid AND o.i = x.i GROUP BY x.rid)
+SELECT doc_id, coalesce(c, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(line, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (rid) LEFT JOIN best ON best.rid = d.rid AND k = 1 LEFT JOIN kept ON kept.rid = d.rid""",
+    "op12_pivot_permutation": r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+  AND len(list_filter(e, lambda c: c <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+n AS (SELECT a, count(*) AS c FROM p GROUP BY a)
+SELECT vec_id, coalesce(any_value(n.c), 0) AS n_links, min(r.b) AS component_id, vec_id = min(r.b) AS kept
+FROM v JOIN r ON r.a = vec_id LEFT JOIN n ON n.a = vec_id GROUP BY vec_id""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE l AS (SELECT doc_id, coalesce('=' || lang, '') AS g, """ + _CRC + r""" % 7 = 0 AS tampered,
+  sha256(""" + " || ".join(map(_PART, ("doc_id", "source", "lang", "n_chars", "text"))) + r""") AS leaf,
+  sha256(""" + " || ".join(map(_PART, ("doc_id", "source", "lang", "(n_chars + 1)", "text"))) + r""") AS changed FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM l),
+t AS (SELECT g, 0 AS lv, pos AS i, leaf AS h, n FROM p
+  UNION ALL SELECT g, lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY g, lv, i // 2, n),
+s AS (SELECT g, h, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+o AS (SELECT 0 AS lv, pos AS i, h, n FROM s
+  UNION ALL SELECT lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM o WHERE n > 1 GROUP BY lv, i // 2, n),
+below AS (SELECT p.g, p.pos, string_agg(t.h, '' ORDER BY t.lv) AS hs FROM p JOIN t ON t.g = p.g AND t.n > 1 AND t.i = xor(p.pos >> t.lv, 1) GROUP BY p.g, p.pos),
+above AS (SELECT s.g, string_agg(o.h, '' ORDER BY o.lv) AS hs FROM s JOIN o ON o.n > 1 AND o.i = xor(s.pos >> o.lv, 1) GROUP BY s.g),
+f AS (SELECT g, pos, 0 AS lv, n, CASE WHEN tampered THEN changed ELSE leaf END AS h FROM p
+  UNION ALL SELECT f.g, f.pos, f.lv + 1, (f.n + 1) // 2, sha256(CASE WHEN (f.pos >> f.lv) & 1 = 1 THEN t.h || f.h ELSE f.h || coalesce(t.h, '') END)
+  FROM f LEFT JOIN t ON t.g = f.g AND t.lv = f.lv AND t.i = xor(f.pos >> f.lv, 1) WHERE f.n > 1),
+k AS (SELECT f.g, f.pos, 0 AS lv, s.n, s.pos AS sp, f.h FROM f JOIN s ON s.g = f.g WHERE f.n = 1
+  UNION ALL SELECT k.g, k.pos, k.lv + 1, (k.n + 1) // 2, k.sp, sha256(CASE WHEN (k.sp >> k.lv) & 1 = 1 THEN o.h || k.h ELSE k.h || coalesce(o.h, '') END)
+  FROM k LEFT JOIN o ON o.lv = k.lv AND o.i = xor(k.sp >> k.lv, 1) WHERE k.n > 1)
+SELECT p.doc_id, p.leaf, s.h AS subroot, o.h AS root, sha256(coalesce(below.hs, '') || coalesce(above.hs, '')) AS proof_sha256,
+  k.h AS folded_root, k.h = o.h AS verified
+FROM p JOIN s ON s.g = p.g JOIN o ON o.n = 1 JOIN k ON k.g = p.g AND k.pos = p.pos AND k.n = 1
+LEFT JOIN below ON below.g = p.g AND below.pos = p.pos LEFT JOIN above ON above.g = p.g""",
 }
