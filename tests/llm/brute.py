@@ -24,18 +24,40 @@ def secret_spans(text):
         c = m[0]
         if len(c) < 20 or any(re.search(p, c) for p in secrets.ALLOW):
             continue
-        k = next((k for k in secrets.CLASSES if re.search(k.pattern, c)), None)
-        if not k:
-            continue
-        hot = [i for i in range(len(c) - k.window + 1)
-               if -sum(n / k.window * math.log2(n / k.window) for n in Counter(c[i:i + k.window]).values()) >= k.bits + 1e-12]
-        if hot:
-            s, e = m.start() + hot[0], m.start() + hot[-1] + k.window
-            if not any(b[0] <= s and e <= b[2] for b in base):
-                out.append((s, 3, e, "entropy"))
+        inside = set()
+        for i in range(len(c) - 19):
+            if secret_window(c[i:i + 20]):
+                inside.update(range(i, i + 20))
+        for run in re.finditer(r"[A-Za-z0-9]+", c):  # a key is covered to both ends
+            if inside.intersection(range(*run.span())):
+                inside.update(range(*run.span()))
+        for s in sorted(i for i in inside if i - 1 not in inside):
+            e = s
+            while e in inside:
+                e += 1
+            word = r"(?:[A-Z]?[a-z]+|[A-Z]+)?"
+            lead, trail = re.match(rf"(?:{word}[+/=_-])*", c[s:e]), re.search(rf"(?:[+/=_-]{word})*$", c[s:e])
+            s, e = s + len(lead[0]), e - len(trail[0])
+            if not any(b[0] <= m.start() + s and m.start() + e <= b[2] for b in base):
+                out.append((m.start() + s, 3, m.start() + e, "entropy"))
     return sorted(out)
 
 
+def secret_window(w):
+    """Whether 20 characters are one of the shapes of a key."""
+    from waygrid.llm import secrets
+    bits = -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values())
+    low, up, num = (sum(a <= c <= b for c in w) for a, b in ("az", "AZ", "09"))
+    wordy = sum(w[i:i + 2].lower() in secrets.PAIRS for i in range(19))
+    odd = 20 - low - up - num
+    at = lambda least: bits >= least - 1e-12
+    return wordy <= 3 and (
+        (at(3.0) and low >= 3 and num >= 3 and set(w) <= set("0123456789abcdef")) or (at(3.0) and up >= 3 and num >= 3 and set(w) <= set("0123456789ABCDEF"))
+        or (at(3.6) and low >= 3 and up >= 3 and (num >= 2 and odd <= 2 or num >= 1 and not odd))
+        or (at(3.6) and low >= 4 and num >= 3 and not up and not odd) or (at(3.5) and up >= 4 and num >= 1 and not low and not odd)
+        or (at(3.9) and low >= 5 and up >= 5 and not odd))
+
+
 def masked(text):
     spans, out, at = secret_spans(text), "", 0
     if not spans:

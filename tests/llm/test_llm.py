@@ -393,3 +393,53 @@ def test_pipeline_decides_by_row_not_by_id(spark, tmp_path):
     assert order(r for r in once if r not in second) == order(
         [(1, text(1)), (4, text(3)), (3, text(4)), (None, None), (None, None), (6, text(5)), (None, text(6)), (7, text(7))])
     assert order(run(corpus_pipeline.near_duplicates, clean[::-1])) == order(once)
+
+
+ORDINARY = """/blog/how-to-make-sourdough-bread-at-home-2024/
+feature/add-user-profile-picture-upload-v2
+/usr/local/lib/python3/site-packages/numpy/core/multiarray.py
+https://example.org/wiki/chapter-2-of-the-history-of-london/page
+snake_case_test_function_number_12_with_params
+ISO/IEC_JTC1_SC22_WG21_STANDARD_DOCUMENT
+https://news.site.com/2023/11/05/markets-rally-as-inflation-cools/index.html
+/assets/img/products/2019/blue-running-shoes-size-42-front-view.jpg
+kubernetes-dashboard-metrics-scraper-v1
+org/apache/commons/lang3/StringUtils
+com/fasterxml/jackson/databind/ObjectMapper2Test
+AbstractAnnotationConfigDispatcherServletInitializer
+MAX_CONNECTIONS_PER_HOST_DEFAULT_VALUE_64
+TestShouldReturn404WhenUserDoesNotExist
+getElementsByTagNameNS2WithFallback
+utm_source=newsletter_utm_medium=email_utm_campaign=spring_sale_2024
+les-dix-meilleures-recettes-de-cuisine-francaise-2021
+die-besten-wanderwege-im-schwarzwald-teil-3
+las-mejores-playas-del-mediterraneo-para-2022
+python-3-10-release-notes-and-whats-new
+ubuntu-22-04-desktop-amd64-installation-guide
+node_modules/react-dom/cjs/react-dom-server-legacy-node-development
+2024-01-15-weekly-meeting-notes-engineering-team
+UPPER_CASE_CONSTANT_NAME_WITH_VERSION_2
+chapter01-section02-introduction-to-algebra
+conv2d_3x3_batchnorm_relu_block_layer4
+sha256WithRSAEncryptionParameters
+the/quick/brown/fox/jumps/over/13/lazy/dogs
+XMLHttpRequestUploadEventListenerOptions
+abcdefghijklmnopqrstuvwxyz0123456789
+com-example-project-submodule-service-impl-1
+Donaudampfschifffahrtsgesellschaftskapitaen1
+user-agent-mozilla-5-0-windows-nt-10-0
+----------------------------------------------------""".split("\n")
+
+
+def test_ordinary_paths_names_and_slugs_are_no_secrets(spark):
+    rows = list(enumerate(ORDINARY)) + [(1000 + i, f"see {t}, or {t}/ now") for i, t in enumerate(ORDINARY)]
+    got = secrets.scan(frame(spark, rows)).collect()
+    assert {r.text: r.spans for r in got if r.spans} == {} and len(ORDINARY) >= 30
+
+
+def test_two_secrets_of_a_candidate_are_two_spans(spark):
+    key, blob = "3ax6xnjp29jd6fds4gc373sgvjxteol0", "9fK2mQ7xL4vB8nZ3wR6tY1pC5"
+    text = f"at /{key}/the-history-of-the-city-of-london/{blob}/and-more-of-it"
+    r = secrets.scan(frame(spark, [(1, text)])).select("spans", secrets.redact(F.col("text"), F.col("spans")).alias("m")).first()
+    assert [text[s.start:s.end] for s in r.spans] == [key, blob]
+    assert r.m == "at /[secret]/the-history-of-the-city-of-london/[secret]/and-more-of-it"

@@ -20,21 +20,36 @@ CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"
 
 @dataclass(frozen=True)
 class CharClass:
-    """Candidates that match ``pattern`` whole are judged by windows of ``window`` characters."""
+    """What a window of ``WINDOW`` characters must hold to count for this class, and its least entropy in bits.
+
+    ``symbols``: at most so many characters of ``+/=_-``. Words, joined in paths, names and identifiers, have as much entropy
+    as some keys, so a window with more than ``pairs`` of the frequent letter pairs is no secret.
+    """
     name: str
-    pattern: str
-    window: int
     bits: float
+    lower: int = 0
+    upper: int = 0
+    digits: int = 0
+    symbols: int = 0
+    pairs: int = 3
+    only: str | None = None  # a pattern that no character of the window may match
 
 
+WINDOW = 20
 CLASSES = (
-    CharClass("hex", r"^(?=[^0-9]*[0-9])(?=[^A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]+$", 20, 3.0),
-    CharClass("base64", r"^(?=[^0-9]*[0-9])(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])[A-Za-z0-9+/=_-]+$", 20, 3.6),
-    CharClass("lower", r"^(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])[a-z0-9+/=_-]+$", 20, 3.6),
-    CharClass("upper", r"^(?=[^0-9]*[0-9])(?=[^A-Z]*[A-Z])[A-Z0-9+/=_-]+$", 20, 3.5),  # base32 has few digits
-    CharClass("letters", r"^(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])[A-Za-z+/=_-]+$", 20, 3.9),  # joined words stay below
+    CharClass("hex", 3.0, lower=3, digits=3, only="[^0-9a-f]"),
+    CharClass("HEX", 3.0, upper=3, digits=3, only="[^0-9A-F]"),
+    CharClass("base64", 3.6, lower=3, upper=3, digits=2, symbols=2),
+    CharClass("mixed", 3.6, lower=3, upper=3, digits=1),
+    CharClass("lower", 3.6, lower=4, digits=3, only="[^0-9a-z]"),
+    CharClass("upper", 3.5, upper=4, digits=1, only="[^0-9A-Z]"),  # base32 has few digits
+    CharClass("letters", 3.9, lower=5, upper=5),
 )
-_PLACEHOLDER = r"(?i:example|sample|dummy|placeholder|changeme|redacted|your[_-]?(?:key|token|secret))"
+# Frequent letter pairs of English, French, German and Spanish.
+PAIRS = ("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea "
+         "ra ce li ch ll be ma si om ur el la ta ie ei un ge ue qu sc us et ai tr na ca di do no lo mo pa pe po su").split()
+_FREQUENT = "(?i)(?=" + "|".join(PAIRS) + ")"
+_PLACEHOLDER = r"(?i:example|sample|dummy|placeholder|changeme|redacted|abcdefgh|12345678|your[_-]?(?:key|token|secret))"
 # Placeholders and identifiers that are no secrets, whatever their entropy. Placeholders and runs of 8 equal characters
 # clear a candidate only if they leave no 20 characters, the window of all classes, between them: the rest is judged.
 ALLOW = (
@@ -80,49 +95,89 @@ def _pattern_spans(text: Column, pattern: str, kind: str) -> Column:
     return F.when(text.rlike(pattern), _located(text, pattern, assigned if kind == "assign" else body)).otherwise(F.expr(NONE))
 
 
-def hot_range(chars: Column, window: int, bits: float) -> Column:
-    """Struct (first, last) around every window of ``chars`` with entropy of at least ``bits``; nulls if none.
+SPANS = "cast(array() as array<struct<first:int,last:int>>)"
+
+
+def _joined(spans: Column, first: Column, last: Column) -> Column:
+    """The spans and one more that starts no earlier than the last of them: it joins that one if they touch."""
+    tail = F.get(spans, F.size(spans) - 1)
+    new = lambda a: F.array(F.struct(a.cast("int").alias("first"), F.greatest(last, F.coalesce(tail["last"], last)).cast("int").alias("last")))
+    return F.when(tail["last"] >= first, F.concat(F.slice(spans, 1, F.size(spans) - 1), new(tail["first"]))).otherwise(
+        F.concat(spans, F.array(F.struct(first.cast("int").alias("first"), last.cast("int").alias("last")))))
+
+
+def hot_spans(c: Column, chars: Column, classes=CLASSES, window: int = WINDOW) -> Column:
+    """Maximal stretches (first, last) of the candidate ``c`` that windows of one of the classes cover.
 
-    The window slides one character at a time. Its state is the count of each character and the sum of
-    c log2 c, both changed by the entering and the leaving character only.
+    The window slides one character at a time. Its state is the count of each character, of lower-case letters, capitals
+    and digits, and the sum of c log2 c, all changed by the entering and the leaving character only.
     """
-    f = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    f = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
     move = lambda i, at, by: F.struct(F.get(chars, at).alias("ch"), F.lit(by).alias("by"), i.alias("i"))
     moves = F.flatten(F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.when(
         i > window, F.array(move(i, i - window - 1, -1), move(i, i - 1, 1))).otherwise(F.array(move(i, i - 1, 1)))))
-    start = F.struct(F.expr("cast(map() as map<string,int>)").alias("counts"), F.lit(0.0).alias("sum"),
-                     F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    zero = F.lit(0)
+    start = F.struct(F.expr("cast(map() as map<string,int>)").alias("counts"), F.lit(0.0).alias("sum"), zero.alias("lower"),
+                     zero.alias("upper"), zero.alias("digits"), F.expr(SPANS).alias("spans"))
 
     def step(s: Column, m: Column) -> Column:
         n = F.coalesce(F.try_element_at(s["counts"], m["ch"]), F.lit(0))
-        total = s["sum"] + f(n + m["by"]) - f(n)
-        hot = (m["by"] == 1) & (m["i"] >= window) & (math.log2(window) - total / window >= bits)
-        return F.struct(
+        plus = lambda name, lo, hi: s[name] + F.when(m["ch"].between(lo, hi), m["by"]).otherwise(0)
+        moved = F.struct(
             F.map_concat(F.map_filter(s["counts"], lambda k, v: k != m["ch"]), F.create_map(m["ch"], n + m["by"])).alias("counts"),
-            total.alias("sum"), F.when(hot, F.coalesce(s["first"], m["i"] - window)).otherwise(s["first"]).alias("first"),
-            F.when(hot, m["i"]).otherwise(s["last"]).alias("last"))
+            (s["sum"] + f(n + m["by"]) - f(n)).alias("sum"), plus("lower", "a", "z").alias("lower"), plus("upper", "A", "Z").alias("upper"),
+            plus("digits", "0", "9").alias("digits"), s["spans"].alias("spans"))
 
-    return F.aggregate(moves, start, step, lambda s: F.struct(s["first"], s["last"]))
+        def judged(t: Column) -> Column:
+            view, hot = F.substring(c, m["i"] - window + 1, F.lit(window)), F.lit(False)
+            for k in classes:
+                symbols = window - t["lower"] - t["upper"] - t["digits"]
+                fits = (math.log2(window) - t["sum"] / window >= k.bits) & (t["lower"] >= k.lower) & (t["upper"] >= k.upper) & (t["digits"] >= k.digits) & (symbols <= k.symbols)
+                if k.only:
+                    fits = fits & ~view.rlike(k.only)
+                hot = hot | (fits & (F.regexp_count(view, F.lit(_FREQUENT)) <= k.pairs))
+            full = (m["by"] == 1) & (m["i"] >= window)
+            return F.struct(*[t[x] for x in ("counts", "sum", "lower", "upper", "digits")], F.when(
+                full & hot, _joined(t["spans"], m["i"] - window, m["i"])).otherwise(t["spans"]).alias("spans"))
 
+        return let(moved, judged)
 
-def _windows(k: CharClass):
-    return lambda chars: hot_range(chars, k.window, k.bits)
+    return F.aggregate(moves, start, step, lambda s: s["spans"])
+
+
+_BEFORE, _AFTER = r"^(?:(?:[A-Z]?[a-z]+|[A-Z]+)?[+/=_-])+", r"(?:[+/=_-](?:[A-Z]?[a-z]+|[A-Z]+)?)+$"  # words at the ends of a span
+
+
+def _whole_words(c: Column, spans: Column) -> Column:
+    """Spans widened to the letters and digits around them, so that a key is covered to both ends, without the plain words
+    that its first and last windows reached across a symbol.
+    """
+    found = F.regexp_extract
+    more = lambda text, pattern: F.greatest(F.length(found(text, pattern, 0)) - 1, F.lit(0))  # beyond the span's own end
+    wide = F.aggregate(spans, F.expr(SPANS), lambda out, s: _joined(
+        out, s["first"] - more(F.substring(c, F.lit(1), s["first"] + 1), "[A-Za-z0-9]*$"),
+        s["last"] + more(F.substring(c, s["last"], F.length(c)), "^[A-Za-z0-9]*")))
+    return F.transform(wide, lambda s: let(F.substring(c, s["first"] + 1, s["last"] - s["first"]), lambda t: F.struct(
+        (s["first"] + F.length(found(t, _BEFORE, 0))).alias("first"), (s["last"] - F.length(found(t, _AFTER, 0))).alias("last"))))
 
 
 def _entropy_spans(text: Column, classes, allow) -> Column:
     def judged(c: Column) -> Column:
-        out = F.lit(None).cast("struct<first:int,last:int>")
-        for k in reversed(classes):
-            chars = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(1)))
-            out = F.when(c.rlike(k.pattern), let(chars, _windows(k))).otherwise(out)
+        chars = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(1)))
         listed = F.lit(False)
         for p in allow:
             listed = listed | c.rlike(p)
-        return F.when(~listed, out)
+        worth = F.lit(False)  # no window can fit a candidate without what some class asks for
+        for k in classes:
+            has = F.lit(True)
+            for pattern, least in (("[a-z]", k.lower), ("[A-Z]", k.upper), ("[0-9]", k.digits)):
+                has = has & c.rlike(pattern) if least else has
+            worth = worth | has
+        return F.when(worth & ~listed, let(let(chars, lambda cs: hot_spans(c, cs, classes)), lambda ss: _whole_words(c, ss))).otherwise(F.expr(SPANS))
 
     def body(hs: Column, st: Column) -> Column:
-        return F.filter(F.transform(hs, lambda h, i: let(judged(h), lambda r: F.when(
-            r["first"].isNotNull(), _span(F.get(st, i) + r["first"], F.get(st, i) + r["last"], "entropy")))), lambda s: s.isNotNull())
+        return F.flatten(F.transform(hs, lambda h, i: F.transform(
+            judged(h), lambda r: _span(F.get(st, i) + r["first"], F.get(st, i) + r["last"], "entropy"))))
 
     return F.when(text.rlike(CANDIDATE), _located(text, CANDIDATE, body)).otherwise(F.expr(NONE))
 
@@ -130,7 +185,8 @@ def _entropy_spans(text: Column, classes, allow) -> Column:
 def find_spans(text: Column, classes=CLASSES, allow=ALLOW) -> Column:
     """Array of (start, rank, end, kind), sorted by start then kind; a null text has none.
 
-    Base kinds always stay; an entropy span inside a base span adds nothing and is left out.
+    Base kinds always stay; an entropy span inside a base span adds nothing and is left out. Texts are read whole, whatever
+    their length, in one expression; equal texts get equal spans.
     """
     t = F.coalesce(text, F.lit(""))
 
@@ -144,7 +200,9 @@ def find_spans(text: Column, classes=CLASSES, allow=ALLOW) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", out: str = "spans", **params) -> DataFrame:
-    """Add the array of spans. One projection, no shuffle; repeated rows are scanned alike."""
+    """Add the array of spans, as a column ``out``, which replaces one of that name. One projection, no shuffle; repeated
+    rows are scanned alike, a null or empty text has no spans, an empty table gives an empty table.
+    """
     return docs.withColumn(out, find_spans(F.col(text), **params))
 
 
