@@ -204,12 +204,14 @@ def test_decontamination(spark):
     odd = items + [(900, None), (901, ""), (None, "a b c"), items[0]]
     bench = frame(spark, odd, "item_id bigint, text string")
     want = brute.leaks(docs, items)
-    for size in (decontam.MAX_INDEX_CHARS, 6000):
-        got = decontam.contaminated(frame(spark, docs), bench, max_chars=size)
-        found = {(r.doc_id, r.item_id) for r in got.collect()}
-        assert exact <= found and (502, 4) in found
-        if size == decontam.MAX_INDEX_CHARS:
-            assert found == want and len(want) > 25
+    scores = None
+    for size in (decontam.MAX_INDEX_CHARS, 6000, 900):  # one index, a few parts, many
+        got = decontam.contaminated(frame(spark, docs), bench, max_chars=size).collect()
+        found = {(r.doc_id, r.item_id) for r in got}
+        assert exact <= found and (502, 4) in found and found == want and len(want) > 25
+        now = sorted((r.doc_id, r.item_id, r.word_at, round(r.score, 9)) for r in got)
+        assert scores in (None, now)
+        scores = now
     assert decontam.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
     assert decontam.contaminated(frame(spark, []), bench).count() == 0
 
@@ -443,3 +445,40 @@ def test_two_secrets_of_a_candidate_are_two_spans(spark):
     r = secrets.scan(frame(spark, [(1, text)])).select("spans", secrets.redact(F.col("text"), F.col("spans")).alias("m")).first()
     assert [text[s.start:s.end] for s in r.spans] == [key, blob]
     assert r.m == "at /[secret]/the-history-of-the-city-of-london/[secret]/and-more-of-it"
+
+
+def test_language_reads_whole_words_and_only_letters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs)
+    rows = [(1, "² ½ Ⅷ ③ 12"), (2, "x² ½und die"), (3, "straßenbahnhaltestelle" * 230), (4, "½" * 9)]
+    got = {r.doc_id: r for r in langid.identify(frame(spark, rows), model).collect()}
+    assert got[1].lang_pred == got[4].lang_pred == "und" and got[1].score == 0 and got[2].lang_pred != "und" and got[3].lang_pred == "de"
+    assert langid.words_of("x²y Ⅷ ½und É") == ["x", "y", "und", "é"] and langid.words_of(None) == []
+    long = "q" * 3000 + "the" + "q" * 2000  # the middle of a long run counts as well
+    assert set(langid.features(long, [])) > set(langid.features("q" * 5003, []))
+
+
+def test_language_sample_is_bounded_by_language_and_not_displaced_by_copies(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda texts: seen.update(texts=texts))
+    free = [d for d in range(30_000) if zlib.crc32(str(d).encode()) % 5]
+    rows = [(free[0], "copy of one", "en")] * 9000 + [(d, f"text {d}", "en") for d in free[1:6001]] + [(d, f"texte {d}", "fr") for d in free[6001:6021]]
+    langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(7), 50)
+    by = {lang: [t for g, t in seen["texts"] if g == lang] for lang in ("en", "fr")}
+    assert len(by["fr"]) == 20 and 25 <= len(by["en"]) <= 50 and len(set(by["en"])) == len(by["en"])
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+    text = " ".join(f"the w{i}" for i in range(60))
+    rows = [(1, text, 8), (2, text, 9), (3, text.replace("w", "v") + " password=abcdef123", 10)]
+    docs = spark.createDataFrame(rows, DOCS + ", n_chars bigint").withColumns(
+        {c: F.lit(c) for c in ("_key", "_quality", "_spans", "row_key", "Quality", "spans", "key", "group", "rank", "kept")})
+    spark.createDataFrame([(1, "nothing of it")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        got = out.collect()
+        assert len(got) == (2 if name == "near_duplicates" else 3)
+        assert all(r[c] == c for r in got for c in docs.columns[3:])
+    assert stage(spark, docs, "").where("text LIKE '%the v59 [secret]'").count() == 1

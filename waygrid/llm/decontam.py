@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import materialise
+
 K1, B = 1.2, 0.75
 SHARE = 0.6          # of an item's own score that a passage must reach
 OVERLAP = 0.8        # of the words of the question, and of the answer, that the passage must hold
@@ -46,10 +48,19 @@ class Item:
     shingles: set
 
 
+@dataclass
+class Statistics:
+    """Of all items, whatever part of them an index holds."""
+    items: int
+    mean: float           # words of an item
+    longest: int
+    df: dict[bytes, int]  # items with a term, for the terms of the index
+
+
 class Index:
     """Inverted index of items in blocks, weights scaled so that a passage hits an item at a sum of 1."""
 
-    def __init__(self, rows: list[tuple[int, str]], share: float = SHARE):
+    def __init__(self, rows: list[tuple[int, str]], share: float = SHARE, whole: Statistics | None = None):
         split = sorted(((i, terms(t)) for i, t in rows if terms(t)), key=lambda r: (len(r[1]), r[0]))
         self.terms: dict[bytes, int] = {}
         self.items: list[Item] = []
@@ -59,12 +70,14 @@ class Index:
             self.items.append(Item(i, at, Counter(at[:cut].tolist() or at.tolist()), Counter(at[cut:].tolist()),
                                    {tuple(at[k:k + 5].tolist()) for k in range(max(1, len(at) - 4))}))
         n, v = len(self.items), len(self.terms)
-        self.longest = max((len(x.words) for x in self.items), default=1)
-        df = Counter(t for x in self.items for t in set(x.words.tolist()))
-        mean = sum(len(x.words) for x in self.items) / max(n, 1)
+        if whole is None:
+            whole = Statistics(n, sum(len(x.words) for x in self.items) / max(n, 1), max((len(x.words) for x in self.items), default=1),
+                               Counter(w for _, ws in split for w in set(ws)))
+        self.longest, total, mean = whole.longest, whole.items, whole.mean
+        df = {t: whole.df[w] for w, t in self.terms.items()}
         term, item, weight = [], [], []
         for k, x in enumerate(self.items):
-            own = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(x.words) / mean))
+            own = {t: math.log(1 + (total - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(x.words) / mean))
                    for t, c in Counter(x.words.tolist()).items()}
             goal = share * sum(own.values())
             term += own
@@ -156,6 +169,13 @@ def _search(index: Index):
     return run
 
 
+def _terms(batches):
+    for b in batches:
+        split = [terms(t) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("part"), pa.array([len(ws) for ws in split], pa.int64()),
+                                          pa.array([sorted(set(ws)) for ws in split], pa.list_(pa.binary()))], names=["part", "n_words", "terms"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, max_chars: int = MAX_INDEX_CHARS) -> DataFrame:
     """(doc_id, item_id, word_at, score, question_overlap, answer_overlap) per document row and item it leaks.
 
@@ -166,17 +186,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, ma
     benchmark is searched by as many passes over the documents as it has such parts.
 
     Null or empty texts and items match nothing. Repeated document rows are reported each; items that repeat
-    an item_id are searched as separate items and reported once with the best score.
+    an item_id are searched as separate items and reported once with the best score. Of a document's passages with equal
+    scores the first is reported. Long texts are searched whole. An empty table on either side gives no rows.
+    Document frequencies, mean length and longest item are those of all items, so scores do not depend on the parts.
     """
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL AND item_id IS NOT NULL").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, math.ceil(chars / max_chars))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
+    split = materialise(items.mapInArrow(_terms, "part bigint, n_words bigint, terms array<binary>").where("n_words > 0"), "items")
+    size = split.agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.max("n_words").alias("longest")).first()
+    each = split.select("part", F.explode("terms").alias("term"))
+    df = materialise(each.groupBy("part", "term").agg(F.count(F.lit(1)).alias("here")), "terms")
+    df = df.select("part", "term").join(df.groupBy("term").agg(F.sum("here").alias("df")), "term")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     ddl = "doc_id bigint, item_id bigint, word_at bigint, score double, question_overlap double, answer_overlap double"
     found = None
     for p in range(parts):
-        part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p)
-        index = Index([(r.item_id, r.text) for r in part.collect()], share)  # bounded by max_chars
+        rows = [(r.item_id, r.text) for r in items.where(F.col("part") == p).collect()]  # bounded by max_chars, as are their terms
+        own = {bytes(r.term): r.df for r in df.where(F.col("part") == p).collect()}
+        index = Index(rows, share, Statistics(size.n, (size.words or 0) / max(size.n, 1), size.longest or 1, own))
         shared = docs.sparkSession.sparkContext.broadcast(index)
         mine = docs.mapInArrow(lambda batches, shared=shared: _search(shared.value)(batches), ddl)
         found = mine if found is None else found.union(mine)

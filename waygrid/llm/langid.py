@@ -9,9 +9,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SAMPLE_PER_LANG = 400   # labelled documents of a language that training reads, about
+SAMPLE_PER_LANG = 400   # labelled texts of a language that training reads, at most
 FEATURES = 1 << 16      # hashed feature space
 LEXICON = 400           # frequent words of a language
 STEPS, RATE, DECAY = 12, 0.5, 1e-6
@@ -21,6 +21,14 @@ BATCH_WORDS = 500_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters (Unicode category L), in lower case. ``WORD`` also takes the likes of ² and Ⅷ; those part words."""
+    found = WORD.findall((text or "").lower())
+    if found and not "".join(found).isalpha():
+        found = [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
+    return found
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents that training never sees: crc32 of the id as text divisible by 5; a null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
@@ -30,7 +38,7 @@ def features(word: str, lexicons: list[set]) -> list[int]:
     """Hashed affixes, character n-grams and lexicon marks of a lower-case word."""
     padded = f"^{word}$"
     names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-    names += [f"n{padded[i:i + k]}" for k in (2, 3) for i in range(min(len(padded) - k + 1, 24))]
+    names += [f"n{padded[i:i + k]}" for k in (2, 3) for i in range(len(padded) - k + 1)]
     names += [f"l{k}" for k, lex in enumerate(lexicons) if word in lex]
     return [zlib.crc32(n.encode()) % FEATURES for n in names]
 
@@ -99,7 +107,7 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model:
     docs = defaultdict(list)
     counts: dict[str, Counter] = defaultdict(Counter)
     for lang, text in texts:
-        ws = WORD.findall(text.lower())
+        ws = words_of(text)
         if ws:
             docs[lang].append(ws)
             counts[lang].update(ws)
@@ -155,23 +163,26 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
-    """Fit on a bounded sample of (doc_id, text, lang): about ``per_lang`` labelled, not held-out documents a language.
+    """Fit on a bounded sample of (doc_id, text, lang): at most ``per_lang`` labelled, not held-out texts a language.
 
-    The sample is drawn by a hash of the id at a rate that follows each language's count, so its size
-    does not depend on the table. Nothing else of the table is used.
+    Those are the distinct texts of the language with the smallest 64-bit hashes. A rate that follows each language's
+    count leaves about twice as many to be ranked, so nothing large is sorted. Repeated ids or rows take no one's place.
     """
     rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.select("lang", "text", F.xxhash64("text", F.lit("sample")).alias("hash"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros((0, 0)), [])
-    rate = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(int(min(1.0, per_lang / n) * 1_000_000)))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")))
-    return fit([(r.lang, r.text) for r in sample.select("lang", "text").limit(2 * per_lang * len(counts)).collect()])
+    limit = lambda n: 2 ** 63 - 1 if n <= 2 * per_lang else int(2 ** 64 * (2 * per_lang / n)) - 2 ** 63
+    below = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(limit(n)))])
+    some = rows.where(F.col("hash") <= F.element_at(below, F.col("lang"))).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))
+    return fit([(r.lang, r.text) for r in some.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("lang", "text").collect()])
 
 
 def _posteriors(model: Model, texts: list):
     """Per text (words, posteriors); texts go through the chain together, longest first, in bounded batches."""
-    found = [WORD.findall((t or "").lower()) for t in texts]
+    found = [words_of(t) for t in texts]
     out: list = [None] * len(texts)
     order = sorted(range(len(texts)), key=lambda i: -len(found[i]))
     while order:
@@ -227,7 +238,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, n_switches) per row: the label with the largest mean posterior over words.
 
     Null texts and texts without a letter get ``und`` and score 0, as does everything if nothing was learned.
-    Only the text is an input. Repeated rows are judged alike; no shuffle.
+    Only the text is an input. Texts are read whole; of equal means the first language by name wins. Repeated rows are
+    judged alike; an empty table gives no rows; no shuffle.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id")).alias("held_out"))
     return rows.mapInArrow(_documents(docs.sparkSession.sparkContext.broadcast(model)),
