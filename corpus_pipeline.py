@@ -13,19 +13,24 @@ from waygrid.session import shared_dir
 NEAR_PERCENT = 80  # word shingles that near copies share; op4 alone is held to 85
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return quality.apply_rules(docs, out="_quality").where("_quality.kept").drop("_quality")
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a written number ``_key`` each: ids may be null or repeat, and exact repeats differ in nothing else."""
-    return materialise(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep. Null and empty texts have too few words and go; each row is judged by itself."""
+    out = _free(docs, "quality")
+    return quality.apply_rules(docs, out=out).where(F.col(out)["kept"]).drop(out)
 
 
-def _by_key(keyed: DataFrame) -> DataFrame:
-    """(doc_id, text) as operators read it, where the id is the row's own number."""
-    return keyed.select(F.col("_key").alias("doc_id"), "text")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a written number each, and its name: ids may be null or repeat, and exact repeats differ in nothing else."""
+    key = _free(docs, "row_key")
+    return materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,31 +38,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     alike in that go by a digest of their columns. Every row counts for itself, also where ids are null or repeat.
     Rows without words are like no other and stay.
     """
-    keyed = _keyed(docs)
-    groups = neardup.near_duplicates(_by_key(keyed), NEAR_PERCENT).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group"))
+    keyed, key = _keyed(docs)
+    rows = keyed.select(F.col(key).alias("doc_id"), "text")  # as the operator reads it, the id being the row's own number
+    groups = neardup.near_duplicates(rows, NEAR_PERCENT).select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
     digest = F.sha2(F.to_json(F.struct(*docs.columns)), 256)
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), digest.alias("digest"), F.col("_key").alias("key"))
-    first = keyed.select("_key", rank.alias("_rank")).join(groups, "_key").groupBy("_group").agg(F.min("_rank")["key"].alias("_key"))
-    return keyed.join(first, "_key", "left_semi").select(*docs.columns)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), digest.alias("digest"), F.col(key).alias("key"))
+    first = keyed.select(F.col(key).alias("key"), rank.alias("rank")).join(groups, "key").groupBy("group").agg(F.min("rank")["key"].alias(key))
+    return keyed.join(first, key, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a benchmark item; each is judged by its own text, whatever its id."""
-    keyed = _keyed(docs)
-    leaks = decontam.contaminated(_by_key(keyed), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(leaks, "_key", "left_anti").select(*docs.columns)
+    keyed, key = _keyed(docs)
+    rows = keyed.select(F.col(key).alias("doc_id"), "text")
+    leaks = decontam.contaminated(rows, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(leaks, key, "left_anti").select(*docs.columns)
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with every secret masked; ``n_chars`` follows the text."""
-    masked = secrets.scan(docs, out="_spans").withColumn("text", secrets.redact(F.col("text"), F.col("_spans")))
+    """Texts with every secret masked; ``n_chars`` follows the text. Null texts stay null; rows are masked one by one."""
+    out = _free(docs, "spans")
+    masked = secrets.scan(docs, out=out).withColumn("text", secrets.redact(F.col("text"), F.col(out)))
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        masked = masked.withColumn("n_chars", F.when(F.size(out) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return masked.select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256) of every document: what training reads, and proof that it decodes."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of every row: what training reads, and proof that it decodes. A null text
+    encodes as an empty one; other columns are not returned.
+    """
     out = bpe.round_trip(docs)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
