@@ -93,34 +93,115 @@ def same(a, b, cols):
     assert pick(a) == pick(b)
 
 
-def test_slices_do_not_change_windows(spark):
-    df, cut = track(spark), [7.0, 20.0, 21.0]
-    same(trajectory.fuse_positions(df), trajectory.fuse_positions(df, bounds=cut), ["event_id", "fused_x", "fused_y", "fused_confidence"])
-    steps = df.withColumns({"is_fix": F.col("kind") == "b_fix", "is_step": F.col("kind") == "a_pose"})
-    same(trajectory.steps_since_fix(steps).fillna(-1.0), trajectory.steps_since_fix(steps, bounds=cut).fillna(-1.0), ["event_id", "steps_since_fix", "drift_m"])
-    same(trajectory.device_sessions(df, 5.0), trajectory.device_sessions(df, 5.0, bounds=cut), ["device_id", "session_no", "start_t", "end_t"])
-
-
-def test_slices_do_not_change_folds(spark):
-    df, cut = track(spark), [7.0, 20.0]
-    run = lambda b: ordered.fold_ordered(df, ["device_id"], ["t", "kind", "event_id"], M.smooth_fix, M.SMOOTH_SCHEMA, "t", b)
-    same(run([]), run(cut), ["event_id", "x", "y", "confidence", "doubt"])
+def hot(spark, n=900):
+    """One device owns half of the rows; times tie, and one device has no id."""
+    rng = random.Random(5)
+    rows = []
+    for e in range(n):
+        fix = rng.random() < 0.1
+        rows.append((1 if e % 2 else rng.choice([2, 3, 4, None]), e, float(rng.randrange(200)), "b_fix" if fix else "a_pose", rng.random() < .7,
+                     rng.uniform(0, 9), rng.uniform(0, 9), rng.uniform(0, 360), rng.choice(["G", "B1"]), rng.random()))
+    return spark.createDataFrame(rows, "device_id long, event_id long, t double, kind string, matched boolean, x double, y double, heading double, floor string, confidence double")
+
+
+def plain_rows(df, by):
+    return sorted((r.asDict() for r in df.collect()), key=lambda r: tuple((v is not None, v) for v in map(r.get, by)))
+
+
+@pytest.mark.parametrize("parts", [None, 1, 13])
+def test_scan_equals_plain_loops(spark, parts):
+    df, order = hot(spark), ["t", "kind", "event_id"]
+    fix = (F.col("kind") == "b_fix") & F.col("matched")
+    got = ordered.scan(df, ["device_id"], order, {"s": F.when(F.col("kind") == "a_pose", F.col("event_id")).otherwise(F.lit(0))},
+                       {"at": (F.when(F.col("floor") == "G", F.col("x")), fix)}, {"to": (F.col("y"), fix)}, ["event_id", "floor"], parts)
+    got = {r["event_id"]: r.asDict() for r in got.collect()}
+    rows, seen = plain_rows(df, ["device_id", *order]), 0
+    for d in {r["device_id"] for r in rows}:
+        mine, total, at, before = [r for r in rows if r["device_id"] == d], 0, None, {}
+        is_fix = [r["kind"] == "b_fix" and r["matched"] for r in mine]
+        for i, r in enumerate(mine):
+            total += r["event_id"] if r["kind"] == "a_pose" else 0
+            at = (r["x"] if r["floor"] == "G" else None) if is_fix[i] else at
+            to = next((q["y"] for q, f in zip(mine[i:], is_fix[i:]) if f), None)
+            g = got[r["event_id"]]
+            assert (g["s"], g["at"], g["to"], g["prev_event_id"], g["prev_floor"]) == (total, at, to, before.get("event_id"), before.get("floor"))
+            before, seen = r, seen + 1
+    assert seen == len(got) == 900 and "_part" not in got[0]
+
+
+def test_partitions_do_not_change_operators(spark):
+    df = hot(spark).where("device_id IS NOT NULL")
+    steps = df.withColumns({"is_fix": F.col("kind") == "b_fix", "is_step": F.col("kind") == "a_pose", "step_m": F.lit(0.7)})
+    frames = df.where("event_id % 3 = 0").select(F.col("device_id").alias("session_id"), F.col("event_id").alias("frame_id"), F.col("t").alias("frame_t"), "x")
+    tags = df.select(F.col("device_id").alias("session_id"), F.col("event_id").alias("tag_id"), (F.col("t") + 0.5 * (F.col("event_id") % 2)).alias("tag_t"))
+    for run, cols in (
+        (lambda p: trajectory.fuse_positions(df, parts=p), ["event_id", "fused_x", "fused_y", "fused_confidence", "fused_floor"]),
+        (lambda p: trajectory.steps_since_fix(steps, parts=p).fillna(-1.0), ["event_id", "steps_since_fix", "drift_m"]),
+        (lambda p: trajectory.infer_walking_offset(steps, parts=p).fillna(-1.0), ["event_id", "steps", "path_m", "fix_m", "offset_deg"]),
+        (lambda p: trajectory.device_sessions(df, 3.0, parts=p), ["device_id", "session_no", "start_t", "end_t", "events"]),
+        (lambda p: L.nearest_in_time(tags, frames, parts=p), ["session_id", "tag_id", "dt", "frame_id", "x"]),
+    ):
+        same(run(1), run(11), cols)
+
+
+def test_nearest_in_time_against_all_frames(spark):
+    df = hot(spark, 300)
+    frames = df.where("event_id % 5 = 0").select("device_id", F.col("event_id").alias("frame_id"), F.col("t").alias("frame_t"))
+    tags = df.where("event_id % 5 = 1").select("device_id", F.col("event_id").alias("tag_id"), (F.col("t") + 0.5 * (F.col("event_id") % 2)).alias("tag_t"))
+    fs = [tuple(r) for r in frames.collect()]
+    want = sorted((i, min(((abs(ft - t), f) for k, f, ft in fs if k == d), default=(None, None))) for d, i, t in tags.collect())
+    got = sorted((r.tag_id, (r.dt, r.frame_id)) for r in L.nearest_in_time(tags, frames, ["device_id"], 7).collect())
+    assert got == want
+    over_all = L.nearest_in_time(tags.drop("device_id"), frames.drop("device_id"), [], 5).collect()
+    assert all((r.dt, r.frame_id) == min((abs(ft - r.tag_t), f) for _, f, ft in fs) for r in over_all) and len(over_all) == 60
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_folds_over_partitions(spark, parts):
+    def step(state, row):  # remembers a little, and forgets it at every fix
+        if row["kind"] == "b_fix" and row["matched"]:
+            state.clear()
+        state["n"] = state.get("n", 0) + 1
+        state["last"] = row["x"]
+        return [{"event_id": row["event_id"], "n": state["n"], "device_id": row["device_id"]}] * (row["event_id"] % 3)
+    df, order = hot(spark), ["t", "kind", "event_id"]
+    got = sorted((r.event_id, r.n, str(r.device_id)) for r in ordered.fold_ordered(df, ["device_id"], order, step, "event_id long, n long, device_id long", parts=parts).collect())
+    want, states = [], {}
+    for r in plain_rows(df, ["device_id", *order]):
+        want += [(o["event_id"], o["n"], str(o["device_id"])) for o in step(states.setdefault(r["device_id"], {}), r)]
+    assert got == sorted(want) and len(got) > 500
+
+
+def test_folds_and_long_memories(spark):
+    df = track(spark)
+    run = lambda p: ordered.fold_ordered(df, ["device_id"], ["t", "kind", "event_id"], M.smooth_fix, M.SMOOTH_SCHEMA, parts=p)
+    same(run(1), run(7), ["event_id", "x", "y", "confidence", "doubt"])
     route = F.expr("array(struct(0e0 AS x, 0e0 AS y), struct(10e0 AS x, 0e0 AS y), struct(10e0 AS x, 20e0 AS y))")
     d = df.withColumns({"route": route, "t": F.col("t") * 500})
-    run = lambda b: ordered.fold_ordered(d, ["device_id"], ["t", "event_id"], drift.detect_drift, drift.DRIFT_SCHEMA, "t", b)
-    cols = ["event_id", "state", "reroute"]
-    assert sorted(map(tuple, run([]).select(*cols).collect())) == sorted(map(tuple, run([3000.0, 9000.0]).select(*cols).collect()))
+    run = lambda p: ordered.fold_ordered(d, ["device_id"], ["t", "event_id"], drift.detect_drift, drift.DRIFT_SCHEMA, parts=p)
+    same(run(1), run(7), ["event_id", "state", "reroute"])
 
 
-def test_slice_bounds_and_numbering(spark):
-    df = track(spark)
-    bounds = ordered.slice_bounds(df, "t", 30)
-    sizes = [r["count"] for r in ordered.with_slice(df, "t", bounds).groupBy("_slice").count().collect()]
-    assert len(sizes) >= 4 and max(sizes) <= 40
-    a = ordered.numbered(df, ["device_id"], [F.col("t")], "n")
-    b = ordered.numbered(df, ["device_id"], [F.col("t")], "n", rows_per_slice=17)
+def test_numbers_over_partitions(spark):
+    df = hot(spark)
+    a, b = (ordered.numbered(df, ["device_id"], [F.col("t"), F.col("event_id")], "n", parts=p) for p in (1, 17))
     same(a, b, ["event_id", "n"])
-    assert [r["n"] for r in ordered.numbered(df, [], [F.col("device_id"), F.col("t")], "n", 17).orderBy("device_id", "t").collect()] == list(range(1, 121))
+    every = ordered.numbered(df, [], [F.col("t").desc(), F.col("event_id")], "n", parts=9)
+    assert [r["n"] for r in every.orderBy(F.desc("t"), "event_id").collect()] == list(range(1, 901))
+
+
+@pytest.mark.parametrize("start", [None, 9.81])
+def test_averages_as_composed_maps(spark, start):
+    df = hot(spark, 1400)
+    got = ordered.ewma(df, ["device_id"], ["t", "event_id"], {"g": F.col("x"), "h": F.col("y")}, 0.92, None if start is None else {"g": F.lit(start), "h": F.lit(0.0)}, parts=5)
+    got = {r.event_id: (r.g, r.h) for r in got.collect()}
+    g = {}
+    for r in plain_rows(df, ["device_id", "t", "event_id"]):
+        before = g.get(r["device_id"], None if start is None else (start, 0.0))
+        now = (r["x"], r["y"]) if before is None else (0.92 * before[0] + 0.08 * r["x"], 0.92 * before[1] + 0.08 * r["y"])
+        g[r["device_id"]] = now
+        assert got[r["event_id"]] == pytest.approx(now, rel=1e-12)
+    assert len(got) == 1400
 
 
 # ------------------------------------------------------------------ geometry

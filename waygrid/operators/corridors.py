@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.geometry import band_place, segment_key
 from ..functions.vectors import bind
 from ..session import cut
-from .ordered import auto_bounds, fold_ordered
+from .ordered import fold_ordered
 from .spatial import across, nearest_piece, nine_places, piece_distance, prepare_pieces, project_on
 
 # Cost of leaving the current corridor, of facing across one, and weights.
@@ -121,19 +121,18 @@ STICKY_SCHEMA = ("device_id long, event_id long, floor string, x double, y doubl
 
 def sticky_corridor(
     fixes: DataFrame, pieces: DataFrame, keys: Sequence[str] = ("floor",), order: str = "seg_ord",
-    time: str = "t", bounds: Sequence[float] | None = None, cell_m: float = 8.0,
+    time: str = "t", parts: int | None = None, cell_m: float = 8.0,
 ) -> DataFrame:
     """Corridor matching with memory per device; the memory ends on a floor change.
 
     The cheapest corridor without memory is found first (a join). The switch penalty can
     only favour the held corridor over it, so the fold compares just those two.
     """
-    bounds = auto_bounds(fixes, time, bounds)
     matched = match_corridor(fixes, pieces, keys, order, cell_m=cell_m)
     flat = matched.select(
         "device_id", "event_id", time, "floor", "x", "y", "heading", F.col("piece.cost").alias("s_cost"),
         *[F.col(f"piece.seg.{f}").alias(f"s_{f}") for f in SEG_FIELDS])
-    kept = fold_ordered(flat, ["device_id"], [time, "event_id"], hold_corridor, STICKY_SCHEMA, time, bounds)
+    kept = fold_ordered(flat, ["device_id"], [time, "event_id"], hold_corridor, STICKY_SCHEMA, parts=parts)
     has = F.col("k_ord").isNotNull()
     place = band_place("x", "y", "k_x1", "k_y1", "k_x2", "k_y2", F.col("k_left"), F.col("k_right"))
     kept = kept.withColumn("_p", F.when(has, place))

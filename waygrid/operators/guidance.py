@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import bearing, clamp, num, signed_heading_delta, turn_label
 from ..functions.vectors import bind
-from .ordered import running
+from .ordered import scan
 from .routing import drop_near, path_length
 
 # Joining the walkway, lanes, turns, arrival, lifts and facing.
@@ -295,15 +295,15 @@ def facing_relative(points, x, y, heading) -> Column:
     return bind(route_progress(points, x, y), rel)
 
 
-def facing_override(df: DataFrame, rel: str, keys, order, bounds=None) -> DataFrame:
+def facing_override(df: DataFrame, rel: str, keys, order, parts=None) -> DataFrame:
     """``facing``: Turn around from 120 degrees until under 100, Turn left/right from 60.
 
     Between the two limits the last clear reading decides, which a "last value" gives
-    without a row-by-row walk. ``order`` starts with a numeric time.
+    without a row-by-row walk.
     """
     a = F.abs(F.col(rel))
     said = F.when(a >= FACE_UTURN_DEG, F.lit(True)).when(a < FACE_UTURN_CLEAR_DEG, F.lit(False))
-    out = running(df, keys, order, order[0], None, {"_u": (said, said.isNotNull())}, bounds)
+    out = scan(df, keys, order, lasts={"_u": (said, said.isNotNull())}, parts=parts)
     turned = F.coalesce("_u", F.lit(False))
     return out.withColumn("facing", F.when(F.col(rel).isNull(), F.lit(None)).when(turned, "Turn around").when(
         (a >= FACE_TURN_DEG) & (F.col(rel) > 0), "Turn right").when(a >= FACE_TURN_DEG, "Turn left")).drop("_u")

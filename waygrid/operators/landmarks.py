@@ -13,7 +13,7 @@ from ..functions.capture import (
     MARKER_CAM_HEIGHT_M, MARKER_MAX_DIST_M, MARKER_MAX_PITCH_DEG, MARKER_MAX_VIEW_DEG, MARKER_MIN_SIDE_PX, MARKER_MIRROR_DEG,
     marker_confidence, marker_max_reproj, marker_needed_ratio)
 from ..session import cut
-from .ordered import auto_bounds, fold_ordered, neighbours, numbered, running
+from .ordered import fold_ordered, numbered, scan
 
 # Map limits.
 MIN_LANDMARKS = 80
@@ -109,22 +109,20 @@ def cloud_layers(landmarks: DataFrame, max_per_floor: int, **slicing) -> DataFra
 
 
 # ------------------------------------------------------------------ nearest in time
-def nearest_in_time(tags: DataFrame, frames: DataFrame, keys: Sequence[str] = ("session_id",), bounds: Sequence[float] | None = None) -> DataFrame:
+def nearest_in_time(tags: DataFrame, frames: DataFrame, keys: Sequence[str] = ("session_id",), parts: int | None = None) -> DataFrame:
     """As-of nearest: each tag with the keyframe closest in time; the lower frame id wins ties.
 
     ``tags``: keys, tag_id, tag_t. ``frames``: keys, frame_id, frame_t and payload columns.
-    Tags and frames are read in time order once forwards and once backwards, remembering the
-    last frame, so no tag meets more than two frames. ``bounds`` cut hot keys into slices.
+    Tags and frames are put in time order together; each tag sees the frame before and the frame after it, so none meets
+    more than two frames.
     """
     keys = list(keys)
-    bounds = auto_bounds(frames, "frame_t", bounds)
     payload = [c for c in frames.columns if c not in keys]
     one = tags.select(*keys, F.struct(*tags.columns).alias("_tag"), F.col("tag_t").alias("_t"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_id"))
-    two = frames.select(*keys, F.struct(*payload).alias("_f"), F.col("frame_t").alias("_t"), F.lit(0).alias("_kind"), (-F.col("frame_id")).cast("long").alias("_id"))
-    both = one.unionByName(two, allowMissingColumns=True).withColumn("_back", -F.col("_t"))
-    is_frame = F.col("_kind") == 0
-    both = running(both, keys, ["_t", "_kind", "_id"], "_t", None, {"_before": (F.col("_f"), is_frame)}, bounds)
-    both = running(both, keys, ["_back", "_kind", "_id"], "_back", None, {"_after": (F.col("_f"), is_frame)}, sorted(-b for b in bounds))
+    first = frames.groupBy(*keys, "frame_t").agg(F.min_by(F.struct(*payload), "frame_id").alias("_f"))  # of one time the lowest id
+    two = first.select(*keys, "_f", F.col("frame_t").alias("_t"), F.lit(0).alias("_kind"), F.col("_f.frame_id").cast("long").alias("_id"))
+    frame = F.col("_f"), F.col("_kind") == 0
+    both = scan(one.unionByName(two, allowMissingColumns=True), keys, ["_t", "_kind", "_id"], lasts={"_before": frame}, nexts={"_after": frame}, parts=parts)
     gap = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.abs(F.col(f)["frame_t"] - F.col("_t")).alias("dt"), F.col(f)["frame_id"].alias("id"), F.col(f).alias("f")))
     out = both.where("_kind = 1").withColumn("_best", F.least(gap("_before"), gap("_after")))
     return out.select(*[F.col(f"_tag.{c}").alias(c) for c in tags.columns], F.col("_best.dt").alias("dt"), *[F.col(f"_best.f.{c}").alias(c) for c in payload])
@@ -135,8 +133,7 @@ def reattach_orphan_tags(tags: DataFrame, frames: DataFrame, aligned: DataFrame,
     with_frames = frames.select("session_id").distinct()
     open_frames = frames.join(aligned.select("session_id"), "session_id", "left_anti").where(F.col("session_id") != COMMITTED_SESSION)
     orphans = tags.join(with_frames, "session_id", "left_anti").join(aligned.select("session_id"), "session_id", "left_anti")
-    near = nearest_in_time(orphans.select("tag_id", "tag_t").withColumn("_all", F.lit(0)),
-                           open_frames.select(F.lit(0).alias("_all"), "frame_id", "frame_t", F.col("session_id").alias("new_session")), ["_all"])
+    near = nearest_in_time(orphans.select("tag_id", "tag_t"), open_frames.select("frame_id", "frame_t", F.col("session_id").alias("new_session")), [])
     moves = near.where(F.col("dt") <= max_gap_s).select("tag_id", "new_session")
     return tags.join(moves, "tag_id", "left").withColumn("session_id", F.coalesce("new_session", "session_id")).drop("new_session")
 
@@ -250,12 +247,12 @@ def landmark_filter(points: DataFrame, body_frame: bool = False) -> DataFrame:
     return points.where(ok)
 
 
-def keyframe_motion(frames: DataFrame, bounds: Sequence[float] | None = None) -> DataFrame:
+def keyframe_motion(frames: DataFrame, parts: int | None = None) -> DataFrame:
     """Metric step between consecutive keyframes of a session and where it came from.
 
     ``frames``: session_id, frame_id, t, x, y, z, median_flow.
     """
-    f = neighbours(frames, ["session_id"], ["t", "frame_id"], "t", ["x", "y", "z", "t"], bounds)
+    f = scan(frames, ["session_id"], ["t", "frame_id"], prevs=["x", "y", "z", "t"], parts=parts)
     d = lambda c: F.col(c) - F.col(f"prev_{c}")
     f = f.withColumns({"odo": F.sqrt(d("x") ** 2 + d("y") ** 2 + d("z") ** 2), "dt": F.abs(d("t"))}).where("odo is not null")
     visual = (F.col("median_flow") >= FLOW_MIN_PX) & (F.col("dt") >= FLOW_MIN_S)

@@ -1,135 +1,142 @@
-"""Ordered work per device that holds up when one device owns much of the data.
+"""Ordered work per key as segmented prefixes, so that one key may own most of the rows.
 
-A plain ``partitionBy(device)`` window puts a whole device into one task. Here time
-is first cut into slices at data quantiles, so a (device, slice) group never exceeds
-one slice of the whole table. Totals per slice carry values across slice borders.
-With little data there is one slice and the plan is the plain window.
+A plain ``partitionBy(device)`` window puts a whole device into one task. Here rows are dealt into range partitions by
+key and order. Each partition reduces the rows of a key to one element (a sum, the last or first value), the elements of
+a key are scanned, one row per partition it touches, and partitions add what they are carried. No group that meets in
+one task is larger than a range partition, whatever the keys are, and the steps are the same at every size.
 """
 
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..session import cut
+from ..session import written
 
-ROWS_PER_SLICE = 4_000_000
+PART = "_part"  # number of the range partition; ascends with key and order
 
 
-def slice_bounds(df: DataFrame, ts: str, rows_per_slice: int = ROWS_PER_SLICE) -> list[float]:
-    """Quantiles of ``ts`` (a number) that cut the table into slices of bounded size."""
-    n = df.count()
-    parts = math.ceil(n / rows_per_slice)
-    if parts <= 1:
-        return []
-    marks = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(F.col(ts).cast("double"), marks, 10_000).alias("q")).first()["q"]
-    return sorted(set(found or []))
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence, parts: int | None = None) -> DataFrame:
+    """``df`` in range partitions by key and order, written out, with the partition's number in ``PART``.
 
-
-def auto_bounds(df: DataFrame, ts: str, bounds: Sequence[float] | None) -> Sequence[float]:
-    """Given bounds, or those the size of the table calls for."""
-    return slice_bounds(df, ts) if bounds is None else bounds
-
-
-def with_slice(df: DataFrame, ts: str, bounds: Sequence[float], name: str = "_slice") -> DataFrame:
-    if not bounds:
-        return df.withColumn(name, F.lit(0))
-    marks = F.array(*[F.lit(float(b)) for b in bounds])
-    # rows equal to a bound stay together in the lower slice
-    return df.withColumn(name, F.size(F.filter(marks, lambda b: F.col(ts).cast("double") > b)))
-
-
-def running(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str,
-    sums: dict[str, Column] | None = None, lasts: dict[str, tuple[Column, Column]] | None = None,
-    bounds: Sequence[float] | None = None,
+    Written, because the borders come from a sample: both readings of the rows must see the same ones. Rows that tie in
+    ``order`` stay together. A frame that has been placed may go through several of the functions below with the same keys
+    and order, also after rows were left out. ``parts`` is for tests; Spark sizes partitions by itself.
+    """
+    if PART in df.columns:
+        return df
+    by = [F.col(c) if isinstance(c, str) else c for c in (*keys, *order)]
+    ranged = (df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)) if by else df.coalesce(1)
+    return written(ranged.withColumn(PART, F.spark_partition_id()), "placed")
+
+
+def _with(rows: DataFrame, small: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Join a row per (key, partition) to the rows; null keys are keys like others."""
+    renamed = small.select(*[F.col(k).alias(f"_on_{k}") for k in (*keys, PART)], *names)
+    on = F.lit(True)
+    for k in (*keys, PART):
+        on = on & rows[k].eqNullSafe(renamed[f"_on_{k}"])
+    return rows.join(renamed, on).drop(*[f"_on_{k}" for k in (*keys, PART)])
+
+
+def scan(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column] | None = None,
+    lasts: dict[str, tuple[Column, Column]] | None = None, nexts: dict[str, tuple[Column, Column]] | None = None,
+    prevs: Sequence[str] = (), parts: int | None = None,
 ) -> DataFrame:
-    """Add running sums and "last value where" columns per key, current row included.
+    """Add columns per key in order.
 
-    ``sums``: name -> number expression. ``lasts``: name -> (value, condition).
+    ``sums``: name -> number, running total with the current row. ``lasts``: name -> (value, condition), the value at the
+    last row, current one included, where the condition holds. ``nexts``: the same, looking ahead. ``prevs``: columns c of
+    the previous row, as ``prev_c``.
     """
-    sums, lasts, bounds = sums or {}, lasts or {}, auto_bounds(df, ts, bounds)
-    src = with_slice(df, ts, bounds)
-    for name, e in sums.items():
-        src = src.withColumn(f"_in_{name}", e)
-    for name, (value, cond) in lasts.items():
-        # wrapped so a NULL value at a matching row still counts as the last one
-        src = src.withColumn(f"_in_{name}", F.when(cond, F.struct(value.alias("v"))))
-    w = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = src
-    for name in sums:
-        out = out.withColumn(name, F.coalesce(F.sum(f"_in_{name}").over(w), F.lit(0)))
-    for name in lasts:
-        out = out.withColumn(name, F.last(f"_in_{name}", ignorenulls=True).over(w))
-    if bounds:
-        place = F.struct(*[F.col(c) for c in order])
-        totals = src.groupBy(*keys, "_slice").agg(
-            *[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in sums],
-            *[F.max_by(F.col(f"_in_{n}"), F.when(F.col(f"_in_{n}").isNotNull(), place)).alias(f"_t_{n}")
-              for n in lasts],
-        )
-        before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-        carried = totals.select(
-            *keys, "_slice",
-            *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
-            *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
-        )
-        out = out.join(carried, [*keys, "_slice"])
-        for name in sums:
-            out = out.withColumn(name, F.col(name) + F.col(f"_c_{name}"))
-        for name in lasts:
-            out = out.withColumn(name, F.coalesce(F.col(name), F.col(f"_c_{name}")))
-    for name in lasts:
-        out = out.withColumn(name, F.col(name)["v"])
-    extra = [c for c in out.columns if c.startswith(("_in_", "_c_"))] + ["_slice"]
-    return out.drop(*extra)
-
-
-def neighbours(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, columns: Sequence[str],
-    bounds: Sequence[float] | None = None, prefix: str = "prev_",
-) -> DataFrame:
-    """``lag(1)`` of several columns per key, across slice borders too."""
-    bounds = auto_bounds(df, ts, bounds)
-    src = with_slice(df, ts, bounds).withColumn("_row", F.struct(*[F.col(c) for c in columns]))
-    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    out = src.withColumn("_prev", F.lag("_row").over(w))
-    if bounds:
-        place = F.struct(*[F.col(c) for c in order])
-        tails = src.groupBy(*keys, "_slice").agg(F.max_by("_row", place).alias("_tail"))
-        before = Window.partitionBy(*keys).orderBy("_slice")
-        tails = tails.select(*keys, "_slice", F.lag("_tail").over(before).alias("_carry"))
-        out = out.join(tails, [*keys, "_slice"]).withColumn("_prev", F.coalesce("_prev", "_carry")).drop("_carry")
-    for c in columns:
-        out = out.withColumn(prefix + c, F.col("_prev")[c])
-    return out.drop("_row", "_prev", "_slice")
-
-
-def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence, name: str, rows_per_slice: int = ROWS_PER_SLICE,
+    sums, lasts, nexts, given = sums or {}, dict(lasts or {}), nexts or {}, PART in df.columns
+    if prevs:
+        lasts["_prev"] = F.struct(*prevs), F.lit(True)
+    src = placed(df, keys, order, parts)
+    place = F.struct(*[F.col(c) for c in order])
+    # wrapped, so that a null at a matching row is still the last value
+    wrap = {n: F.when(cond, F.struct(v.alias("v"))) for n, (v, cond) in {**lasts, **nexts}.items()}
+    src = src.withColumns({**{f"_in_{n}": e for n, e in sums.items()}, **{f"_in_{n}": e for n, e in wrap.items()}})
+    w = Window.partitionBy(*keys, PART).orderBy(*order)
+    upto, onward = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    local = {n: F.coalesce(F.sum(f"_in_{n}").over(upto), F.lit(0)) for n in sums}
+    local |= {n: F.last(f"_in_{n}", True).over(earlier if n == "_prev" else upto) for n in lasts}
+    local |= {n: F.first(f"_in_{n}", True).over(onward) for n in nexts}
+    held = lambda n, pick: pick(F.col(f"_in_{n}"), F.when(F.col(f"_in_{n}").isNotNull(), place)).alias(f"_t_{n}")
+    totals = src.groupBy(*keys, PART).agg(*[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in sums],
+                                          *[held(n, F.max_by) for n in lasts], *[held(n, F.min_by) for n in nexts])
+    across = Window.partitionBy(*keys).orderBy(PART)
+    before, after = across.rowsBetween(Window.unboundedPreceding, -1), across.rowsBetween(1, Window.unboundedFollowing)
+    carried = totals.select(
+        *keys, PART, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
+        *[F.last(f"_t_{n}", True).over(before).alias(f"_c_{n}") for n in lasts], *[F.first(f"_t_{n}", True).over(after).alias(f"_c_{n}") for n in nexts])
+    names = [f"_c_{n}" for n in (*sums, *lasts, *nexts)]
+    out = _with(src.withColumns({f"_l_{n}": e for n, e in local.items()}), carried, keys, names)
+    out = out.withColumns({**{n: F.col(f"_l_{n}") + F.col(f"_c_{n}") for n in sums},
+                           **{n: F.coalesce(f"_l_{n}", f"_c_{n}")["v"] for n in (*lasts, *nexts)}})
+    out = out.drop(*[f"_{x}_{n}" for n in (*sums, *lasts, *nexts) for x in ("in", "l", "c")])
+    if prevs:
+        out = out.withColumns({f"prev_{c}": F.col("_prev")[c] for c in prevs}).drop("_prev")
+    return out if given else out.drop(PART)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence, name: str, parts: int | None = None) -> DataFrame:
+    """``row_number`` per key, or overall without keys: partitions number their rows behind those of earlier ones."""
+    given = PART in df.columns
+    src = placed(df, keys, order, parts)
+    held = src.groupBy(*keys, PART).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inner = Window.partitionBy(*keys, PART).orderBy(*order)
+    out = _with(src.withColumn(name, F.row_number().over(inner)), held, keys, ["_before"])
+    out = out.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_before")
+    return out if given else out.drop(PART)
+
+
+def ewma(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], keep: float,
+    start: dict[str, Column] | None = None, parts: int | None = None,
 ) -> DataFrame:
-    """``row_number`` per key (or overall without keys) that splits large groups.
+    """Exponential averages ``a = keep * a + (1 - keep) * value`` per key, in order, for every name -> value.
 
-    Past one slice of rows the table is range-partitioned by key and order and written
-    out, so every row has a fixed partition; numbers start after the rows of the key in
-    earlier partitions.
+    Before the first row the average is ``start`` (a constant), or, without one, the first value. The step is an affine map,
+    and maps compose: rows are dealt into blocks by their number, each block sums its values with falling weights, and what
+    it is carried fades by ``keep`` to the power of its length. Blocks are as long as it takes that to fall below the last
+    bit of a double, so the two blocks before decide, and no task holds more of a key than a block. Values must not be null.
     """
-    n = df.count()
-    if n <= rows_per_slice:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    parts = math.ceil(n / rows_per_slice)
-    placed = cut(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)).withColumn("_part", F.spark_partition_id())
-    held = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy(*keys, "_part").orderBy(*order)
-    out = placed.withColumn(name, F.row_number().over(inner)).join(held, [*keys, "_part"])
-    return out.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_before")
+    length = 1
+    while keep ** length > 2.0 ** -64:
+        length += 1
+    given = PART in df.columns
+    out = numbered(placed(df, keys, order, parts), keys, order, "_no", parts)
+    out = out.withColumns({"_block": F.floor((F.col("_no") - 1) / length), "_at": (F.col("_no") - 1) % length})
+    inner = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    rise = F.pow(F.lit(keep), -F.col("_at").cast("double"))
+    first = F.when(F.col("_no") == 1, F.lit(1.0)).otherwise(F.lit(1.0 - keep))  # without a start the first value counts whole
+    weigh = {n: v * (first if start is None else F.lit(1.0 - keep)) * rise for n, v in values.items()}
+    out = out.withColumns({f"_v_{n}": e for n, e in weigh.items()})
+    out = out.withColumns({f"_s_{n}": F.sum(f"_v_{n}").over(inner) for n in values})
+    end = F.pow(F.lit(keep), F.lit(length - 1.0))
+    ends = out.groupBy(*keys, "_block").agg(*[(F.sum(f"_v_{n}") * end).alias(f"_e_{n}") for n in values])
+    back = Window.partitionBy(*keys).orderBy("_block")
+    fade = keep ** length
+    from_start = lambda n: F.lit(0.0) if start is None else start[n]
+    carry = lambda n: F.when(F.col("_block") == 0, from_start(n)).otherwise(F.lag(f"_e_{n}").over(back) + fade * F.coalesce(F.lag(f"_e_{n}", 2).over(back), from_start(n)))
+    ends = ends.select(*keys, F.col("_block").alias("_b"), *[carry(n).alias(f"_c_{n}") for n in values])
+    renamed = ends.select(*[F.col(k).alias(f"_on_{k}") for k in keys], "_b", *[f"_c_{n}" for n in values])
+    on = F.col("_block") == F.col("_b")
+    for k in keys:
+        on = on & out[k].eqNullSafe(renamed[f"_on_{k}"])
+    out = out.join(renamed, on)
+    at = F.col("_at").cast("double")
+    out = out.withColumns({n: F.pow(F.lit(keep), at) * (F.col(f"_s_{n}") + keep * F.col(f"_c_{n}")) for n in values})
+    out = out.drop("_no", "_block", "_at", "_b", *[f"_on_{k}" for k in keys], *[f"_{x}_{n}" for n in values for x in ("v", "s", "c")])
+    return out if given else out.drop(PART)
 
 
 # ------------------------------------------------------------------ sequential folds
@@ -153,79 +160,80 @@ def _plain(v):
 
 def fold_ordered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, schema: str,
-    ts: str | None = None, bounds: Sequence[float] | None = None, start: Callable[[], dict] = dict,
+    start: Callable[[], dict] = dict, parts: int | None = None,
 ) -> DataFrame:
     """Run a small state machine over the rows of each key, in order.
 
-    ``step(state, row)`` changes ``state`` (JSON-friendly dict) and returns output rows.
-    Rows stream through a task in Arrow batches: only the state of one key is held.
-    Large tables are cut into slices of ``ts`` (by default the first order column) that run
-    one after another and hand the states on, so no task reads more than one slice of a
-    hot key.
+    ``step(state, row)`` changes ``state`` (JSON-friendly dict) and returns output rows. Rows stream through a task in Arrow
+    batches: only the state of one key is held. All range partitions run at once, each key from the start state. Then the
+    (key, partition) pairs that should have started from another state, because the key began in an earlier partition,
+    run again from the state that partition ended in, until no state changes. A key inside one partition runs once; one
+    over many partitions runs again where the machine has not forgotten its past, at worst one partition after another.
     """
-    ts = ts or list(order)[0]
-    bounds = auto_bounds(df, ts, bounds)
     out_type = T._parse_datatype_string(schema)
-    names = [f.name for f in out_type.fields]
-    keys, order = list(keys), list(order)
-
-    def runner(with_state: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            current, state, acc = None, None, []
-
-            def close():
-                if with_state and current is not None:
-                    acc.append({**dict(zip(keys, current)), "_state": json.dumps(state)})
-
-            for batch in batches:
-                cols = list(batch.columns)
-                for values in batch.itertuples(index=False, name=None):
-                    row = {c: _plain(v) for c, v in zip(cols, values)}
-                    key = tuple(row[k] for k in keys)
-                    if key != current:
-                        close()
-                        current, state = key, start()
-                    saved = row.pop("_state", None) if with_state else None
-                    if saved is not None:
-                        state = json.loads(saved)
-                        continue
-                    got = step(state, row)
-                    if got:
-                        acc.extend([got] if isinstance(got, dict) else got)
-                if len(acc) >= 20_000:
-                    yield pd.DataFrame(acc, columns=emitted, dtype=object)
-                    acc = []
-            close()
-            yield pd.DataFrame(acc, columns=emitted, dtype=object)
-
-        emitted = names + (["_state"] if with_state else [])
-        return run
-
-    if not bounds:
-        return (
-            df.repartition(*[F.col(k) for k in keys])
-            .sortWithinPartitions(*keys, *order)
-            .mapInPandas(runner(False), out_type)
-        )
-
-    missing = [k for k in keys if k not in names]
-    if missing:
-        raise ValueError(f"sliced folds need the keys in the output: {missing}")
-    wide = T.StructType(out_type.fields + [T.StructField("_state", T.StringType())])
-    sliced = with_slice(df, ts, bounds)
-    states, parts = None, []
-    for i in range(len(bounds) + 1):
-        rows = sliced.where(F.col("_slice") == i).drop("_slice").withColumn("_state", F.lit(None).cast("string"))
-        if states is not None:
-            rows = rows.unionByName(states, allowMissingColumns=True)
-        done = cut(
-            rows.repartition(*[F.col(k) for k in keys])
-            .sortWithinPartitions(*[F.col(k) for k in keys], F.col("_state").isNull(), *order)
-            .mapInPandas(runner(True), wide)
-        )
-        parts.append(done.where("_state is null").drop("_state"))
-        states = done.where("_state is not null").select(*keys, "_state")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    names, keys, order = [f.name for f in out_type.fields], list(keys), list(order)
+    src = placed(df, keys, order, parts)
+    at = T.StructType([T.StructField(f"_key_{k}", src.schema[k].dataType) for k in keys] + [
+        T.StructField(PART, T.IntegerType()), T.StructField("_exit", T.StringType())])
+    wide = T.StructType(at.fields + out_type.fields)
+    columns = [f.name for f in wide.fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, acc = None, None, []
+
+        def close():
+            if current is not None:
+                acc.append({**dict(zip(columns, current)), "_exit": json.dumps(state)})
+
+        for batch in batches:
+            cols = list(batch.columns)
+            for values in batch.itertuples(index=False, name=None):
+                row = {c: _plain(v) for c, v in zip(cols, values)}
+                here = (*[row[k] for k in keys], row.pop(PART))
+                entry = row.pop("_entry")
+                if here != current:
+                    close()
+                    current, state = here, start() if entry is None else json.loads(entry)
+                got = step(state, row)
+                for g in [got] if isinstance(got, dict) else got or ():
+                    acc.append({**dict(zip(columns, current)), **g})
+            if len(acc) >= 20_000:
+                yield pd.DataFrame(acc, columns=columns, dtype=object)
+                acc = []
+        close()
+        yield pd.DataFrame(acc, columns=columns, dtype=object)
+
+    def fold(rows: DataFrame) -> DataFrame:
+        return written(rows.repartition(*keys, PART).sortWithinPartitions(*keys, PART, *order).mapInPandas(run, wide), "folded")
+
+    ends = lambda done, n: done.where("_exit IS NOT NULL").select(*[F.col(f"_key_{k}").alias(k) for k in keys], PART, "_exit", F.lit(n).alias("_round"))
+    entry = F.lag("_exit").over(Window.partitionBy(*keys).orderBy(PART))
+    rounds = [fold(src.withColumn("_entry", F.lit(None).cast("string")))]
+    state = written(ends(rounds[0], 0).withColumn("_used", F.lit(None).cast("string")), "states")
+    while True:
+        due = state.withColumn("_entry", entry)
+        todo = due.where(~F.col("_entry").eqNullSafe(F.col("_used")))
+        if todo.isEmpty():
+            break
+        rounds.append(fold(_with(src, todo, keys, ["_entry"])))
+        new = ends(rounds[-1], len(rounds) - 1).withColumnsRenamed({"_exit": "_exit2", "_round": "_round2"})
+        renamed = new.select(*[F.col(k).alias(f"_on_{k}") for k in (*keys, PART)], "_exit2", "_round2")
+        on = F.lit(True)
+        for k in (*keys, PART):
+            on = on & due[k].eqNullSafe(renamed[f"_on_{k}"])
+        ran = F.col("_round2").isNotNull()
+        state = written(due.join(renamed, on, "left").select(
+            *keys, PART, F.when(ran, F.col("_exit2")).otherwise(F.col("_exit")).alias("_exit"), F.coalesce("_round2", "_round").alias("_round"),
+            F.when(ran, F.col("_entry")).otherwise(F.col("_used")).alias("_used")), "states")
+    if len(rounds) == 1:
+        return rounds[0].where("_exit IS NULL").select(*names)
+    out = None
+    for n, done in enumerate(rounds):
+        rows = done.where("_exit IS NULL").withColumnsRenamed({f"_key_{k}": f"_row_{k}" for k in keys})
+        last = state.where(F.col("_round") == n).select(*[F.col(k).alias(f"_on_{k}") for k in keys], F.col(PART).alias("_on_part"))
+        on = rows[PART] == last["_on_part"]
+        for k in keys:
+            on = on & rows[f"_row_{k}"].eqNullSafe(last[f"_on_{k}"])
+        mine = rows.join(last, on, "left_semi").select(*names)
+        out = mine if out is None else out.unionByName(mine)
     return out

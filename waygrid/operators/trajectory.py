@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.floors import normalize_floor
 from ..functions.geometry import signed_heading_delta
-from .ordered import auto_bounds, neighbours, running
+from .ordered import placed, scan
 
 # Confidence decay per pose and per step, seed confidence, live time.
 POSE_DECAY, POSE_FLOOR = 0.98, 0.1
@@ -30,18 +30,18 @@ def confidence_decay(at_fix: Column, k: Column, rate: float = POSE_DECAY, floor:
     return F.when(k == 0, at_fix).otherwise(aged)
 
 
-def fuse_positions(rows: DataFrame, t: str = "t", order: Sequence[str] = ("t", "kind", "event_id"), bounds: Sequence[float] | None = None) -> DataFrame:
+def fuse_positions(rows: DataFrame, t: str = "t", order: Sequence[str] = ("t", "kind", "event_id"), parts: int | None = None) -> DataFrame:
     """Fixes reset the position, odometry moves it and wears the confidence down.
 
     ``rows``: device_id, event_id, t, kind ('a_pose' sorts before 'b_fix' at one time),
     matched, x, y, heading, floor, confidence. A pose holds local coordinates; the offset
     to the building is frozen at the last fix. Before any fix poses are reported as they are.
     """
-    order, bounds = list(order), auto_bounds(rows, t, bounds)
+    order = list(order)
     pose = F.col("kind") == "a_pose"
     fix = (F.col("kind") == "b_fix") & F.col("matched")
     local = F.struct(F.col("x").alias("x"), F.col("y").alias("y"), F.pmod("heading", F.lit(360.0)).alias("h"))
-    r = running(rows, DEVICE, order, t, {"n_pose": F.when(pose, 1).otherwise(0)}, {"vio": (local, pose)}, bounds)
+    r = scan(placed(rows, DEVICE, order, parts), DEVICE, order, {"n_pose": F.when(pose, 1).otherwise(0)}, {"vio": (local, pose)})
     zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("h"))
     v = F.coalesce(F.col("vio"), zero)
     turn = F.pmod(F.col("heading") - v["h"] + 360.0, F.lit(360.0))
@@ -50,7 +50,7 @@ def fuse_positions(rows: DataFrame, t: str = "t", order: Sequence[str] = ("t", "
         turn.alias("turn"), (F.col("x") - (v["x"] * F.cos(a) - v["y"] * F.sin(a))).alias("ox"),
         (F.col("y") - (v["x"] * F.sin(a) + v["y"] * F.cos(a))).alias("oy"),
         F.col("confidence").alias("conf"), F.col("n_pose").alias("n"), normalize_floor("floor").alias("floor"))
-    r = running(r, DEVICE, order, t, None, {"lock": (lock, fix)}, bounds)
+    r = scan(r, DEVICE, order, lasts={"lock": (lock, fix)})
     k, rad = F.col("lock"), F.radians(F.col("lock.turn"))
     has = k.isNotNull()
     fx = k["ox"] + F.col("x") * F.cos(rad) - F.col("y") * F.sin(rad)
@@ -66,45 +66,43 @@ def fuse_positions(rows: DataFrame, t: str = "t", order: Sequence[str] = ("t", "
     return out.select("device_id", "event_id", t, "kind", "fused_floor", "fused_x", "fused_y", "fused_heading", "fused_confidence")
 
 
-def steps_since_fix(rows: DataFrame, t: str = "t", bounds: Sequence[float] | None = None) -> DataFrame:
+def steps_since_fix(rows: DataFrame, t: str = "t", parts: int | None = None) -> DataFrame:
     """Steps since the last fix, and at a fix the distance from the carried position.
 
     ``rows``: device_id, event_id, t, is_fix, is_step, x, y.
     """
-    order, bounds = [t, "event_id"], auto_bounds(rows, t, bounds)
-    n = F.when(F.col("is_step"), 1).otherwise(0)
-    r = running(rows, DEVICE, order, t, {"n_steps": n}, None, bounds)
-    r = running(r, DEVICE, order, t, None, {"at_fix": (F.col("n_steps"), F.col("is_fix"))}, bounds)
-    r = neighbours(r, DEVICE, order, t, ["x", "y"], bounds)
+    order = [t, "event_id"]
+    r = scan(placed(rows, DEVICE, order, parts), DEVICE, order, {"n_steps": F.when(F.col("is_step"), 1).otherwise(0)}, prevs=["x", "y"])
+    r = scan(r, DEVICE, order, lasts={"at_fix": (F.col("n_steps"), F.col("is_fix"))})
     drift = F.when(F.col("is_fix"), F.hypot(F.col("x") - F.col("prev_x"), F.col("y") - F.col("prev_y")))
     return r.select("device_id", "event_id", (F.col("n_steps") - F.coalesce("at_fix", F.lit(0))).alias("steps_since_fix"), drift.alias("drift_m"))
 
 
-def consecutive_floor_hits(rows: DataFrame, t: str = "t", need: int = 2, bounds: Sequence[float] | None = None) -> DataFrame:
+def consecutive_floor_hits(rows: DataFrame, t: str = "t", need: int = 2, parts: int | None = None) -> DataFrame:
     """Count of colour readings in a row that name the landing floor; ``seed`` at the ``need``-th.
 
     ``rows``: device_id, event_id, t, seen_floor, landing_floor. A reading of another floor,
     or none, starts again.
     """
     hit = F.coalesce(normalize_floor("seen_floor") == normalize_floor("landing_floor"), F.lit(False)) & F.col("seen_floor").isNotNull()
-    order, bounds = [t, "event_id"], auto_bounds(rows, t, bounds)
-    r = running(rows.withColumn("_hit", hit), DEVICE, order, t, {"n_hit": F.when(F.col("_hit"), 1).otherwise(0)}, None, bounds)
-    r = running(r, DEVICE, order, t, None, {"base": (F.col("n_hit"), ~F.col("_hit"))}, bounds)
+    order = [t, "event_id"]
+    r = scan(placed(rows.withColumn("_hit", hit), DEVICE, order, parts), DEVICE, order, {"n_hit": F.when(F.col("_hit"), 1).otherwise(0)})
+    r = scan(r, DEVICE, order, lasts={"base": (F.col("n_hit"), ~F.col("_hit"))})
     hits = F.col("n_hit") - F.coalesce("base", F.lit(0))
     return r.select("device_id", "event_id", hits.alias("hits"), (F.col("_hit") & (hits == need)).alias("seed"))
 
 
-def infer_walking_offset(rows: DataFrame, t: str = "t", bounds: Sequence[float] | None = None) -> DataFrame:
+def infer_walking_offset(rows: DataFrame, t: str = "t", parts: int | None = None) -> DataFrame:
     """Angle between sensed heading and walked direction, from consecutive fixes.
 
     ``rows``: device_id, event_id, t, is_fix, is_step, x, y, floor, confidence, heading,
     step_m. Gives one row per fix after a fix; the offset is NULL when it cannot be trusted.
     """
-    order, bounds = [t, "event_id"], auto_bounds(rows, t, bounds)
+    order = [t, "event_id"]
     step = lambda e: F.when(F.col("is_step"), e).otherwise(F.lit(0.0))
     sums = {"n": step(F.lit(1.0)), "path": step(F.col("step_m")), "ss": step(F.sin(F.radians("heading"))), "cs": step(F.cos(F.radians("heading")))}
-    r = running(rows, DEVICE, order, t, sums, None, bounds).where("is_fix")
-    r = neighbours(r, DEVICE, order, t, ["x", "y", "floor", "n", "path", "ss", "cs"], bounds)
+    r = scan(placed(rows, DEVICE, order, parts), DEVICE, order, sums).where("is_fix")
+    r = scan(r, DEVICE, order, prevs=["x", "y", "floor", "n", "path", "ss", "cs"])
     d = lambda c: F.col(c) - F.col(f"prev_{c}")
     r = r.where("prev_x is not null").withColumns({
         "steps": d("n"), "path_m": d("path"), "fix_m": F.hypot(d("x"), d("y")),
@@ -116,7 +114,7 @@ def infer_walking_offset(rows: DataFrame, t: str = "t", bounds: Sequence[float]
     return r.select("device_id", "event_id", t, F.col("steps").cast("long").alias("steps"), "path_m", "fix_m", offset.alias("offset_deg"))
 
 
-def route_change_log(routes: DataFrame, t: str = "t", bounds: Sequence[float] | None = None) -> DataFrame:
+def route_change_log(routes: DataFrame, t: str = "t", parts: int | None = None) -> DataFrame:
     """Only routes that differ from the device's previous one, at half-metre resolution.
 
     ``routes``: device_id, event_id, t, slot_id, waypoints ARRAY<STRUCT(x, y)>.
@@ -124,7 +122,7 @@ def route_change_log(routes: DataFrame, t: str = "t", bounds: Sequence[float] |
     half = lambda v: F.format_string("%.1f", F.bround(v * 2, 0) / 2 + F.lit(0.0))
     sig = F.concat_ws(";", F.col("slot_id").cast("string"), F.array_join(F.transform(
         "waypoints", lambda w: F.concat_ws(",", half(w["x"]), half(w["y"]))), ";"))
-    r = neighbours(routes.withColumn("signature", sig), DEVICE, [t, "event_id"], t, ["signature"], bounds)
+    r = scan(routes.withColumn("signature", sig), DEVICE, [t, "event_id"], prevs=["signature"], parts=parts)
     return r.where(F.col("prev_signature").isNull() | (F.col("prev_signature") != F.col("signature"))).drop("prev_signature")
 
 
@@ -154,12 +152,12 @@ def live_devices(events: DataFrame, as_of: float, ttl_s: float = LIVE_TTL_S) ->
                                 (F.lit(as_of) - F.col("last.t")).alias("age_s"))
 
 
-def device_sessions(events: DataFrame, gap_s: float = LIVE_TTL_S, t: str = "t", bounds: Sequence[float] | None = None) -> DataFrame:
+def device_sessions(events: DataFrame, gap_s: float = LIVE_TTL_S, t: str = "t", parts: int | None = None) -> DataFrame:
     """Runs of events per device without a pause longer than the gap."""
-    order, bounds = [t, "event_id"], auto_bounds(events, t, bounds)
-    r = neighbours(events, DEVICE, order, t, [t], bounds)
+    order = [t, "event_id"]
+    r = scan(placed(events, DEVICE, order, parts), DEVICE, order, prevs=[t])
     start = F.when(F.col(f"prev_{t}").isNull() | (F.col(t) - F.col(f"prev_{t}") >= gap_s), 1).otherwise(0)
-    r = running(r, DEVICE, order, t, {"session_no": start}, None, bounds)
+    r = scan(r, DEVICE, order, {"session_no": start})
     return r.groupBy("device_id", "session_no").agg(F.min(t).alias("start_t"), F.max(t).alias("end_t"), F.count("*").alias("events"))
 
 

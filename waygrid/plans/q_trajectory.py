@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..operators import diagnostics as D
 from ..operators import trajectory as T
 from ..operators.corridors import walk_axis_error
-from ..operators.ordered import fold_ordered, numbered
+from ..operators.ordered import fold_ordered, numbered, placed, scan
 from ..streaming import drift, machines as M
 from .catalog import query, rounded
 from .q_network import walk_pieces
@@ -50,10 +50,10 @@ def _(t):
 
 @query("confidence_decay", f"""WITH {FUSED} SELECT event_id, round(CASE WHEN n_pose - n = 0 THEN conf ELSE greatest(conf * power(985e-3, n_pose - n), 8e-2) END, 6) AS confidence FROM z WHERE n IS NOT NULL""")
 def _(t):
-    from ..operators.ordered import running
     order = ["t", "kind", "event_id"]
-    r = running(points(t), ["device_id"], order, "t", {"n": F.when(F.col("kind") == "a_pose", 1).otherwise(0)})
-    r = running(r, ["device_id"], order, "t", None, {"f": (F.struct("confidence", "n"), (F.col("kind") == "b_fix") & F.col("matched"))})
+    r = placed(points(t), ["device_id"], order)
+    r = scan(r, ["device_id"], order, {"n": F.when(F.col("kind") == "a_pose", 1).otherwise(0)})
+    r = scan(r, ["device_id"], order, lasts={"f": (F.struct("confidence", "n"), (F.col("kind") == "b_fix") & F.col("matched"))})
     r = r.where(((F.col("kind") == "a_pose") | F.col("matched")) & F.col("f").isNotNull())
     return rounded(r.select("event_id", T.confidence_decay(F.col("f.confidence"), F.col("n") - F.col("f.n"), T.STEP_DECAY, T.STEP_FLOOR).alias("confidence")))
 
