@@ -3,11 +3,12 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from waygrid.functions import capture, floors, geometry as G, registry, vectors as V
-from waygrid.operators import colour, corridors, guidance, landmarks as L, network as N, ordered, retrieval as R, routing, survey, trajectory
+from waygrid.operators import colour, corridors, guidance, landmarks as L, network as N, ordered, retrieval as R, routing, steps, survey, trajectory
 from waygrid.streaming import drift, machines as M
 
 
@@ -281,22 +282,43 @@ def ask(spark, net, start, dest):
     return routing.route_requests(req, *net)
 
 
-T_NET = [(1, "G", 0, 0.0, 0.0, 10.0, 0.0), (1, "G", 1, 10.0, 0.0, 20.0, 0.0), (1, "G", 2, 10.0, 0.0, 10.0, 10.0)]
+def bent_rows(seed, n=4):
+    """A street of ``n`` pieces whose ends miss each other by centimetres, with a side street at each joint, and their lengths."""
+    rng = random.Random(seed)
+    off = lambda: rng.uniform(-0.07, 0.07)
+    segs, xs = [], [0.0]
+    for i in range(n):
+        xs.append(xs[-1] + rng.uniform(4, 9))
+        segs.append((1, "G", 2 * i, xs[i] + off(), off(), xs[i + 1] + off(), off()))
+        segs.append((1, "G", 2 * i + 1, xs[i + 1] + off(), off(), xs[i + 1] + off(), 3.0 + i))
+    return segs, xs
 
 
-def test_route_distances(spark):
-    net = build(spark, T_NET)
-    assert ask(spark, net, ("G", 0.0, 0.0), ("G", 20.0, 0.0))[0].first()["total_distance"] == pytest.approx(20.0)
-    assert ask(spark, net, ("G", 0.0, 0.0), ("G", 10.0, 10.0))[0].first()["total_distance"] == pytest.approx(20.0)
-    straight = build(spark, [(1, "G", 0, -20.0, 0.0, 20.0, 0.0)])
-    assert ask(spark, straight, ("G", -4.408, 0.0), ("G", -1.809, 0.0))[0].first()["total_distance"] == pytest.approx(2.599)
+@pytest.mark.parametrize("seed", [3, 8])
+def test_routes_over_jittered_streets(spark, seed):
+    segs, xs = bent_rows(seed)
+    net = build(spark, segs)
+    asked = [((xs[i] + 0.3 * (xs[i + 1] - xs[i]), 0.4), j) for i in range(3) for j in range(i, 4)]
+    req = spark.createDataFrame([(k, 1, "G", *at, "G", xs[j + 1], 3.0 + j) for k, (at, j) in enumerate(asked)],
+                                "request_id long, site_id long, start_floor string, start_x double, start_y double, dest_floor string, dest_x double, dest_y double")
+    got = {r["request_id"]: r["network_m"] for r in routing.route_requests(req, *net)[0].collect()}
+    for k, ((x, _), j) in enumerate(asked):
+        assert got[k] == pytest.approx(xs[j + 1] - x + 3.0 + j, abs=0.5), (k, got)  # along the street, then up the side street
 
 
-def test_near_corners_join_and_gaps_do_not(spark):
-    joined = build(spark, [(1, "G", 0, 0.0, 0.0, 10.0, 0.0), (1, "G", 1, 10.11, 0.0, 20.0, 0.0)])
-    apart = build(spark, [(1, "G", 0, 0.0, 0.0, 10.0, 0.0), (1, "G", 1, 11.0, 0.0, 20.0, 0.0)])
-    assert ask(spark, joined, ("G", 0.0, 0.0), ("G", 20.0, 0.0))[0].first()["network_m"] == pytest.approx(20.0, abs=0.2)
-    assert ask(spark, apart, ("G", 0.0, 0.0), ("G", 20.0, 0.0))[0].first()["network_m"] is None
+def test_a_gap_too_wide_parts_the_network(spark):
+    segs, xs = bent_rows(5)
+    cut = [s for s in segs if s[2] != 2] + [(1, "G", 2, xs[1] + 0.75, 0.0, xs[2], 0.0)]
+    assert ask(spark, build(spark, segs), ("G", 0.0, 0.0), ("G", xs[3], 0.0))[0].first()["network_m"] == pytest.approx(xs[3], abs=0.5)
+    assert ask(spark, build(spark, cut), ("G", 0.0, 0.0), ("G", xs[3], 0.0))[0].first()["network_m"] is None
+
+
+def test_both_ends_on_one_piece(spark):
+    rng = random.Random(1)
+    for _ in range(2):
+        a, b = sorted(rng.uniform(-15, 15) for _ in "ab")
+        net = build(spark, [(1, "G", 0, -17.5, 2.0, 16.25, 2.0)])
+        assert ask(spark, net, ("G", b, 2.0), ("G", a, 2.0))[0].first()["total_distance"] == pytest.approx(b - a, abs=2e-3)  # places are kept to the millimetre
 
 
 def test_junctions_are_cut(spark):
@@ -401,14 +423,55 @@ def test_registry_names_and_isolation():
         reg.get("other")
 
 
-def test_gait_credits_a_steady_walk():
-    state, steps = {}, 0
-    for i in range(120):
-        az = 9.81 + 4 * math.sin(i * 0.05 * 2 * math.pi / 0.55)
-        got = M.gait_step(state, {"device_id": 1, "t": i * 50.0, "ax": 0.0, "ay": 0.0, "az": az, "rot": 5.0})
-        steps += len(got or [])
-    assert 7 <= steps <= 11
-    assert not any(M.gait_step(s := {}, {"device_id": 1, "t": i * 50.0, "ax": 0.0, "ay": 0.0, "az": 9.8, "rot": 5.0}) for i in range(40))
+def motion(rng, n, device=1, turns=0.004):
+    """Samples with swings of changing height and rhythm, pauses, and turns of the phone."""
+    rows, t = [], 0.0
+    for i in range(n):
+        t += rng.choice([10, 20, 50, 50, 50, 120]) if rng.random() < 0.97 else 1500
+        swing = math.sin(i * rng.choice([.3, .31, .5])) * rng.choice([1, 3, 6]) + rng.gauss(0, .8)
+        rows.append((device, device * 10_000 + i, t, rng.gauss(0, .3), rng.gauss(0, .3), 9.81 + swing, None if rng.random() < .1 else 200.0 if rng.random() < turns else 20.0))
+    return rows
+
+
+@pytest.mark.parametrize("name", ["pdr_steps", "gait_steps"])
+def test_step_detectors_against_a_walk_through_the_samples(spark, name):
+    from waygrid.plans import catalog, q_machines
+    rng = random.Random(6)
+    rows = motion(rng, 1500) + motion(rng, 300, 2) + motion(rng, 40, 3, 0.2) + [(4, 1, 0.0, 0.0, 0.0, 9.8, 0.0), (5, 1, 0.0, 0.0, 0.0, 0.0, 0.0), (5, 2, 50.0, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "device_id long, event_id long, t double, ax double, ay double, az double, rot double")
+    con = duckdb.connect()
+    con.register("given", df.toPandas())
+    con.execute("CREATE TABLE s AS SELECT * REPLACE (coalesce(rot, 0) AS rot) FROM given")
+    own = q_machines.SAMPLES[q_machines.SAMPLES.index("o AS"):]
+    want = con.execute(catalog.oracle_sql()[name].replace(q_machines.SAMPLES, own)).fetchall()
+    for parts in (None, 6):
+        got = getattr(steps, name)(df, parts).select("device_id", "t", "step_no", "stride_m").collect()
+        assert sorted((d, k, t, round(m, 6)) for d, t, k, m in got) == sorted((d, k, t, m) for d, t, k, m in want)
+    assert len(want) > 30 and getattr(steps, name)(df.limit(0)).count() == 0
+
+
+def test_strides_are_scaled_by_the_sample(spark):
+    df = spark.createDataFrame(motion(random.Random(2), 400), "device_id long, event_id long, t double, ax double, ay double, az double, rot double")
+    one_, two = (steps.pdr_steps(df.withColumn("scale", F.lit(k))).agg(F.sum("stride_m")).first()[0] for k in (1.0, 1.5))
+    assert two == pytest.approx(1.5 * one_)
+
+
+def test_orbit_follows_successors(spark):
+    rng, rows, want = random.Random(9), [], []
+    for d in (1, 2, None):
+        to = 0
+        nxt = {}
+        for no in range(1, 200):  # never falls, sometimes far ahead, sometimes level for long
+            to = max(to, no + 1, to + rng.choice([0, 0, 1, 6]))
+            nxt[no] = to if to < 200 else None
+        rows += [(d, no, t) for no, t in nxt.items()]
+        at = 1
+        while at:
+            want.append((str(d), at))
+            at = nxt[at]
+    df = spark.createDataFrame(rows, "device_id long, no long, nxt long")
+    got = sorted((str(r.device_id), r.no) for r in steps.orbit(df, ["device_id"], 5).collect())
+    assert got == sorted(want) and len(want) < 500
 
 
 def drift_kinds(points, route=((0, 0), (20, 0), (20, 20))):

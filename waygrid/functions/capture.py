@@ -164,13 +164,13 @@ def euler_heading(alpha, beta, gamma, absolute) -> Column:
     a, b, g = (F.radians(num(c)) for c in (alpha, beta, gamma))
     vx = -F.cos(a) * F.sin(g) - F.sin(a) * F.sin(b) * F.cos(g)
     vy = -F.sin(a) * F.sin(g) + F.cos(a) * F.sin(b) * F.cos(g)
-    full = F.pmod(F.degrees(F.atan2(vx, vy)), F.lit(360.0))
+    full = F.when(F.hypot(vx, vy) > 1e-9, F.pmod(F.degrees(F.atan2(vx, vy)), F.lit(360.0)))  # held flat it points nowhere
     flat = F.pmod(360.0 - num(alpha), F.lit(360.0))
     return F.when(col(absolute), F.coalesce(full, flat))
 
 
 def tilt_heading(ax, ay, az, mx, my, mz) -> Column:
-    """Magnetic heading after removing pitch and roll; m* are calibrated readings."""
+    """Magnetic heading after removing pitch and roll; m* are calibrated readings. NULL where no horizontal field is left."""
     ax, ay, az, mx, my, mz = (num(c) for c in (ax, ay, az, mx, my, mz))
     n = F.sqrt(ax * ax + ay * ay + az * az)
     n = F.when(n == 0, F.lit(1.0)).otherwise(n)
@@ -178,7 +178,7 @@ def tilt_heading(ax, ay, az, mx, my, mz) -> Column:
     roll = F.asin(clamp(ay / n / F.cos(pitch), -1.0, 1.0))
     fx = mx * F.cos(pitch) + mz * F.sin(pitch)
     fy = mx * F.sin(roll) * F.sin(pitch) + my * F.cos(roll) - mz * F.sin(roll) * F.cos(pitch)
-    return F.pmod(450.0 - F.degrees(F.atan2(fy, fx)), F.lit(360.0))
+    return F.when(F.hypot(fx, fy) > 1e-9, F.pmod(450.0 - F.degrees(F.atan2(fy, fx)), F.lit(360.0)))
 
 
 def circular_mean(deg) -> Column:

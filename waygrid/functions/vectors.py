@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .geometry import col
+from .geometry import bind, col
 
 ZERO_NORM = 1e-8
 
 
-def bind(value: Column, fn) -> Column:
-    """``fn(value)`` with ``value`` computed once, also when used inside another lambda."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def as_doubles(c) -> Column:
     return col(c).cast("array<double>")
 

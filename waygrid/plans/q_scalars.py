@@ -110,16 +110,16 @@ def points4(t):
 
 
 @query("axis_diff", f"""WITH {P4}, d AS (SELECT id, abs(fmod(fmod(h - degrees(atan2(bx - ax, by_ - ay)) + 180, 360) + 360, 360) - 180) AS d0 FROM
-  (SELECT id, h, ax, ay, bx, by_ FROM p4 WHERE ax <> bx OR ay <> by_)), e AS (SELECT id, d0 FROM d)
+  (SELECT id, h, ax, ay, bx, by_ FROM p4)), e AS (SELECT id, d0 FROM d)
 SELECT id, round(least(d0, 180 - d0), 6) AS d FROM e""".replace("fmod(fmod(", "mod(mod(").replace("+ 180, 360) + 360, 360)", "+ 180, 360) + 360, 360)"))
 def _(t):
-    p = points4(t).where("ax <> bx OR ay <> by_")
+    p = points4(t)
     return rounded(p.select("id", G.axis_diff("h", "ax", "ay", "bx", "by_").alias("d")))
 
 
-@query("bearing", f"WITH {P4} SELECT id, round(mod(degrees(atan2(bx - ax, by_ - ay)) + 360, 360), 6) AS deg FROM p4 WHERE ax <> bx OR ay <> by_")
+@query("bearing", f"WITH {P4} SELECT id, round(mod(degrees(atan2(bx - ax, by_ - ay)) + 360, 360), 6) AS deg FROM p4")
 def _(t):
-    p = points4(t).where("ax <> bx OR ay <> by_")
+    p = points4(t)
     return rounded(p.select("id", G.bearing("ax", "ay", "bx", "by_").alias("deg")))
 
 
@@ -174,13 +174,13 @@ def _(t):
 
 
 @query("segment_similarity", f"""WITH {P4}, s AS (SELECT id, ax, ay, bx, by_, cx, cy, sqrt((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)) AS la,
-  sqrt((ax-cx)*(ax-cx)+(ay-cy)*(ay-cy)) AS lb, atan2(ay-cy, ax-cx) - atan2(by_-ay, bx-ax) AS ang FROM p4 WHERE NOT (ax = bx AND ay = by_)),
-r AS (SELECT *, lb / la AS scale FROM s)
+  sqrt((ax-cx)*(ax-cx)+(ay-cy)*(ay-cy)) AS lb, atan2(ay-cy, ax-cx) - atan2(by_-ay, bx-ax) AS ang FROM p4),
+r AS (SELECT *, lb / nullif(la, 0) AS scale FROM s)
 SELECT id, round(CASE WHEN la >= 1e-3 AND lb >= 1e-3 THEN scale END, 7) AS scale,
   round(CASE WHEN la >= 1e-3 AND lb >= 1e-3 THEN cx - scale * (cos(ang) * ax - sin(ang) * ay) END, 7) + 0e0 AS tx,
   round(CASE WHEN la >= 1e-3 AND lb >= 1e-3 THEN cy - scale * (sin(ang) * ax + cos(ang) * ay) END, 7) + 0e0 AS ty FROM r""")
 def _(t):
-    p = points4(t).where("NOT (ax = bx AND ay = by_)")
+    p = points4(t)
     s = p.select("id", G.segment_similarity("ax", "ay", "bx", "by_", "cx", "cy", "ax", "ay").alias("s"))
     return s.select("id", F.round("s.scale", 7).alias("scale"), (F.round("s.tx", 7) + 0.0).alias("tx"), (F.round("s.ty", 7) + 0.0).alias("ty"))
 
@@ -207,12 +207,12 @@ def _(t):
 
 @query("band_place", f"""WITH {P4}, {NEAREST},
 b0 AS (SELECT *, 10e0 AS l, 5e0 AS r, sqrt((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)) AS len FROM n1),
-b1 AS (SELECT *, (cy-ny)*(bx-ax)/len - (cx-nx)*(by_-ay)/len AS lat, (cx-nx)*(bx-ax)/len + (cy-ny)*(by_-ay)/len AS alo, sqrt((cx-nx)*(cx-nx)+(cy-ny)*(cy-ny)) AS dist FROM b0 WHERE len > 0),
-b2 AS (SELECT *, least(greatest(lat, -r), l) AS held FROM b1), b3 AS (SELECT *, sqrt(alo*alo + (lat-held)*(lat-held)) AS o FROM b2)
-SELECT id, round(CASE WHEN o <= 1e-9 THEN cx ELSE nx - (by_-ay)/len*held END, 5) AS bx, round(CASE WHEN o <= 1e-9 THEN cy ELSE ny + (bx-ax)/len*held END, 5) AS by_,
+b1 AS (SELECT *, (cy-ny)*(bx-ax)/nullif(len, 0) - (cx-nx)*(by_-ay)/nullif(len, 0) AS lat, (cx-nx)*(bx-ax)/nullif(len, 0) + (cy-ny)*(by_-ay)/nullif(len, 0) AS alo, sqrt((cx-nx)*(cx-nx)+(cy-ny)*(cy-ny)) AS dist FROM b0),
+b2 AS (SELECT *, least(greatest(lat, -r), l) AS held FROM b1), b3 AS (SELECT *, CASE WHEN len > 0 THEN sqrt(alo*alo + (lat-held)*(lat-held)) ELSE greatest(dist - 10, 0) END AS o FROM b2)
+SELECT id, round(CASE WHEN o <= 1e-9 THEN cx WHEN len = 0 THEN nx + (cx-nx) * 10 / dist ELSE nx - (by_-ay)/len*held END, 5) AS bx, round(CASE WHEN o <= 1e-9 THEN cy WHEN len = 0 THEN ny + (cy-ny) * 10 / dist ELSE ny + (bx-ax)/len*held END, 5) AS by_,
   round(CASE WHEN o <= 1e-9 THEN 0e0 ELSE o END, 5) AS outside FROM b3""")
 def _(t):
-    p = points4(t).where("NOT (ax = bx AND ay = by_)")
+    p = points4(t)
     left, right = G.side_widths(None, F.lit(10.0), F.lit(5.0))
     s = p.select("id", G.band_place("cx", "cy", "ax", "ay", "bx", "by_", left, right).alias("s"))
     return rounded(s.selectExpr("id", "s.bx AS bx", "s.by AS by_", "s.outside AS outside"), 5)
@@ -320,21 +320,22 @@ def _(t):
     return points4(t).select("id", "ax", "ay").withColumns(G.rescale_xy(0.001, 6, "ax", "ay"))
 
 
-@query("euler_heading", f"""WITH {P4}, e AS (SELECT id, radians(h) AS a, radians(ax) AS b, radians(ay - 45) AS g, h, ax, id % 4 AS k FROM p4)
-SELECT id, round(CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN mod(360 - h, 360) ELSE mod(degrees(atan2(-cos(a)*sin(g) - sin(a)*sin(b)*cos(g), -sin(a)*sin(g) + cos(a)*sin(b)*cos(g))) + 360, 360) END, 4) AS heading FROM e WHERE ax > 1""")
+@query("euler_heading", f"""WITH {P4}, e AS (SELECT id, radians(h) AS a, radians(ax) AS b, radians(ay - 45) AS g, h, id % 4 AS k FROM p4),
+f AS (SELECT *, -cos(a)*sin(g) - sin(a)*sin(b)*cos(g) AS vx, -sin(a)*sin(g) + cos(a)*sin(b)*cos(g) AS vy FROM e)
+SELECT id, round(CASE WHEN k = 0 THEN NULL WHEN k = 1 OR sqrt(vx*vx + vy*vy) <= 1e-9 THEN mod(360 - h, 360) ELSE mod(degrees(atan2(vx, vy)) + 360, 360) END, 4) AS heading FROM f""")
 def _(t):
     k = F.col("id") % 4
-    e = points4(t).where("ax > 1").select("id", C.euler_heading("h", F.when(k != 1, F.col("ax")), F.expr("ay - 45"), k != 0).alias("heading"))
+    e = points4(t).select("id", C.euler_heading("h", F.when(k != 1, F.col("ax")), F.expr("ay - 45"), k != 0).alias("heading"))
     return rounded(e, 4)
 
 
 @query("tilt_heading", f"""WITH {P4}, v AS (SELECT id, (ax - 48) / 20 AS gx, (ay - 44) / 20 AS gy, 9e0 AS gz, bx - 41 AS mx, by_ - 39 AS my, cx - 36 AS mz FROM p4),
-n AS (SELECT *, sqrt(gx*gx+gy*gy+gz*gz) AS nn FROM v), p AS (SELECT *, asin(-gx / nn) AS pitch FROM n), r AS (SELECT *, asin(gy / nn / cos(pitch)) AS roll FROM p)
-SELECT id, round(mod(450 - degrees(atan2(mx*sin(roll)*sin(pitch) + my*cos(roll) - mz*sin(roll)*cos(pitch), mx*cos(pitch) + mz*sin(pitch))), 360), 4) AS heading
-FROM r WHERE abs(mx) + abs(my) > 3""")
+n AS (SELECT *, sqrt(gx*gx+gy*gy+gz*gz) AS nn FROM v), p AS (SELECT *, asin(-gx / nn) AS pitch FROM n), r AS (SELECT *, asin(gy / nn / cos(pitch)) AS roll FROM p),
+f AS (SELECT id, mx*sin(roll)*sin(pitch) + my*cos(roll) - mz*sin(roll)*cos(pitch) AS fy, mx*cos(pitch) + mz*sin(pitch) AS fx FROM r)
+SELECT id, round(CASE WHEN sqrt(fx*fx + fy*fy) > 1e-9 THEN mod(450 - degrees(atan2(fy, fx)), 360) END, 4) AS heading FROM f""")
 def _(t):
     v = points4(t).selectExpr("id", "(ax - 48) / 20 AS gx", "(ay - 44) / 20 AS gy", "9e0 AS gz", "bx - 41 AS mx", "by_ - 39 AS my", "cx - 36 AS mz")
-    return rounded(v.where("abs(mx) + abs(my) > 3").select("id", C.tilt_heading("gx", "gy", "gz", "mx", "my", "mz").alias("heading")), 4)
+    return rounded(v.select("id", C.tilt_heading("gx", "gy", "gz", "mx", "my", "mz").alias("heading")), 4)
 
 
 @query("circular_mean", """SELECT device_id, round(mod(degrees(atan2(avg(sin(radians(heading))), avg(cos(radians(heading))))) + 360, 360), 5) AS mean FROM v_points GROUP BY device_id""")

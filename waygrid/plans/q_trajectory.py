@@ -1,4 +1,4 @@
-"""Queries: fixes, odometry, sessions, calibration, diagnostics and batch state machines."""
+"""Queries: fixes, odometry, sessions, calibration and diagnostics."""
 
 from __future__ import annotations
 
@@ -6,11 +6,8 @@ from pyspark.sql import Window, functions as F
 
 from ..operators import diagnostics as D
 from ..operators import trajectory as T
-from ..operators.corridors import walk_axis_error
-from ..operators.ordered import fold_ordered, numbered, placed, scan
-from ..streaming import drift, machines as M
+from ..operators.ordered import placed, scan
 from .catalog import query, rounded
-from .q_network import walk_pieces
 
 EPOCH = "CAST(epoch_us(ts) AS DOUBLE) / 1e6"
 FIXES = f"""r AS (SELECT event_id, device_id, {EPOCH} AS t, CASE source WHEN 'PDR' THEN 'a_pose' ELSE 'b_fix' END AS kind, source IN ('VPR', 'SEED') AS matched,
@@ -86,21 +83,14 @@ def _(t):
 f AS (SELECT *, lag(x) OVER z AS px, lag(y) OVER z AS py, lag(floor) OVER z AS pf, lag(n) OVER z AS pn, lag(path) OVER z AS pp, lag(ss) OVER z AS ps, lag(cs) OVER z AS pc FROM s WHERE is_fix WINDOW z AS (PARTITION BY device_id ORDER BY t, event_id)),
 d AS (SELECT *, n - pn AS steps, path - pp AS path_m, sqrt((x-px)*(x-px)+(y-py)*(y-py)) AS fix_m FROM f WHERE px IS NOT NULL),
 e AS (SELECT *, floor = pf AND confidence >= 45e-2 AND steps >= 6 AND path_m >= 2 AND fix_m >= 2 AND fix_m BETWEEN 65e-2 * path_m AND 18e-1 * path_m AND sqrt((ss-ps)*(ss-ps)+(cs-pc)*(cs-pc)) / steps >= 85e-2 AS ok,
-  degrees(atan2(x-px, y-py)) - degrees(atan2(ss-ps, cs-pc)) AS dd FROM d WHERE steps > 0)
+  degrees(atan2(x-px, y-py)) - degrees(atan2(ss-ps, cs-pc)) AS dd FROM d)
 SELECT device_id, event_id, CAST(steps AS BIGINT) AS steps, round(fix_m, 6) AS fix_m, round(CASE WHEN ok THEN mod(dd + 540, 360) - 180 END, 4) AS offset_deg FROM e""")
 def _(t):
     r = step_rows(t).withColumns({"heading": F.col("heading") / 20, "step_m": F.lit(2.0)})
-    o = T.infer_walking_offset(r).where("steps > 0")
+    o = T.infer_walking_offset(r)
     return o.select("device_id", "event_id", "steps", F.round("fix_m", 6).alias("fix_m"), (F.round("offset_deg", 4) + 0.0).alias("offset_deg"))
 
 
-@query("refine_stride")
-def _(t):
-    r = step_rows(t).withColumn("step_m", F.lit(2.0))
-    segs = T.infer_walking_offset(r).join(T.steps_since_fix(r).select("event_id", "drift_m"), "event_id")
-    return rounded(fold_ordered(segs, ["device_id"], ["t", "event_id"], M.stride_scale, M.SCALE_SCHEMA))
-
-
 @query("route_change_log", f"""WITH s AS (SELECT event_id, user_id AS device_id, {EPOCH} AS t, (CAST(floor(value) AS INT) % 3) || ';' || printf('%.1f', round_even(((user_id % 5) / 5e0) * 2, 0) / 2) AS sig FROM events),
 l AS (SELECT *, lag(sig) OVER (PARTITION BY device_id ORDER BY t, event_id) AS p FROM s) SELECT device_id, event_id FROM l WHERE p IS NULL OR p <> sig""")
 def _(t):
@@ -195,94 +185,6 @@ def _(t):
     return a.select("session_id", "n", F.round("rot", 6).alias("rot"), F.round("span", 6).alias("span"), F.round("tx", 5).alias("tx"), F.round("ty", 5).alias("ty"))
 
 
-# ------------------------------------------------------------------ state machines over whole logs
-def samples(t):
-    """Motion samples: every event is a 1.5 s burst at 20 Hz of a bouncing walk."""
-    e = t.events.select("event_id", F.col("user_id").alias("device_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("double").alias("t0"), "value")
-    s = e.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(29))))
-    swing = F.sin(F.col("i") * 0.05 * 2 * 3.141592653589793 / (0.45 + (F.col("event_id") % 3) * 0.1)) * (1.0 + (F.col("event_id") % 5))
-    return s.select("device_id", "event_id", (F.col("t0") + F.col("i") * 50).alias("t"), F.lit(0.1).alias("ax"), F.lit(0.2).alias("ay"),
-                    (9.81 + swing).alias("az"), F.when(F.col("event_id") % 11 == 0, 200.0).otherwise(10.0).alias("rot"))
-
-
-@query("pdr_steps")
-def _(t):
-    return rounded(fold_ordered(samples(t), ["device_id"], ["t", "event_id"], M.pdr_step, M.STEP_SCHEMA))
-
-
-@query("gait_steps")
-def _(t):
-    return rounded(fold_ordered(samples(t), ["device_id"], ["t", "event_id"], M.gait_step, M.STEP_SCHEMA))
-
-
-@query("fuse_positions_smoothed")
-def _(t):
-    return rounded(fold_ordered(points(t), ["device_id"], ["t", "kind", "event_id"], M.smooth_fix, M.SMOOTH_SCHEMA))
-
-
-ROUTE = "array(struct(0e0 AS x, 0e0 AS y), struct(20e0 AS x, 0e0 AS y), struct(20e0 AS x, 20e0 AS y), struct(40e0 AS x, 20e0 AS y))"
-
-
-def walkers(t):
-    """Devices along an L-shaped route, half a metre per event, some drifting sideways."""
-    e = t.events.select("event_id", F.col("user_id").alias("device_id"), "ts")
-    k = numbered(e, ["device_id"], [F.col("ts"), F.col("event_id")], "k").withColumn("s", F.col("k") * 0.5)
-    side = F.when((F.col("device_id") % 3 == 0) & (F.col("s") > 10), (F.col("s") - 10) * 0.4).otherwise((F.col("event_id") % 5 - 2) / 10.0)
-    return k.withColumns({
-        "x": F.when(F.col("s") <= 20, F.col("s")).when(F.col("s") <= 40, 20.0 + side).otherwise(F.col("s") - 20),
-        "y": F.when(F.col("s") <= 20, side).when(F.col("s") <= 40, F.col("s") - 20).otherwise(20.0 + side),
-        "t": F.col("k") * 400.0, "floor": F.lit("G"), "route": F.expr(ROUTE), "heading": (F.col("event_id") * 53 % 360).cast("double")})
-
-
-@query("step_along_route")
-def _(t):
-    w = walkers(t).withColumns({"is_fix": F.col("event_id") % 17 == 0, "stride_m": F.lit(0.7), "confidence": F.lit(0.6)})
-    return rounded(fold_ordered(w, ["device_id"], ["t", "event_id"], M.route_step, M.ROUTE_STEP_SCHEMA))
-
-
-@query("detect_drift")
-def _(t):
-    return rounded(fold_ordered(walkers(t), ["device_id"], ["t", "event_id"], drift.detect_drift, drift.DRIFT_SCHEMA))
-
-
-@query("capture_trigger")
-def _(t):
-    s = samples(t).withColumns({"mag": F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2 + F.col("az") ** 2), "mode": F.lit("motion"), "motion_threshold": F.lit(6.0),
-                                "min_ms": F.lit(800.0), "max_ms": F.lit(4000.0), "sharpness": (F.col("event_id") % 200).cast("double")})
-    return rounded(fold_ordered(s.drop("ax", "ay", "az", "rot"), ["device_id"], ["t", "event_id"], M.capture_trigger, M.CAPTURE_SCHEMA))
-
-
-@query("lift_transition_state")
-def _(t):
-    e = numbered(t.events.select("event_id", F.col("user_id").alias("device_id"), "ts"), ["device_id"], [F.col("ts"), F.col("event_id")], "k")
-    e = e.withColumns({"t": F.col("k") * 1000.0, "door_m": (20 - F.col("k") % 25).cast("double"), "from_floor": F.lit("G"), "to_floor": F.lit("B1"),
-                       "floor": F.when((F.col("k") % 25 > 22) & (F.col("device_id") % 2 == 0), "B1").otherwise("G"), "motion": F.lit(0.3)})
-    return fold_ordered(e, ["device_id"], ["t", "event_id"], M.lift_state, M.LIFT_SCHEMA)
-
-
-@query("alignment_tracker")
-def _(t):
-    p = align_pairs(t).withColumnsRenamed({"session_id": "device_id", "fx": "x", "fy": "y"})
-    far = F.when(F.col("event_id") % 9 == 0, 6.0).otherwise(0.0)
-    p = p.withColumns({"dx": F.col("dx") + far, "dest_x": F.lit(40.0), "dest_y": F.lit(20.0)})
-    return rounded(fold_ordered(p, ["device_id"], ["t", "event_id"], M.align_fix, M.ALIGN_SCHEMA))
-
-
-@query("heading_consensus")
-def _(t):
-    e = t.events.select("event_id", F.col("user_id").alias("device_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e3).alias("t"),
-                        ((F.col("event_id") % 15).cast("double") + 90).alias("heading"), F.lit(0.3).alias("yaw"))
-    return rounded(fold_ordered(e, ["device_id"], ["t", "event_id"], M.heading_vote, M.VOTE_SCHEMA))
-
-
-@query("straight_walk_axis_error")
-def _(t):
-    w = fold_ordered(walkers(t), ["device_id"], ["t", "event_id"], M.straight_walk, M.STRAIGHT_SCHEMA)
-    # a device walks the building of the supplier with its number
-    w = w.withColumn("site_id", F.col("device_id"))
-    return rounded(walk_axis_error(w, walk_pieces(t), ["site_id", "floor"]))
-
-
 # ------------------------------------------------------------------ reports
 LOG = f"lg AS (SELECT device_id AS session_id, event_id, source, source = 'VPR' AS tracking, latency_ms, confidence, x, y, event_id % 40 AS steps_since_fix, CASE WHEN event_id % 3 = 0 THEN (event_id % 50) / 1e1 END AS drift_m FROM v_points)"
 
