@@ -1,7 +1,10 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from waygrid.operators import colour
+from waygrid.operators import colour, corridors, evaluation
 from waygrid.operators import network as N
 from waygrid.operators import routing
 from waygrid.operators.ordered import fold_ordered
@@ -92,3 +95,60 @@ def test_heading_consensus_reads_events_in_milliseconds(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events.parquet"))
     got = catalog.queries()["heading_consensus"](spark, str(tmp_path)).collect()
     assert [(r.device_id, r.event_id) for r in got] == [(1, 15 * 12)]  # forty seconds, or hours, are too long
+
+
+def test_percentiles_over_partitions(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)])) for _ in range(700)] + [("one", 7), ("none", None)]
+    df = spark.createDataFrame(rows, "source string, ms int")
+    got = {r.source: (r.mean_ms, r.p95_ms, r.max_ms) for r in evaluation.latency_stats(df, "ms", ["source"], parts=6).collect()}
+    want = {r.source: (r.m, r.p, r.x) for r in df.groupBy("source").agg(F.avg("ms").alias("m"), F.percentile("ms", 0.95).alias("p"), F.max("ms").alias("x")).collect()}
+    assert got.keys() == want.keys() and got["none"] == (None, None, None)
+    assert all(got[k] == pytest.approx(want[k]) for k in want if k != "none")
+    assert evaluation.latency_stats(df, "ms").first().p95_ms == pytest.approx(df.agg(F.percentile("ms", 0.95)).first()[0])
+
+
+def test_a_seed_ends_the_memory_of_the_corridor(spark):
+    segs = spark.createDataFrame([("G", 0, 0.0, 0.0, 20.0, 0.0, 2.0), ("G", 1, 0.0, 2.2, 20.0, 2.2, 2.0)], "floor string, seg_ord long, x1 double, y1 double, x2 double, y2 double, width double")
+    # held in the first corridor, then slightly nearer to the second
+    rows = [(1, 0, 0.0, "G", 5.0, 0.0, 90.0, False), (1, 1, 1.0, "G", 6.0, 1.4, 90.0, False), (1, 2, 2.0, "G", 7.0, 9.0, 90.0, True), (1, 3, 3.0, "G", 8.0, 1.4, 90.0, False)]
+    df = spark.createDataFrame(rows, "device_id long, event_id long, t double, floor string, x double, y double, heading double, seed boolean")
+    got = {r.event_id: (r.seg_key, r.placed_y) for r in corridors.sticky_corridor(df, segs).collect()}
+    assert got[0][0] == got[1][0] and got[3][0] not in (None, got[0][0])
+    assert got[2] == (None, 9.0)  # a seed stands where it says
+    kept = {r.event_id: r.seg_key for r in corridors.sticky_corridor(df.drop("seed"), segs).collect()}
+    assert kept[1] == got[0][0]
+
+
+def test_votes_are_gated_and_cleared():
+    vote = lambda s, k, **more: machines.heading_vote(s, {"device_id": 1, "event_id": k, "t": 1000.0 * k, "heading": 90.0 + k, "yaw": 0.3, **more})
+    s = {}
+    assert [bool(vote(s, k)) for k in range(4)] == [False, False, True, False]
+    s = {}
+    assert [bool(vote(s, k, strong=k == 1)) for k in range(4)] == [False, False, False, True]
+    s = {}
+    assert [bool(vote(s, k, fixed=k == 2)) for k in range(6)] == [False, False, False, False, False, True]
+
+
+def test_snapshots_refuse_short_writes_and_second_writers(spark, tmp_path, monkeypatch):
+    from waygrid.sources import snapshots
+    base, df = str(tmp_path), spark.range(100).repartition(3)
+    first = snapshots.publish_snapshot(df, base, 1)
+    manifest = json.loads((tmp_path / first / "_manifest.json").read_text())
+    assert manifest["rows"] == 100 == sum(manifest["files"].values()) and len(manifest["files"]) == 3
+    (tmp_path / "map.current.lock").write_text("someone")
+    with pytest.raises(IOError):
+        snapshots.publish_snapshot(df, base, 2)
+    assert snapshots.current_name(spark, base) == first and not (tmp_path / "map_2").exists()
+    (tmp_path / "map.current.lock").unlink()
+    (tmp_path / ".map.current.lock.crc").unlink(missing_ok=True)
+    pointed = snapshots._pointed
+    seen = iter(["", "map_9"])  # the pointer moves while the second version is written
+    monkeypatch.setattr(snapshots, "_pointed", lambda *a: next(seen, "map_9"))
+    with pytest.raises(IOError):
+        snapshots.publish_snapshot(df, base, 3)
+    monkeypatch.setattr(snapshots, "_pointed", pointed)
+    assert snapshots.current_name(spark, base) == first and snapshots.read_current(spark, base).count() == 100
+    with pytest.raises(ValueError):
+        snapshots.publish_snapshot(df.where("id < 0"), base, 4)
+    assert snapshots.publish_snapshot(df.where("id < 50"), base, 5) == "map_5" and snapshots.read_current(spark, base).count() == 50

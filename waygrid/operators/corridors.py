@@ -103,8 +103,8 @@ def hold_corridor(state: dict, row: dict) -> dict:
     """One fix: stay in the held corridor unless the best other one is clearly cheaper."""
     best = {f: row[f"s_{f}"] for f in SEG_FIELDS} if row["s_ord"] is not None else None
     held = state.get("seg") if state.get("floor") == row["floor"] else None
-    pick = best
-    if held is not None and best is not None and held["ord"] != best["ord"]:
+    pick = None if row.get("seed") else best  # a seed stands where it says, and ends the memory
+    if held is not None and pick is not None and held["ord"] != best["ord"]:
         stay = corridor_cost(row["x"], row["y"], row.get("heading"), held)
         move = row["s_cost"] + SWITCH_PENALTY_M
         if stay < move or (stay == move and held["ord"] < best["ord"]):
@@ -123,14 +123,14 @@ def sticky_corridor(
     fixes: DataFrame, pieces: DataFrame, keys: Sequence[str] = ("floor",), order: str = "seg_ord",
     time: str = "t", parts: int | None = None, cell_m: float = 8.0,
 ) -> DataFrame:
-    """Corridor matching with memory per device; the memory ends on a floor change.
+    """Corridor matching with memory per device; the memory ends on a floor change and at a seed (a true ``seed`` column).
 
     The cheapest corridor without memory is found first (a join). The switch penalty can
     only favour the held corridor over it, so the fold compares just those two.
     """
     matched = match_corridor(fixes, pieces, keys, order, cell_m=cell_m)
     flat = matched.select(
-        "device_id", "event_id", time, "floor", "x", "y", "heading", F.col("piece.cost").alias("s_cost"),
+        "device_id", "event_id", time, "floor", "x", "y", "heading", *(["seed"] if "seed" in fixes.columns else []), F.col("piece.cost").alias("s_cost"),
         *[F.col(f"piece.seg.{f}").alias(f"s_{f}") for f in SEG_FIELDS])
     kept = fold_ordered(flat, ["device_id"], [time, "event_id"], hold_corridor, STICKY_SCHEMA, parts=parts)
     has = F.col("k_ord").isNotNull()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.capture import texture_bucket
 from ..functions.geometry import LOCATION_TOLERANCE_M
+from .ordered import scan
 
 # Acceptance limits and the sweep grid.
 MIN_MATCHES = 15
@@ -131,9 +132,28 @@ def per_location_breakdown(resolved: DataFrame, records: DataFrame) -> DataFrame
         F.count_if(F.col("status") == "correct").alias("correct"), F.count("*").alias("n"))
 
 
-def latency_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(F.avg(value).alias("mean_ms"), F.percentile(value, 0.95).alias("p95_ms"),
-                               F.max(value).alias("max_ms"))
+def latency_stats(df: DataFrame, value: str, by: Sequence[str] = (), share: float = 0.95, parts: int | None = None) -> DataFrame:
+    """Mean, exact percentile (between the two nearest ranks, as ``percentile`` does) and maximum; nulls do not count.
+
+    Equal values are counted first; the counts are summed up in order of value over range partitions, and the two values
+    whose ranks are asked for are picked from them. No task sees all values of a group.
+    """
+    by = list(by)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    groups = df.groupBy(*by).agg(F.avg(value).alias("mean_ms"), F.count(value).alias("_all"), F.max(value).alias("max_ms"))
+    renamed = groups.select(*[F.col(k).alias(f"_on_{k}") for k in by], ((F.col("_all") - 1) * share).alias("_rank"))
+    upto = scan(counts, by, ["_v"], {"_upto": F.col("_n")}, parts=parts)
+    same = F.lit(True)
+    for k in by:
+        same = same & upto[k].eqNullSafe(renamed[f"_on_{k}"])
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v").cast("double")))
+    low, high = F.floor("_rank"), F.ceil("_rank")
+    picked = upto.join(renamed, same).groupBy(*by).agg(at(low).alias("_a"), at(high).alias("_b"), F.first("_rank").alias("_rank"))
+    picked = picked.select(*[F.col(k).alias(f"_on_{k}") for k in by], (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))).alias("p95_ms"))
+    same = F.lit(True)
+    for k in by:
+        same = same & groups[k].eqNullSafe(picked[f"_on_{k}"])
+    return groups.join(picked, same, "left").select(*by, "mean_ms", "p95_ms", "max_ms")
 
 
 def _counts(is_true: Column, hit: Column) -> dict[str, Column]:

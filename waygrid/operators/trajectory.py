@@ -66,6 +66,13 @@ def fuse_positions(rows: DataFrame, t: str = "t", order: Sequence[str] = ("t", "
     return out.select("device_id", "event_id", t, "kind", "fused_floor", "fused_x", "fused_y", "fused_heading", "fused_confidence")
 
 
+def seed_positions(seeds: DataFrame) -> DataFrame:
+    """Seeds (kiosk or door: device_id, event_id, t, x, y, heading, floor) as input events of the fuser: they place the device
+    with little confidence. ``seed`` tells corridor matching that it is a new place, with no corridor to hold on to.
+    """
+    return seeds.withColumns({"kind": F.lit("b_fix"), "matched": F.lit(True), "confidence": F.lit(SEED_CONFIDENCE), "seed": F.lit(True)})
+
+
 def steps_since_fix(rows: DataFrame, t: str = "t", parts: int | None = None) -> DataFrame:
     """Steps since the last fix, and at a fix the distance from the carried position.
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.trajectory import SEED_CONFIDENCE
 from ..streaming import machines as M
 from ..streaming import pipelines as P
 from .catalog import query, rounded
 from .q_sources import scratch
+from .q_trajectory import FUSED
 from .views import SIMPLE
 
 DELAY = "10 minutes"
@@ -56,12 +58,27 @@ def _(t):
     return drained(t, P.dedupe_events(e, ["event_id"], delay=DELAY), "once").select("event_id")
 
 
-@query("fuse_positions_stream")
-def _(t):
+CLOSED = "epoch_ms(ts) <= (SELECT max(epoch_ms(ts)) FROM events) - 600000"  # the watermark has passed them
+
+
+def fixes_stream(t):
     e = event_stream(t).selectExpr(*SIMPLE["v_points"][1])
-    e = e.select("event_id", "device_id", "ts", "x", "y", "floor", "heading", "confidence", F.when(F.col("source") == "PDR", "a_pose").otherwise("b_fix").alias("kind"),
-                 F.col("source").isin("VPR", "SEED").alias("matched"))
-    return rounded(drained(t, P.stream_machine(e, M.smooth_fix, M.SMOOTH_SCHEMA, order=("kind", "event_id"), delay=DELAY), "fused"))
+    trust = F.when(F.col("source") == "SEED", SEED_CONFIDENCE).otherwise(F.col("confidence"))
+    return e.select("event_id", "device_id", "ts", "x", "y", "floor", "heading", trust.alias("confidence"), F.when(F.col("source") == "PDR", "a_pose").otherwise("b_fix").alias("kind"),
+                    F.col("source").isin("VPR", "SEED").alias("matched"))
+
+
+@query("fuse_positions_stream", f"""WITH {FUSED} SELECT z.device_id, z.event_id, coalesce(k_floor, '1') AS floor, round(CASE WHEN moved THEN ox + x*cos(radians(turn)) - y*sin(radians(turn)) ELSE x END, 5) AS x,
+  round(CASE WHEN moved THEN oy + x*sin(radians(turn)) + y*cos(radians(turn)) ELSE y END, 5) AS y, CASE WHEN moved THEN mod(heading + turn, 360) ELSE mod(heading, 360) END AS heading,
+  round(CASE WHEN kind = 'b_fix' THEN confidence ELSE greatest(coalesce(conf, 0) * power(98e-2, n_pose - coalesce(n, 0)), 1e-1) END, 5) AS confidence
+  FROM z JOIN (SELECT event_id FROM events WHERE {CLOSED}) USING (event_id)""")
+def _(t):
+    return rounded(drained(t, P.stream_machine(fixes_stream(t), M.reset_fix, M.RESET_SCHEMA, order=("kind", "event_id"), delay=DELAY), "fused"), 5)
+
+
+@query("fuse_positions_smoothed_stream")
+def _(t):
+    return rounded(drained(t, P.stream_machine(fixes_stream(t), M.smooth_fix, M.SMOOTH_SCHEMA, order=("kind", "event_id"), delay=DELAY), "smoothed"))
 
 
 @query("live_devices_stream")

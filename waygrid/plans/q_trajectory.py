@@ -45,6 +45,19 @@ def _(t):
     return rounded(T.fuse_positions(points(t)).where("kind = 'a_pose'").select("device_id", "event_id", "fused_x", "fused_y"), 5)
 
 
+@query("seed_positions", f"""WITH {FUSED} SELECT device_id, event_id, round(CASE WHEN moved THEN ox + x*cos(radians(turn)) - y*sin(radians(turn)) ELSE x END, 5) AS fused_x,
+  round(CASE WHEN moved THEN oy + x*sin(radians(turn)) + y*cos(radians(turn)) ELSE y END, 5) AS fused_y,
+  round(CASE WHEN kind = 'b_fix' THEN confidence ELSE greatest(conf * power(98e-2, n_pose - n), 1e-1) END, 5) AS fused_confidence FROM z WHERE conf = 2e-1""")
+def _(t):
+    # what is reported while the last place of a device is a seed
+    p = points(t)
+    fed = p.where("source <> 'SEED'").unionByName(T.seed_positions(p.where("source = 'SEED'")), allowMissingColumns=True)
+    order = ["t", "kind", "event_id"]
+    last = scan(fed, ["device_id"], order, lasts={"seeded": (F.coalesce("seed", F.lit(False)), (F.col("kind") == "b_fix") & F.col("matched"))}).where("seeded").select("event_id")
+    fused = T.fuse_positions(fed).join(last, "event_id", "left_semi")
+    return rounded(fused.select("device_id", "event_id", "fused_x", "fused_y", "fused_confidence"), 5)
+
+
 @query("confidence_decay", f"""WITH {FUSED} SELECT event_id, round(CASE WHEN n_pose - n = 0 THEN conf ELSE greatest(conf * power(985e-3, n_pose - n), 8e-2) END, 6) AS confidence FROM z WHERE n IS NOT NULL""")
 def _(t):
     order = ["t", "kind", "event_id"]
