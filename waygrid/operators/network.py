@@ -192,10 +192,11 @@ def landing_splice(landings: DataFrame, resolved: DataFrame, order: str = "piece
     rows = cut(first_node(snapped.join(ends, [*FLOOR_KEYS, "snap_ord"], "left"), registered_nodes(resolved, order), "snap_x", "snap_y"))
     fresh = rows.where("node_x is null").select(*FLOOR_KEYS, F.col("snap_x").alias("x"), F.col("snap_y").alias("y"), F.struct(
         "connector_id", "snap_x", "snap_y").alias("ordinal"))
-    fresh = snap_nodes(fresh.groupBy(*FLOOR_KEYS, "x", "y").agg(F.min("ordinal").alias("ordinal")))
+    fresh = cut(fresh.groupBy(*FLOOR_KEYS, "x", "y").agg(F.min("ordinal").alias("ordinal")))
+    fresh = fresh.withColumns({"node_x": F.lit(None).cast("double"), "node_y": F.lit(None).cast("double")}) if fresh.isEmpty() else snap_nodes(fresh)
     fresh = fresh.select(*FLOOR_KEYS, F.col("x").alias("snap_x"), F.col("y").alias("snap_y"), F.col("node_x").alias("_fx"), F.col("node_y").alias("_fy"))
     rows = rows.join(fresh, [*FLOOR_KEYS, "snap_x", "snap_y"], "left")
-    return rows.withColumns({"door_x": F.coalesce("node_x", "_fx"), "door_y": F.coalesce("node_y", "_fy")}).drop("node_x", "node_y", "_fx", "_fy")
+    return cut(rows.withColumns({"door_x": F.coalesce("node_x", "_fx"), "door_y": F.coalesce("node_y", "_fy")}).drop("node_x", "node_y", "_fx", "_fy"))
 
 
 def vertical_edges(landings: DataFrame) -> DataFrame:
@@ -245,20 +246,20 @@ def shortest_distances(edges: DataFrame, sources: DataFrame, graph: str = "site_
     """
     key = [graph, "source", "node"]
     e = cut(edges.select(graph, F.col("src").alias("node"), "dst", "weight"))
-    best = cut(sources.select(graph, "source").distinct().select(
-        graph, "source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("string").alias("prev")))
-    frontier = best
+    start = sources.select(graph, "source").distinct().select(
+        graph, "source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("string").alias("prev"))
+    frontier = known = cut(start)
     while True:
         step = frontier.join(e, [graph, "node"]).select(
             graph, "source", F.col("dst").alias("to"), F.col("node").alias("via"),
             # 9 dp keep float noise from looking like an improvement
             F.round(F.col("dist") + F.col("weight"), 9).alias("d"))
         offer = step.groupBy(graph, "source", F.col("to").alias("node")).agg(F.min(F.struct("d", "via")).alias("o"))
-        better = F.col("o").isNotNull() & (F.col("dist").isNull() | (F.col("o.d") < F.col("dist")))
-        best = cut(best.join(offer, key, "full_outer").select(
-            *key, F.when(better, F.col("o.d")).otherwise(F.col("dist")).alias("dist"),
-            F.when(better, F.col("o.via")).otherwise(F.col("prev")).alias("prev"), better.alias("_new")))
-        frontier = best.where("_new").drop("_new")
+        # only nodes just reached are looked up; what got shorter is appended, nothing is written again
+        held = known.join(offer.select(*key), key, "left_semi").groupBy(*key).agg(F.min("dist").alias("dist"))
+        frontier = cut(offer.join(held, key, "left").where(F.col("dist").isNull() | (F.col("o.d") < F.col("dist"))).select(
+            *key, F.col("o.d").alias("dist"), F.col("o.via").alias("prev")))
         if frontier.isEmpty():
-            return best.drop("_new")
-        best = best.drop("_new")
+            best = known.groupBy(*key).agg(F.min_by(F.struct("prev"), "dist").alias("b"), F.min("dist").alias("dist"))
+            return cut(best.select(*key, "dist", "b.prev"))
+        known = known.unionByName(frontier)

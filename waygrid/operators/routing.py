@@ -17,9 +17,9 @@ def resolved_pieces(pieces: DataFrame, ends: DataFrame, order: str = "seg_no") -
     pick = lambda e, c: F.max(F.when(F.col("end") == e, F.col(c)))
     n = ends.groupBy(*FLOOR_KEYS, order, "piece_no").agg(
         pick(0, "node_x").alias("ax"), pick(0, "node_y").alias("ay"), pick(1, "node_x").alias("bx"), pick(1, "node_y").alias("by"))
-    # segment and piece number in one sortable value (a segment has under a million pieces)
-    ordinal = F.col(order).cast("long") * 1_000_000 + F.col("piece_no")
-    return pieces.join(n, [*FLOOR_KEYS, order, "piece_no"]).withColumn("piece_ord", ordinal)
+    ordinal = F.struct(F.col(order).cast("long").alias("seg"), F.col("piece_no").cast("long").alias("piece"))
+    # written: walkways, doors and both ends of every request are read off it
+    return cut(pieces.join(n, [*FLOOR_KEYS, order, "piece_no"]).withColumn("piece_ord", ordinal))
 
 
 def walk_edges(resolved: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def network_edges(resolved: DataFrame, doors: DataFrame, vertical: DataFrame) ->
                       node_id("floor", "ax", "ay").alias("src"), node_id("floor", "bx", "by").alias("dst"), "weight",
                       F.lit(None).cast("string").alias("connector_id"))
     back = one.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "connector_id")
-    return by_site.unionByName(one).unionByName(back)
+    return cut(by_site.unionByName(one).unionByName(back))
 
 
 def route_requests(requests: DataFrame, resolved: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
