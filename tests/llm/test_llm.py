@@ -77,6 +77,15 @@ def test_warc(spark, tmp_path):
         assert r.refers_to == (original if kind == "revisit" else None)
         assert bytes(r.payload) == (b"" if kind == "revisit" else body)
         assert r.target_uri == (u.replace("\r", " ").replace("\n", " ") if u else None)
+    assert all(r.intact == (True if r.record_type == "response" else None) and r.own_bytes == len(r.payload) for r in got.values())
+    whole = {(r.page_id, r.record_type): bytes(r.payload) for r in warc.with_payloads(records).collect()}
+    assert sorted(whole.values()) == sorted({(p, best.get(h) is not None and best.get(h) != p): (h or "").encode() for p, _, h in rows}.values())
+    heads = warc.read_archives(spark, path, payloads=False)
+    assert heads.where("payload IS NOT NULL").count() == 0 and heads.agg(F.sum("own_bytes")).first()[0] == records.agg(F.sum(F.octet_length("payload"))).first()[0]
+    (tmp_path / "c").mkdir()
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:4>\r\nWARC-Payload-Digest: sha1:00\r\nContent-Length: 7\r\n\r\nA\r\n\r\nbc\r\n\r\n"
+    (tmp_path / "c" / "x.warc").write_bytes(bad)
+    assert [r.intact for r in warc.read_archives(spark, str(tmp_path / "c")).collect()] == [False]
     empty = warc.write_archives(pages.limit(0), str(tmp_path / "b"))
     assert warc.read_archives(spark, empty).count() == 0
 

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chat, decontam, langid, merkle, neardup, periodic, pivots, quality, secrets, tokencount, urls, warc
-from .common import table
+from .common import materialise, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(table(spark, sf_dir, "pages"), warc.new_archive_dir(spark))
-    return warc.with_originals(warc.read_archives(spark, path)).select(
+    headers = materialise(warc.read_archives(spark, path, payloads=False), "headers")  # archives are parsed once
+    return warc.with_originals(headers).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

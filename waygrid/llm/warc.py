@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,8 +17,9 @@ RECORDS_PER_FILE = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 RECORD = pa.schema([("page_id", pa.int64()), ("target_uri", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()),
-                    ("refers_to", pa.int64()), ("payload", pa.binary())])
-DDL = "page_id bigint, target_uri string, record_type string, payload_digest string, refers_to bigint, payload binary"
+                    ("refers_to", pa.int64()), ("payload", pa.binary()), ("own_bytes", pa.int64()), ("intact", pa.bool_())])
+DDL = ("page_id bigint, target_uri string, record_type string, payload_digest string, refers_to bigint, payload binary, "
+       "own_bytes bigint, intact boolean")
 
 
 def resolve(headers: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -87,34 +89,56 @@ def records_of(data: bytes) -> Iterator[tuple]:
                head[b"WARC-Payload-Digest"].decode().removeprefix("sha1:"), page(head.get(b"WARC-Refers-To")), block.partition(b"\r\n\r\n")[2])
 
 
-def _parse(batches):
-    for batch in batches:
-        for content in batch.column("content"):
-            rows = []
-            for row in records_of(content.as_py()):
-                rows.append(row)
-                if len(rows) == 256:
+def _parse(payloads: bool):
+    def run(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                rows = []
+                for *head, payload in records_of(content.as_py()):
+                    intact = hashlib.sha1(payload).hexdigest() == head[3] if head[2] == "response" else None
+                    rows.append((*head, payload if payloads else None, len(payload), intact))
+                    if len(rows) == 256:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), RECORD)], schema=RECORD)
+                        rows = []
+                if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), RECORD)], schema=RECORD)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), RECORD)], schema=RECORD)
+    return run
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records of every archive below ``path``; a file, bounded when written, is held by one task at a time."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, DDL)
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Records of every archive below ``path``; a file, bounded when written, is held by one task at a time.
+
+    ``own_bytes`` is the size of the payload in the record, ``intact`` whether a response's payload has the digest of its
+    header. Without ``payloads`` only the headers leave the task. A folder without records gives no rows.
+    """
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse(payloads), DDL)
+
+
+def _originals(records: DataFrame, *facts) -> DataFrame:
+    """One response for each (page, digest) that a revisit refers to."""
+    asked = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("_page"), F.col("payload_digest").alias("_digest")).distinct()
+    return (records.where("record_type = 'response'")
+            .join(asked, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left_semi")
+            .groupBy(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest")).agg(*facts))
+
+
+def _to_originals(records: DataFrame, originals: DataFrame) -> DataFrame:
+    return records.join(originals, F.col("refers_to").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest"))
+                        & (F.col("record_type") == "revisit"), "left").drop("_page", "_digest")
 
 
 def with_originals(records: DataFrame) -> DataFrame:
-    """Add payload_bytes of the full payload; a revisit takes it from the response that it refers to."""
-    own = records.withColumn("_size", F.octet_length("payload").cast("long"))
-    asked = own.where("record_type = 'revisit'").select(F.col("refers_to").alias("_page"), F.col("payload_digest").alias("_digest")).distinct()
-    sizes = (own.where("record_type = 'response'").select("page_id", "payload_digest", "_size")
-             .join(asked, (F.col("page_id") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left_semi")
-             .groupBy(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest")).agg(F.max("_size").alias("_full")))
-    return (own.join(sizes, (F.col("refers_to") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
-            .withColumn("payload_bytes", F.when(F.col("record_type") == "revisit", F.col("_full")).otherwise(F.col("_size")))
-            .drop("_page", "_digest", "_full", "_size"))
+    """Add payload_bytes of the full payload; a revisit takes it from the response that it refers to. Records are read three
+    times: hand over written ones, or headers that have been written.
+    """
+    sizes = _originals(records, F.max("own_bytes").alias("_full"))
+    return _to_originals(records, sizes).withColumn("payload_bytes", F.coalesce("_full", "own_bytes")).drop("_full")
+
+
+def with_payloads(records: DataFrame) -> DataFrame:
+    """Records in which revisits carry the payload of the response that they refer to."""
+    bodies = _originals(records, F.first("payload").alias("_body"))
+    return _to_originals(records, bodies).withColumn("payload", F.coalesce("_body", "payload")).drop("_body")
 
 
 def new_archive_dir(spark: SparkSession) -> str:
