@@ -71,13 +71,10 @@ def exportable_landmarks(landmarks: DataFrame, aligned: DataFrame, descriptor: s
     ``aligned``: session_id.
     """
     good = landmarks.where(_finite("x", "y", "z") & F.col(descriptor).isNotNull())
-    ok = aligned.select("session_id").distinct().withColumn("_ok", F.lit(True))
-    any_aligned = ok.limit(1).select(F.lit(True).alias("_any"))
-    tagged = good.join(ok, "session_id", "left")
-    # a one-row table at most: tells whether anything is aligned at all
-    tagged = tagged.withColumn("_k", F.lit(1)).join(any_aligned.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
-    keep = F.col("_any").isNull() | F.coalesce("_ok", F.lit(False)) | (F.col("session_id") == COMMITTED_SESSION)
-    return tagged.where(keep).drop("_ok", "_any")
+    if aligned.isEmpty():
+        return good
+    committed = aligned.sparkSession.createDataFrame([(COMMITTED_SESSION,)], "session_id long")
+    return good.join(aligned.select(F.col("session_id").cast("long")).union(committed).distinct(), "session_id", "left_semi").select(*landmarks.columns)
 
 
 def min_size_gate(landmarks: DataFrame, keys=("floor",), n: int = MIN_LANDMARKS) -> DataFrame:

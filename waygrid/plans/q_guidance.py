@@ -57,35 +57,42 @@ def _(t):
     return rounded(r)
 
 
-@query("route_progress", f"WITH {PROJ} SELECT id, round(along, 6) AS along, round(greatest(total - along, 0e0), 6) AS remaining, round(off, 6) AS off FROM pr")
+@query("route_progress", f"WITH {PROJ} SELECT pos.id, round(along, 6) AS along, round(greatest(total - along, 0e0), 6) AS remaining, round(off, 6) AS off FROM pos LEFT JOIN pr ON pr.id = pos.id")
 def _(t):
-    return rounded(long_paths(t).select("id", G.route_progress("p", "ux", "uy").alias("g")).select("id", "g.along", "g.remaining", "g.off"))
+    return rounded(paths(t).select("id", G.route_progress("p", "ux", "uy").alias("g")).select("id", "g.along", "g.remaining", "g.off"))
 
 
-@query("point_at", f"""WITH {PTS}, tot AS (SELECT id, sum(len) AS total FROM s GROUP BY 1 HAVING sum(len) > 0),
-v AS (SELECT id, total, least(CAST(id % 60 AS DOUBLE), total) AS d FROM tot),
-h AS (SELECT c.*, d, row_number() OVER (PARTITION BY c.id ORDER BY i) AS r FROM c JOIN v ON v.id = c.id WHERE len >= 1e-6 AND round(d, 9) <= round(cum + len, 9))
-SELECT id, round(ax + (bx-ax)*least(1e0, (d-cum)/len), 5) AS x, round(ay + (by_-ay)*least(1e0, (d-cum)/len), 5) AS y FROM h WHERE r = 1""")
+PLACE = """h AS (SELECT c.*, d, row_number() OVER (PARTITION BY c.id ORDER BY i) AS r FROM c JOIN v ON v.id = c.id WHERE len >= 1e-6 AND (round(d, 9) <= round(cum + len, 9) OR i = last))
+SELECT pos.id, round(ax + (bx-ax)*least(1e0, (d-cum)/len), 5) AS x, round(ay + (by_-ay)*least(1e0, (d-cum)/len), 5) AS y FROM pos LEFT JOIN h ON h.id = pos.id AND r = 1"""
+
+
+@query("point_at", f"""WITH {PTS}, v AS (SELECT id, least(CAST(id % 60 AS DOUBLE), sum(len)) AS d, max(i) AS last FROM s GROUP BY id), {PLACE}""")
 def _(t):
-    p = long_paths(t).where(path_length("p") > 0).withColumn("s", F.least((F.col("id") % 60).cast("double"), path_length("p")))
+    p = paths(t).withColumn("s", F.least((F.col("id") % 60).cast("double"), path_length("p")))
     return rounded(p.select("id", G.point_at("p", "s").alias("q")).select("id", "q.x", "q.y"), 5)
 
 
-@query("look_ahead")
+@query("look_ahead", f"""WITH {PROJ}, v AS (SELECT pr.id, along + 6 AS d, last FROM pr JOIN (SELECT id, max(i) AS last FROM s GROUP BY id) USING (id)), {PLACE}""")
 def _(t):
-    return rounded(long_paths(t).select("id", G.look_ahead("p", "ux", "uy", 6.0).alias("q")).select("id", "q.x", "q.y"), 5)
+    return rounded(paths(t).select("id", G.look_ahead("p", "ux", "uy", 6.0).alias("q")).select("id", "q.x", "q.y"), 5)
 
 
 @query("remaining_waypoints", f"""WITH {PROJ} SELECT id, 0 AS pos, round(fx, 6) + 0e0 AS x, round(fy, 6) + 0e0 AS y FROM pr
-UNION ALL SELECT w.id, w.i - pr.i, w.x, w.y FROM w JOIN pr ON w.id = pr.id AND w.i > pr.i""")
+UNION ALL SELECT w.id, w.i - pr.i, w.x, w.y FROM w JOIN pr ON w.id = pr.id AND w.i > pr.i UNION ALL SELECT w.id, 0, x, y FROM w ANTI JOIN s ON s.id = w.id""")
 def _(t):
-    r = long_paths(t).select("id", F.posexplode(G.remaining_waypoints("p", "ux", "uy")).alias("pos", "q")).select("id", "pos", "q.x", "q.y")
+    r = paths(t).select("id", F.posexplode(G.remaining_waypoints("p", "ux", "uy")).alias("pos", "q")).select("id", "pos", "q.x", "q.y")
     return rounded(r)
 
 
-@query("clamp_to_dest")
+@query("clamp_to_dest", f"""WITH {PTS}, n AS (SELECT id, max(i) AS last FROM w GROUP BY id),
+tip AS (SELECT w.id, last >= 2 AND sqrt((x-ux)*(x-ux)+(y-uy)*(y-uy)) < 3e-1 AS spur FROM w JOIN n ON n.id = w.id AND i = last JOIN pos ON pos.id = w.id),
+w2 AS (SELECT w.*, ux, uy FROM w JOIN n ON n.id = w.id JOIN tip ON tip.id = w.id JOIN pos ON pos.id = w.id WHERE NOT (spur AND i = last)),
+j2 AS (SELECT a.id, a.i, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, a.ux, a.uy, CASE WHEN a.x = b.x AND a.y = b.y THEN 0e0 ELSE least(greatest(((a.ux-a.x)*(b.x-a.x)+(a.uy-a.y)*(b.y-a.y))/((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)), 0e0), 1e0) END AS t FROM w2 a JOIN w2 b ON a.id = b.id AND b.i = a.i + 1),
+k2 AS (SELECT *, ax + t*(bx-ax) AS fx, ay + t*(by_-ay) AS fy FROM j2), b2 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sqrt((ux-fx)*(ux-fx)+(uy-fy)*(uy-fy)), 9), i) AS r FROM k2),
+f AS (SELECT id, fx, fy, CASE WHEN sqrt((ax-fx)*(ax-fx)+(ay-fy)*(ay-fy)) > 5e-2 THEN i + 1 ELSE i END AS kept FROM b2 WHERE r = 1)
+SELECT w2.id, i AS pos, x, y FROM w2 LEFT JOIN f ON f.id = w2.id WHERE f.id IS NULL OR kept = 0 OR i < kept UNION ALL SELECT id, kept, round(fx, 6) + 0e0, round(fy, 6) + 0e0 FROM f WHERE kept > 0""")
 def _(t):
-    r = long_paths(t).select("id", F.posexplode(G.clamp_to_dest("p", "ux", "uy")).alias("pos", "q")).select("id", "pos", "q.x", "q.y")
+    r = paths(t).select("id", F.posexplode(G.clamp_to_dest("p", "ux", "uy")).alias("pos", "q")).select("id", "pos", "q.x", "q.y")
     return rounded(r)
 
 

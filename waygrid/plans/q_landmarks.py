@@ -20,10 +20,10 @@ def _(t):
     return kept.select("landmark_id", F.lit("kept").alias("state")).unionByName(gone.select("landmark_id", F.lit("deleted").alias("state")))
 
 
-@query("exportable_landmarks", "SELECT landmark_id FROM v_landmarks WHERE landmark_id % 7 <> 0 AND landmark_id % 11 <> 0 AND session_id IN (SELECT event_id FROM events WHERE event_id BETWEEN 1 AND 2)")
+@query("exportable_landmarks", "SELECT landmark_id FROM v_landmarks WHERE landmark_id % 7 <> 0 AND landmark_id % 11 <> 0 AND session_id IN (SELECT event_id % 3 + 1 FROM events WHERE event_type <> 'error')")
 def _(t):
     l = t.v_landmarks.withColumns({"descriptor": F.when(F.col("landmark_id") % 7 != 0, F.lit("d")), "x": F.when(F.col("landmark_id") % 11 == 0, float("nan")).otherwise(F.col("x"))})
-    return L.exportable_landmarks(l, t.events.where("event_id between 1 and 2").selectExpr("CAST(event_id AS INT) AS session_id")).select("landmark_id")
+    return L.exportable_landmarks(l, t.events.where("event_type <> 'error'").selectExpr("CAST(event_id % 3 + 1 AS INT) AS session_id")).select("landmark_id")
 
 
 @query("min_size_gate", "SELECT o_orderkey AS landmark_id FROM orders WHERE (o_custkey % 200) IN (SELECT o_custkey % 200 FROM orders GROUP BY 1 HAVING count(*) >= 80)")
