@@ -491,3 +491,25 @@ def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
         assert len(got) == (2 if name == "near_duplicates" else 3)
         assert all(r[c] == c for r in got for c in docs.columns[3:])
     assert stage(spark, docs, "").where("text LIKE '%the v59 [secret]'").count() == 1
+
+
+def test_urls_against_a_list_of_hosts(spark):
+    rows = [(k, f"http://H{k % 40}.example.io/p{k}") for k in range(400)] + [(900, None), (901, "no host"), (902, "http:///x")]
+    listed = spark.createDataFrame([(f"h{k}.EXAMPLE.io",) for k in range(0, 40, 3)] + [(None,), ("",), ("h0.example.io",), ("elsewhere.org",)], "host string")
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"), listed).collect()
+    assert len(got) == len(rows)
+    assert {r.page_id for r in got if r.verdict == "block"} == {k for k in range(400) if k % 40 % 3 == 0}
+    none = urls.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"), listed.limit(0)).collect()
+    assert {r.verdict for r in none} == {"allow"}
+
+
+def test_url_shards_leave_room_for_wrong_keys(spark):
+    keys = spark.range(6000).select(F.col("id").cast("string").alias("key"), (F.col("id") < 20).alias("listed"))
+    cascade = urls.build_cascade(keys, 4, 2, 1024)
+    assert cascade.shards >= (1 - np.exp(-0.5)) ** 2 * 5980 * 4 / 1024 and all(len(levels) < 40 for levels in cascade.levels)
+    total = 0
+    for shard in range(cascade.shards):
+        mine = keys.where(cascade.shard_of(F.col("key")) == shard)
+        total += mine.where(cascade.member(F.col("key"), shard) & F.col("listed")).count()
+        assert mine.where(cascade.member(F.col("key"), shard) != F.col("listed")).count() == 0
+    assert total == 20

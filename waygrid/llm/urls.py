@@ -81,11 +81,13 @@ def build_cascade(universe: DataFrame, bits_per_key: int = 10, n_hashes: int = 4
 
     Level 0 encodes the listed keys; every next level encodes the keys that the one before wrongly
     holds, until none is left. Only filters, never keys, leave the cluster, each at most ``max_bits``
-    long: a longer list is split into shards by key hash, each with a cascade of its own.
+    long: where the list, or what a filter of it is expected to hold wrongly of the rest, is longer, keys are split into
+    shards by hash, each with a cascade of its own.
     """
     keys = materialise(universe.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("listed").alias("listed")), "keys")
-    n_listed = keys.where("listed").count()
-    out = Cascade(max(1, math.ceil(n_listed * bits_per_key / max_bits)))
+    sizes = keys.agg(F.count_if("listed").alias("listed"), F.count_if(~F.col("listed")).alias("rest")).first()
+    n_listed, wrongly = sizes["listed"], (1 - math.exp(-n_hashes / bits_per_key)) ** n_hashes * sizes["rest"]
+    out = Cascade(max(1, math.ceil(max(n_listed, wrongly if n_listed else 0) * bits_per_key / max_bits)))
     for shard in range(out.shards):
         mine = keys if out.shards == 1 else keys.where(out.shard_of(F.col("key")) == shard)
         inside, outside = mine.where("listed"), mine.where("NOT listed")
@@ -116,14 +118,21 @@ def judge(pages: DataFrame, cascade: Cascade, rules=RULES, url: str = "url") ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def filter_urls(pages: DataFrame, listed: Column | str = LISTED_LABELS, rules=RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every page; ``listed``: a pattern on hosts or a Column over ``key``.
+def filter_urls(pages: DataFrame, listed: DataFrame | Column | str = LISTED_LABELS, rules=RULES) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every page; ``listed``: a table whose first column are the listed hosts, a
+    pattern on hosts, or a Column over ``key``. A table is joined to the distinct hosts once, to build the cascade; pages
+    never meet it. Its nulls and repeats do not matter, hosts are compared in lower-case A-Z.
 
     Null urls and urls without ``://`` have an empty host, which no rule or list holds: allowed.
     Repeated rows are judged alike, an empty table gives an empty result.
     """
     pages = pages.select("page_id", "url")
     key = F.col("key")
-    on_list = key.rlike(listed) if isinstance(listed, str) else listed
-    universe = pages.select(host_path(F.col("url"))[0].alias("key")).distinct().select("key", on_list.alias("listed"))
+    universe = pages.select(host_path(F.col("url"))[0].alias("key")).distinct()
+    if isinstance(listed, DataFrame):
+        lower = F.translate(F.col(listed.columns[0]).cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        hosts = listed.select(lower.alias("key")).where("key <> ''").distinct().withColumn("listed", F.lit(True))
+        universe = universe.join(hosts, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
+    else:
+        universe = universe.select("key", (key.rlike(listed) if isinstance(listed, str) else listed).alias("listed"))
     return judge(pages, build_cascade(universe), rules).select("page_id", "host", "path", "rule", "verdict")
